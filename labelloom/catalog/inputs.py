@@ -10,8 +10,12 @@ from labelloom.sources.tables import read_parquet
 RATERS = ["label_chatgpt_review", "label_perplexity_review", "label_copilot_review"]
 
 
+# tables with much work per row, and the key to deal them out by when they are one small file
+DEALT = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_parquet(spark, folder, name)
+    return read_parquet(spark, folder, name, DEALT.get(name))
 
 
 def _rater_columns() -> list:

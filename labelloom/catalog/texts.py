@@ -150,7 +150,7 @@ def bands(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", L.interpret_kappa(k).alias("interpretation"))
 
 
-@query("p15_round", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 4) AS score FROM embeddings")
+@query("p15_round", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 4) + 0.0 AS score FROM embeddings")
 def rounded(spark, folder):
     return table(spark, folder, "embeddings").select(
         "vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("score")

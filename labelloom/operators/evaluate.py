@@ -20,12 +20,13 @@ def _long(x) -> Column:
 def _cells(df: DataFrame, true: str, pred: str, dataset: str | None) -> DataFrame:
     """(dataset, cells, labels): counted class pairs and the sorted union of their labels."""
     name = F.col(dataset) if dataset else F.lit("all")
-    counted = (
-        df.filter(F.col(true).isNotNull() & F.col(pred).isNotNull())
-        .groupBy(name.alias("dataset"), F.col(true).alias("t"), F.col(pred).alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    counted = df.groupBy(name.alias("dataset"), F.col(true).alias("t"), F.col(pred).alias("p")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    packed = counted.groupBy("dataset").agg(F.collect_list(F.struct("t", "p", "n")).alias("cells"))
+    # Nulls are dropped from the small array, not from the rows: a filter on the rows would be
+    # pushed below the model and make it score every row twice.
+    known = F.filter(F.collect_list(F.struct("t", "p", "n")), lambda c: c["t"].isNotNull() & c["p"].isNotNull())
+    packed = counted.groupBy("dataset").agg(known.alias("cells"))
     both = F.concat(F.transform("cells", lambda c: c["t"]), F.transform("cells", lambda c: c["p"]))
     return packed.withColumn("labels", F.array_sort(F.array_distinct(both)))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import (
@@ -50,11 +51,27 @@ UNIGRAM_FEATURES = Features(bigrams=False)
 PERCEPTRON_FEATURES = Features(max_features=30_000, min_df=2, sublinear=True)
 HIDDEN_LAYERS = (128, 64)
 LOGISTIC_ITERATIONS = 300
+LOGISTIC_TOLERANCE = 1e-4
 PERCEPTRON_ITERATIONS = 200
 
 WEIGHT = "weight"
+LOGISTIC_ROWS_PER_TASK = 4_000
 
-Build = Callable[[int, int], Estimator]
+
+@dataclass(frozen=True)
+class Learner:
+    """How to build an estimator from (rows, features), and how many rows make one task worth
+    its overhead in an iterative fit; None leaves the partitions as they are."""
+
+    build: Callable[[int, int], Estimator]
+    rows_per_task: int | None = None
+
+    def fit(self, train: DataFrame, rows: int, width: int) -> Model:
+        if self.rows_per_task:
+            tasks = -(-rows // self.rows_per_task)
+            if tasks < train.rdd.getNumPartitions():
+                train = train.coalesce(max(tasks, 1))
+        return self.build(rows, width).fit(train)
 
 
 class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -108,7 +125,7 @@ def vector_stages(stats: DataFrame, documents: int, features: Features) -> tuple
     return [*stages, weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")], len(rows)
 
 
-def logistic(c: float = 1.0, iterations: int = LOGISTIC_ITERATIONS, weight: str | None = None) -> Build:
+def logistic(c: float = 1.0, iterations: int = LOGISTIC_ITERATIONS, weight: str | None = None) -> Learner:
     """Multinomial logistic regression with an L2 penalty of inverse strength ``c``."""
 
     def build(rows: int, width: int) -> Estimator:
@@ -118,13 +135,14 @@ def logistic(c: float = 1.0, iterations: int = LOGISTIC_ITERATIONS, weight: str
             elasticNetParam=0.0,
             standardization=False,
             maxIter=iterations,
+            tol=LOGISTIC_TOLERANCE,
         )
         return model.setWeightCol(weight) if weight else model
 
-    return build
+    return Learner(build, LOGISTIC_ROWS_PER_TASK)
 
 
-def perceptron(classes: int = 3, iterations: int = PERCEPTRON_ITERATIONS, seed: int = 42) -> Build:
+def perceptron(classes: int = 3, iterations: int = PERCEPTRON_ITERATIONS, seed: int = 42) -> Learner:
     """Perceptron with the baseline's hidden layers (sigmoid units, L-BFGS)."""
 
     def build(rows: int, width: int) -> Estimator:
@@ -132,7 +150,7 @@ def perceptron(classes: int = 3, iterations: int = PERCEPTRON_ITERATIONS, seed:
             layers=[width, *HIDDEN_LAYERS, classes], maxIter=iterations, seed=seed
         )
 
-    return build
+    return Learner(build)
 
 
 def level(df: DataFrame, how: str | None, id_col: str) -> DataFrame:
@@ -168,7 +186,7 @@ def balance(df: DataFrame, id_col: str, label: str = "label", seed: int = 42) ->
 def fit(
     train: DataFrame,
     id_col: str,
-    build: Build,
+    learner: Learner,
     features: Features = LOGISTIC_FEATURES,
     balanced: str | None = None,
 ) -> PipelineModel:
@@ -180,9 +198,13 @@ def fit(
     try:
         documents = terms.count()
         stages, width = vector_stages(term_statistics(terms, F.col("terms"), id_col), documents, features)
-        learn = level(terms, balanced, id_col)
-        tail = Pipeline(stages=[*stages, build(documents, width)]).fit(learn)
-        return PipelineModel(stages=[*head, *tail.stages])
+        vectors = PipelineModel(stages=stages).transform(level(terms, balanced, id_col))
+        vectors = vectors.drop(id_col, "terms", "counts", "damped", "weighted").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = learner.fit(vectors, documents, width)
+        finally:
+            vectors.unpersist()
+        return PipelineModel(stages=[*head, *stages, model])
     finally:
         terms.unpersist()
 
@@ -205,46 +227,57 @@ def evaluate_on(model: PipelineModel, tests: Mapping[str, DataFrame]) -> DataFra
 def cross_validate(
     df: DataFrame,
     id_col: str,
-    runs: Mapping[str, Build],
+    runs: Mapping[str, Learner],
     features: Features = LOGISTIC_FEATURES,
     folds: int = 5,
     seed: int = 42,
     balanced: str | None = None,
+    parallelism: int = 5,
 ) -> DataFrame:
     """(run, fold, accuracy, macro_f1, weighted_f1): every run on every fold.
 
     The vocabulary and the document frequencies of a fold's training rows leave out that fold. They
     come from one pass over the corpus: statistics are kept per (term, fold), and a fold's own part
     is left out of the sum. All runs share the features of a fold, all folds are scored in one job.
+    ``parallelism`` folds are trained at a time, each with its training vectors cached; their jobs
+    are short and many, so they fill each other's gaps.
     """
     placed = stratified_folds(prepare(df).select(id_col, "text", "label"), "label", id_col, folds, seed)
     terms = PipelineModel(stages=term_stages(features)).transform(placed)
     terms = terms.select(id_col, "label", "fold", "terms").persist(StorageLevel.MEMORY_AND_DISK)
-    predictions = []
     try:
         stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]))
         rows = {r["fold"]: r["count"] for r in terms.groupBy("fold").count().collect()}
-        for fold in range(folds):
+
+        def one_fold(fold: int) -> DataFrame:
             others = F.col("fold") != fold
             counted = stats.filter(others).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
             documents = sum(n for f, n in rows.items() if f != fold)
             stages, width = vector_stages(counted, documents, features)
             vectors = PipelineModel(stages=stages)
-            train = terms.filter(others)
-            train = vectors.transform(level(train, balanced, id_col))
+            train = vectors.transform(level(terms.filter(others), balanced, id_col))
             train = train.drop(id_col, "fold", "terms", "counts", "damped", "weighted")
             train = train.persist(StorageLevel.MEMORY_AND_DISK)
-            held = vectors.transform(terms.filter(F.col("fold") == fold)).select("label", "fold", "features")
-            for run, build in runs.items():
-                model = build(documents, width).fit(train)
-                out = model.transform(held).select(
-                    F.struct(F.lit(run).alias("run"), "fold").alias("dataset"),
-                    "label",
-                    F.col("prediction").cast("int").alias("prediction"),
-                )
+            try:
+                held = vectors.transform(terms.filter(F.col("fold") == fold)).select("label", "fold", "features")
+                done = []
+                for run, learner in runs.items():
+                    out = learner.fit(train, documents, width).transform(held)
+                    done.append(
+                        out.select(
+                            F.struct(F.lit(run).alias("run"), "fold").alias("dataset"),
+                            "label",
+                            F.col("prediction").cast("int").alias("prediction"),
+                        )
+                    )
                 # fixed before the cached features are let go
-                predictions.append(cut_lineage(out))
-            train.unpersist()
+                return cut_lineage(reduce(DataFrame.unionByName, done))
+            finally:
+                train.unpersist()
+
+        with ThreadPool(min(parallelism, folds)) as pool:
+            task = inheritable_thread_target(df.sparkSession)(one_fold)
+            predictions = pool.map(task, range(folds))
     finally:
         terms.unpersist()
     result = scores(reduce(DataFrame.unionByName, predictions), "label", "prediction", "dataset")

@@ -91,6 +91,14 @@ def read_semicolon(spark: SparkSession, path: str, schema: StructType | str, **o
     return read_delimited(spark, path, schema, SEMICOLON, **{"lower_header": False, **options})
 
 
-def read_parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One table of a folder of Parquet tables."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
+def read_parquet(spark: SparkSession, folder: str, table: str, key: str | None = None) -> DataFrame:
+    """One table of a folder of Parquet tables.
+
+    With ``key``, a table that comes in fewer splits than there are cores (one small file) is
+    dealt out by ``key``, so that work per row uses all cores. Larger tables are read as they are.
+    """
+    df = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if key is None or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
