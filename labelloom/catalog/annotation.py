@@ -189,7 +189,7 @@ def assembled(spark, folder):
     f"""WITH {SQL_ASSEMBLED} SELECT review_order, CAST(1 AS BIGINT) AS part,
           'REVIEW_ORDER: ' || review_order || chr(10) || 'TITLE: ' || title || chr(10) || 'REVIEW_ID: ' || review_id || chr(10)
           || 'NUMBER_OF_SENTENCES: ' || number_of_sentences || chr(10) || 'FULL_REVIEW:' || chr(10) || full_review || chr(10)
-          || repeat('=', 80) || chr(10) || chr(10) AS block FROM assembled""",
+          || repeat('=', 80) || chr(10) AS block FROM assembled""",
 )
 def blocks(spark, folder):
     return R.review_blocks(R.assemble_reviews(bare_sentences(spark, folder)))

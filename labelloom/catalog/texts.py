@@ -171,7 +171,7 @@ def best_class(spark, folder):
 )
 def non_empty(spark, folder):
     text = F.when(F.col("doc_id") % 6 == 0, F.lit("\t")).otherwise(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", T.strip(text).alias("text")).filter("text <> ''")
+    return table(spark, folder, "documents").filter(T.has_text(text)).select("doc_id", T.strip(text).alias("text"))
 
 
 @query("f2_drop_null", f"WITH {SQL_SENTENCES} SELECT title, review_id, sentence_id, text, label_m FROM sent WHERE label_m IS NOT NULL AND text IS NOT NULL")

@@ -15,6 +15,7 @@ URL_PATTERN = f"http[^{SPACE}]+|www[^{SPACE}]+"
 TAG_PATTERN = r"<[^>\n]*>"
 SPACES_PATTERN = f"[{SPACE}]+"
 EDGE_PATTERN = rf"\A[{SPACE}]+|[{SPACE}]+\z"
+INK_PATTERN = f"[^{SPACE}]"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -27,6 +28,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), EDGE_PATTERN, "")
 
 
+def has_text(c: Column | str) -> Column:
+    """True where ``strip`` leaves something; stops at the first character that is not blank."""
+    return _col(c).rlike(INK_PATTERN)
+
+
 def clean_text(c: Column | str) -> Column:
     """Strip, delete links and tags, collapse white space; an empty result becomes null.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.labels import CLASSES, int_label
 from labelloom.functions.schema import drop_null_keys
-from labelloom.functions.text import strip
+from labelloom.functions.text import has_text, strip
 from labelloom.functions.votes import group_vote, pick_class
 from labelloom.operators.ordinal import global_ordinal
 from labelloom.session import cut_lineage
@@ -40,7 +40,7 @@ def assemble_reviews(
     that is checkpointed and joined back on the same (review, block) partitioning.
     """
     key = list(key)
-    rows = drop_null_keys(sentences, [*key, order]).withColumn(text, strip(text)).filter(F.col(text) != "")
+    rows = drop_null_keys(sentences, [*key, order]).filter(has_text(text))
     rows = rows.withColumn("_block", F.floor(F.col(order) / span))
     vote = int_label(manual)
 
@@ -70,7 +70,9 @@ def assemble_reviews(
 
     part = F.row_number().over(Window.partitionBy(*key).orderBy("_block")).cast("long")
     placed = blocks.select(*key, "_block", part.alias("part")).join(reviews, key)
-    texts = rows.groupBy(*key, "_block").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_s"))
+    texts = rows.groupBy(*key, "_block").agg(
+        F.array_sort(F.collect_list(F.struct(order, strip(text).alias(text)))).alias("_s")
+    )
     joined = F.array_join(F.transform("_s", lambda s: s[text]), " ")
     return texts.join(placed, [*key, "_block"]).select(
         "review_order",
@@ -90,7 +92,11 @@ def _require_span(blocks: DataFrame, span: int) -> None:
 
 
 def review_blocks(parts: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:
-    """The record-block text of each part: head before part 1, rule after the last one."""
+    """The record-block text of each part: head before part 1, rule and blank line after the last.
+
+    Each block lacks its last line end, which the text writer adds. A review in several parts
+    thus has a line end instead of a blank between two parts.
+    """
     title, review_id = key
     head = F.concat_ws(
         "\n",
@@ -101,9 +107,9 @@ def review_blocks(parts: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFram
         F.lit("FULL_REVIEW:\n"),
     )
     block = F.concat(
-        F.when(F.col("part") == 1, head).otherwise(F.lit(" ")),
+        F.when(F.col("part") == 1, head).otherwise(F.lit("")),
         F.col("full_review"),
-        F.when(F.col("part") == F.col("parts"), F.lit(f"\n{RULE}\n\n")).otherwise(F.lit("")),
+        F.when(F.col("part") == F.col("parts"), F.lit(f"\n{RULE}\n")).otherwise(F.lit("")),
     )
     return parts.select("review_order", "part", block.alias("block"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.labels import int_label
-from labelloom.functions.text import WORD_PATTERN, strip
+from labelloom.functions.text import WORD_PATTERN, has_text, strip
 from labelloom.operators.distribution import with_class_weights
 from labelloom.operators.evaluate import scores
 from labelloom.operators.split import class_sizes, hash_key, stratified_folds
@@ -90,8 +90,9 @@ class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
 
 def prepare(df: DataFrame) -> DataFrame:
     """Strip text, parse labels, drop rows that lack either."""
-    out = df.withColumn("text", strip("text")).withColumn("label", int_label("label"))
-    return out.filter(F.col("text") != "").na.drop(subset=["text", "label"])
+    label = int_label("label")
+    known = df.filter(has_text("text") & label.isNotNull())
+    return known.withColumn("text", strip("text")).withColumn("label", label)
 
 
 def term_stages(features: Features) -> list[Transformer]:

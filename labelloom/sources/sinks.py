@@ -56,7 +56,7 @@ def write_review_blocks(parts: DataFrame, path: str, key: Sequence[str] = REVIEW
         .sortWithinPartitions(*order)
         .select("block")
         .write.mode(mode)
-        .text(path, lineSep="")
+        .text(path, lineSep="\n")
     )
 
 
