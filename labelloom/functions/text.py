@@ -62,13 +62,11 @@ def word_tokens(c: Column | str) -> Column:
 
 def with_bigrams(tokens: Column | str) -> Column:
     """The tokens followed by each pair of neighbours joined with one blank."""
-    tokens = _col(tokens)
-    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.concat(
-        tokens,
-        F.zip_with(
-            F.slice(tokens, 1, pairs),
-            F.slice(tokens, 2, pairs),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    )
+
+    def extend(own: Column) -> Column:
+        pairs = F.greatest(F.size(own) - 1, F.lit(0))
+        left, right = F.slice(own, 1, pairs), F.slice(own, 2, pairs)
+        return F.concat(own, F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
+
+    # the tokens are bound to a lambda variable, or they would be computed at each mention
+    return F.get(F.transform(F.array(_col(tokens)), extend), F.lit(0))

@@ -14,9 +14,18 @@ def smooth_idf(documents: Column, df: Column | str) -> Column:
     return F.log((1 + documents) / (1 + df)) + 1
 
 
+def _terms_by_document(df: DataFrame, tokens: Column, doc: str) -> DataFrame:
+    """(doc, term) rows, hash-partitioned by document.
+
+    Documents are shuffled before they are taken apart: the text is several times smaller than
+    its (document, term) pairs, and all that follows per document needs no further shuffle.
+    """
+    return df.repartition(F.col(doc)).select(doc, F.explode(tokens).alias("term"))
+
+
 def term_frequency(df: DataFrame, tokens: Column, doc: str, sublinear: bool = False) -> DataFrame:
     """(doc, term, tf, weight): occurrences per document; ``sublinear`` weighs 1 + ln(tf)."""
-    counts = df.select(doc, F.explode(tokens).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = _terms_by_document(df, tokens, doc).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")
     return counts.withColumn("weight", weight)
 
@@ -36,12 +45,12 @@ def tfidf(
 ) -> DataFrame:
     """(doc, term, idx, tf, weight): rows of a document have Euclidean norm 1.
 
-    Terms outside the vocabulary are dropped before anything is shuffled; a document keeps at
-    most ``size`` rows, which also bounds the groups of the norm.
+    One shuffle, of the whole documents, serves both the counts and the norm. A document keeps
+    at most ``size`` rows, which bounds the groups of the norm.
     """
     lookup = F.broadcast(idf) if size <= BROADCAST_ROWS else idf
     counts = (
-        df.select(doc, F.explode(tokens).alias("term"))
+        _terms_by_document(df, tokens, doc)
         .join(lookup.select("term", "idx", "idf"), "term")
         .groupBy(doc, "idx", "term", "idf")
         .agg(F.count(F.lit(1)).alias("tf"))
