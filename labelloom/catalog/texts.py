@@ -12,22 +12,22 @@ from labelloom.functions import text as T
 from labelloom.operators.agreement import complete_ratings
 from labelloom.plans.annotation import clean_sentences, clean_training_corpus
 
-SPACE = T.SPACE
+SPACES = f"[{T.SPACE}]+"
 
 
 def sql_strip(c: str) -> str:
-    return f"regexp_replace({c}, '{T.EDGE_PATTERN}', '', 'g')"
+    return f"regexp_replace({c}, '\\A{SPACES}|{SPACES}\\z', '', 'g')"
 
 
 def sql_clean(c: str) -> str:
     out = sql_strip(c)
-    for pattern, new in ((T.URL_PATTERN, ""), (T.TAG_PATTERN, ""), (T.SPACES_PATTERN, " ")):
+    for pattern, new in ((T.URL_PATTERN, ""), (T.TAG_PATTERN, ""), (SPACES, " ")):
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
     return f"nullif({out}, '')"
 
 
 def sql_tokens(c: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({c}), '{T.SPACES_PATTERN}'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array(lower({c}), '{SPACES}'), lambda t: t <> '')"
 
 
 def sql_words(c: str) -> str:
@@ -207,6 +207,12 @@ def complete(spark, folder):
 
 
 
+@query("f5_f6_guards", "SELECT doc_id, quality, toxic FROM labels")
+def guarded(spark, folder):
+    df = S.require_columns(table(spark, folder, "labels"), ["doc_id", "quality", "toxic"])
+    return S.require_rows(df, "labels").select("doc_id", "quality", "toxic")
+
+
 @query(
     "a7_row_vote_median",
     f"""WITH {SQL_SENTENCES},

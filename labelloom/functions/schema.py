@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted names of the text and the label column, first match wins.
@@ -70,3 +70,14 @@ def require_rows(df: DataFrame, what: str = "table") -> DataFrame:
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with a null in a key belong to no group and match no other row."""
     return df.na.drop(subset=list(keys))
+
+
+def with_known(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Set column ``name`` to ``value`` and drop the rows where that is null.
+
+    The value is computed once per row. A filter on it would be pushed below the projection and
+    compute it again, which is dear for text.
+    """
+    known = F.explode(F.array_compact(F.array(value))).alias(name)
+    names = df.columns if name in df.columns else [*df.columns, name]
+    return df.select(*[known if c == name else F.col(f"`{c}`") for c in names])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.labels import CLASSES, numeric
-from labelloom.functions.schema import drop_stale_labels, normalize_header, require_columns
+from labelloom.functions.schema import drop_stale_labels, normalize_header, require_columns, with_known
 from labelloom.functions.text import clean_text
 from labelloom.functions.votes import row_vote
 from labelloom.operators.agreement import agreement_summary
@@ -35,24 +35,19 @@ MANUAL_AND_AI = "Manual review label + AI chatbots"
 def clean_training_corpus(df: DataFrame, classes: Sequence[int] = CLASSES) -> DataFrame:
     """Clean text and keep rows with a label of the closed class list."""
     df = require_columns(normalize_header(df), ["text", "label"])
-    label = numeric("label")
-    return (
-        df.withColumn("text", clean_text("text"))
-        .withColumn("label", label)
+    labelled = (
+        df.withColumn("label", numeric("label"))
         .filter(F.col("label").isin(*[float(k) for k in classes]))
-        .na.drop(subset=["text", "label"])
         .withColumn("label", F.col("label").cast("int"))
     )
+    return with_known(labelled, "text", clean_text("text"))
 
 
 def clean_sentences(df: DataFrame, raters: Sequence[str] = SENTENCE_RATERS) -> DataFrame:
     """Clean text and merge the sentence-level raters (two agree, else the median)."""
     df = require_columns(normalize_header(df, lower=False), ["text", *raters])
-    return (
-        df.withColumn("label", row_vote(raters, tie="median"))
-        .withColumn("text", clean_text("text"))
-        .na.drop(subset=["text", "label"])
-    )
+    voted = df.withColumn("label", row_vote(raters, tie="median")).filter(F.col("label").isNotNull())
+    return with_known(voted, "text", clean_text("text"))
 
 
 def export_reviews(sentences: DataFrame, table_path: str, blocks_path: str) -> DataFrame:

@@ -9,16 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from labelloom.functions.schema import with_known
 from labelloom.functions.text import clean_text
 from labelloom.plans.annotation import REVIEW_RATERS, distribute_labels
 
 
 def annotate_stream(sentences: DataFrame, reviews: DataFrame, raters: Sequence[str] = REVIEW_RATERS) -> DataFrame:
     """Clean sentences and give them their review's labels and the merged label."""
-    clean = sentences.withColumn("text", clean_text("text")).filter(F.col("text").isNotNull())
+    clean = with_known(sentences, "text", clean_text("text"))
     return distribute_labels(clean, reviews, raters, check_unique=False)
 
 
