@@ -32,11 +32,12 @@ def term_statistics(df: DataFrame, tokens: Column, doc: str, by: list[str] | Non
     rank among the distinct terms of ``first_doc``, which orders like the token position.
     """
     by = by or []
-    docs = (
-        df.select(doc, *by, tokens.alias("_all"))
-        .withColumn("_own", F.array_distinct("_all"))
-        .select(doc, *by, F.size("_own").alias("_k"), F.posexplode(F.concat("_own", "_all")).alias("_i", "term"))
-    )
+    own = df.select(doc, *by, tokens.alias("_all")).withColumn("_own", F.array_distinct("_all"))
+    # Sized before the explode, so that no array travels with the exploded rows. The explode takes
+    # an expression, not a column: on a column Spark would infer a filter and push the whole
+    # tokenising into it.
+    sized = own.withColumn("_k", F.size("_own"))
+    docs = sized.select(doc, *by, "_k", F.posexplode(F.concat("_own", "_all")).alias("_i", "term"))
     lead = F.col("_i") < F.col("_k")
     return docs.groupBy("term", *by).agg(
         F.count_if(~lead).alias("tf"),
