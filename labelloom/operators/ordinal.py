@@ -49,6 +49,8 @@ def preview(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order``. A partial aggregate, so a huge key is no hot task."""
     rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
     picked = df.groupBy(*key).agg(first)
     return picked.select(*[c if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns])

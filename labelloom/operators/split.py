@@ -12,11 +12,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MAX_CLASSES = 10_000
+MAX_BRANCHES = 60
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -75,25 +78,55 @@ def assign(
     ``id_col`` must be unique. ``bucket_digits`` hex digits of the hash make the buckets
     (16**3 = 4096); give more for very large tables, so that one bucket stays easy to sort.
     """
-    ends = _part_ends(df, label, id_col, quotas, seed, bucket_digits)
-    here = F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("i"))
-    id_type = df.schema[id_col].dataType
-    whole = None
+    found = _part_ends(df, label, id_col, quotas, seed, bucket_digits)
+    cuts = {}
     for k, parts in quotas.items():
-        chosen, filled = None, 0
-        for part, n in parts.items():
-            filled += n
-            if n == 0:
-                continue
-            if filled == sum(parts.values()):
-                chosen = F.lit(part) if chosen is None else chosen.otherwise(F.lit(part))
-                break
-            h, i = ends[(k, filled)]
-            test = here <= F.struct(F.lit(h).alias("h"), F.lit(i).cast(id_type).alias("i"))
-            chosen = F.when(test, F.lit(part)) if chosen is None else chosen.when(test, F.lit(part))
-        is_class = F.col(label) == F.lit(k)
-        whole = F.when(is_class, chosen) if whole is None else whole.when(is_class, chosen)
-    return df.filter(F.col(label).isNotNull()).withColumn(name, whole)
+        names = [p for p, n in parts.items() if n]
+        filled = list(accumulate(n for n in parts.values() if n))
+        if names:
+            cuts[k] = (names, [found[(k, r)] for r in filled[:-1]])
+    rows = df.filter(F.col(label).isNotNull())
+    here = F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("i"))
+    if sum(len(names) for names, _ in cuts.values()) <= MAX_BRANCHES:
+        return rows.withColumn(name, _by_branches(rows, label, id_col, here, cuts))
+    return _by_lookup(rows, label, id_col, here, cuts, name)
+
+
+def _by_branches(rows: DataFrame, label: str, id_col: str, here: Column, cuts: Mapping) -> Column:
+    """The part as one expression, for few classes."""
+    id_type = rows.schema[id_col].dataType
+    whole = F.when(F.lit(False), F.lit(next(iter(cuts.values()))[0][0])) if cuts else F.lit(None)
+    for k, (names, ends) in cuts.items():
+        part = F.lit(names[-1])
+        for p, (h, i) in reversed(list(zip(names, ends, strict=False))):
+            end = F.struct(F.lit(h).alias("h"), F.lit(i).cast(id_type).alias("i"))
+            part = F.when(here <= end, F.lit(p)).otherwise(part)
+        whole = whole.when(F.col(label) == F.lit(k), part)
+    return whole
+
+
+def _by_lookup(rows: DataFrame, label: str, id_col: str, here: Column, cuts: Mapping, name: str) -> DataFrame:
+    """The part from a broadcast table with one row per class, at most ``MAX_CLASSES``."""
+    any_part = next(iter(cuts.values()))[0][0]
+    schema = StructType(
+        [
+            StructField(label, rows.schema[label].dataType),
+            StructField("_names", ArrayType(StringType() if isinstance(any_part, str) else IntegerType())),
+            StructField(
+                "_ends",
+                ArrayType(StructType([StructField("h", StringType()), StructField("i", rows.schema[id_col].dataType)])),
+            ),
+        ]
+    )
+    table = rows.sparkSession.createDataFrame([(k, names, ends) for k, (names, ends) in cuts.items()], schema)
+    passed = F.size(F.filter("_ends", lambda end: end < F.col("_here")))
+    return (
+        rows.withColumn("_here", here)
+        .join(F.broadcast(table), label)
+        .withColumn(name, F.get("_names", passed))
+        .drop("_here", "_names", "_ends")
+        .select(*rows.columns, name)
+    )
 
 
 def _part_ends(df, label, id_col, quotas, seed, digits) -> dict:
@@ -118,15 +151,14 @@ def _part_ends(df, label, id_col, quotas, seed, digits) -> dict:
     held = ladder.join(F.broadcast(ranks), "k").filter("below < r and r <= upto")
     places = [(x["k"], x["b"], x["r"], x["r"] - x["below"]) for x in held.collect()]
 
-    inside = reduce(lambda a, b: a | b, [(F.col("k") == F.lit(k)) & (F.col("b") == b) for k, b, _, _ in places])
-    ranked = keyed.filter(inside).withColumn(
-        "place", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "i"))
-    )
-    hits = reduce(
-        lambda a, b: a | b,
-        [(F.col("k") == F.lit(k)) & (F.col("b") == b) & (F.col("place") == p) for k, b, _, p in places],
+    # one row per end, so the broadcast is bounded by classes x parts
+    sought = spark.createDataFrame(
+        [(k, b, p) for k, b, _, p in places], f"k {df.schema[label].dataType.simpleString()}, b string, place long"
     )
-    found = {(x["k"], x["b"], x["place"]): (x["h"], x["i"]) for x in ranked.filter(hits).collect()}
+    inside = keyed.join(F.broadcast(sought.select("k", "b").distinct()), ["k", "b"])
+    ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "i")))
+    hits = ranked.join(F.broadcast(sought), ["k", "b", "place"])
+    found = {(x["k"], x["b"], x["place"]): (x["h"], x["i"]) for x in hits.collect()}
     return {(k, r): found[(k, b, p)] for k, b, r, p in places}
 
 

@@ -22,6 +22,7 @@ from labelloom.operators.reviews import (
     spread_labels,
     with_label,
 )
+from labelloom.session import scratch_path
 from labelloom.sources.sinks import write_csv, write_review_blocks
 
 # Label columns and the names of the two compared rater sets.
@@ -51,9 +52,15 @@ def clean_sentences(df: DataFrame, raters: Sequence[str] = SENTENCE_RATERS) -> D
 
 
 def export_reviews(sentences: DataFrame, table_path: str, blocks_path: str) -> DataFrame:
-    """Write the reviews as a table and as text blocks; returns them (see ``assemble_reviews``)."""
+    """Write the reviews as a table and as text blocks; returns them (see ``assemble_reviews``).
+
+    The reviews are assembled once, into a scratch table that both exports read.
+    """
     require_columns(sentences, [*REVIEW_KEY, "sentence_id", "text", MANUAL])
-    reviews = assemble_reviews(sentences)
+    spark = sentences.sparkSession
+    scratch = scratch_path(spark, "reviews")
+    assemble_reviews(sentences).write.parquet(scratch)
+    reviews = spark.read.parquet(scratch)
     order = ["review_order", "part"]
     write_csv(reviews.repartitionByRange(*order).sortWithinPartitions(*order), table_path)
     write_review_blocks(reviews, blocks_path)

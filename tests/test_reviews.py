@@ -35,8 +35,7 @@ def assemble(data):
     for order, (key, rows) in enumerate(sorted(groups.items()), 1):
         rows.sort(key=lambda r: r[0])
         votes = [r[2] for r in rows if r[2] is not None]
-        top = [v for v in dict.fromkeys(votes) if votes.count(v) == max(map(votes.count, votes))]
-        vote = 1 if 1 in top else (top[0] if top else None)
+        vote = max(set(votes), key=lambda v: (votes.count(v), v == 1, -votes.index(v)), default=None)
         out.append((order, *key, " ".join(r[1] for r in rows), len(rows), vote))
     return out
 
@@ -95,6 +94,7 @@ def test_keep_first_and_preview(rows):
     df = rows([(1, 3, "c"), (1, 2, None), (2, 1, "a"), (1, 5, "b")], "k int, o int, v string").repartition(4)
     assert sorted(map(tuple, keep_first(df, ["k"], ["o"]).collect())) == [(1, 2, None), (2, 1, "a")]
     assert [r["o"] for r in preview(df, ["o"], 2).collect()] == [1, 2]
+    assert sorted(map(tuple, keep_first(df.select("k"), ["k"], ["k"]).collect())) == [(1,), (2,)]
 
 
 def test_review_agreement_takes_first_known_label(rows):

@@ -80,3 +80,13 @@ def test_tiny_classes_and_string_ids(rows):
     df = rows([("a", 0), ("b", 1), ("c", 1), ("d", None)], "doc string, label int")
     out = P.stratified_split(df, "label", "doc").collect()
     assert len(out) == 3 and all(r["split"] in ("train", "val", "test") for r in out)
+
+
+@pytest.mark.parametrize("folds", [True, False])
+def test_many_classes(spark, folds):
+    df = spark.range(2000).select(F.col("id").alias("doc"), (F.col("id") * 37 % 90).cast("int").alias("label"))
+    sizes = P.class_sizes(df, "label")
+    quotas = P.fold_quotas(sizes) if folds else P.holdout_quotas(sizes)
+    out = P.assign(df, "label", "doc", quotas, "part")
+    assert out.columns == ["doc", "label", "part"]
+    assert {r["doc"]: r["part"] for r in out.collect()} == brute_force(df, quotas)

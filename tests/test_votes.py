@@ -1,5 +1,5 @@
-from collections import Counter
 from itertools import product
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,35 +10,27 @@ COLS = ["m", "r1", "r2", "r3"]
 LABELS = [None, 0, 1, 2]
 
 
-def first_seen_counts(votes):
-    return Counter(v for v in votes if v is not None).most_common()
+def known(votes):
+    return [v for v in votes if v is not None]
 
 
 def vote_neutral(votes):
-    counts = first_seen_counts(votes)
-    if not counts:
-        return None
-    top = [v for v, n in counts if n == counts[0][1]]
-    return 1 if 1 in top else top[0]
+    own = known(votes)
+    return max(set(own), key=lambda v: (own.count(v), v == 1, -own.index(v)), default=None)
 
 
 def vote_priority(votes):
-    counts = first_seen_counts(votes)
-    if not counts:
-        return None
-    top = [v for v, n in counts if n == counts[0][1]]
-    return top[0] if len(top) == 1 else votes[0]
+    own = known(votes)
+    support = sorted((own.count(v) for v in set(own)), reverse=True)
+    if len(support) > 1 and support[0] == support[1]:
+        return votes[0]
+    return max(own, key=own.count, default=None)
 
 
 def vote_median(votes):
-    known = sorted(v for v in votes if v is not None)
-    if not known:
-        return None
-    label, n = first_seen_counts(votes)[0]
-    if n >= 2:
-        return label
-    half = len(known) // 2
-    return int(known[half] if len(known) % 2 else (known[half - 1] + known[half]) / 2)
+    own = known(votes)
+    pairs = [v for v in own if own.count(v) > 1]
+    return pairs[0] if pairs else int(median(own)) if own else None
 
 
 def every(rows, width):
