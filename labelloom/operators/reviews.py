@@ -11,6 +11,7 @@ from labelloom.functions.labels import CLASSES, int_label
 from labelloom.functions.schema import drop_null_keys
 from labelloom.functions.text import has_text, strip
 from labelloom.functions.votes import group_vote, pick_class
+from labelloom.operators.bounded import HOT_ROWS, join_unique
 from labelloom.operators.ordinal import global_ordinal
 from labelloom.session import cut_lineage
 
@@ -183,21 +184,22 @@ def spread_labels(
     reviews: DataFrame,
     key: Sequence[str] = REVIEW_KEY,
     check_unique: bool = True,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Give every sentence the labels of its review; sentences without one keep null labels.
 
     No broadcast hint: the review table grows with the data, so Spark picks the join from run-time
-    sizes and its skew handling splits the sentences of a hot review over several tasks.
+    sizes. Reviews with ``hot_rows`` sentences or more stay out of the shuffle (``join_unique``).
     """
     reviews = drop_null_keys(reviews, key)
     if check_unique and not reviews.groupBy(*key).count().filter("count > 1").isEmpty():
         raise ValueError(f"several label rows share one {tuple(key)}")
-    return sentences.join(reviews, list(key), "left")
+    return join_unique(sentences, reviews, key, "left", hot_rows)
 
 
 def unmatched(sentences: DataFrame, reviews: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:
     """Sentences whose review has no label row."""
-    return sentences.join(drop_null_keys(reviews, key).select(*key), list(key), "left_anti")
+    return join_unique(sentences, distinct_reviews(reviews, key), key, "left_anti")
 
 
 def unmatched_count(sentences: DataFrame, reviews: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:
