@@ -44,10 +44,11 @@ def join_unique(
     if big.isStreaming or hot_rows is None:
         return big.join(unique, on, how)
     counts = big.na.drop(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    hot, fits = settle_small(counts.filter(F.col("_n") >= hot_rows).select(*on))
-    if not fits or hot.isEmpty():
+    keys = counts.filter(F.col("_n") >= hot_rows).select(*on)
+    rows = keys.limit(BROADCAST_ROWS + 1).collect()
+    if not rows or len(rows) > BROADCAST_ROWS:
         return big.join(unique, on, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(big.sparkSession.createDataFrame(rows, keys.schema))
     few = F.broadcast(unique.join(hot, on, "left_semi"))
     heavy = big.join(hot, on, "left_semi").join(few, on, how)
     light = big.join(hot, on, "left_anti").join(unique, on, how)
