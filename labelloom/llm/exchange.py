@@ -2,9 +2,10 @@
 
 A block of documents sends its hashes as a few compressed arrays, one for each range of hashes
 (bucket), in place of one row for each window. A bucket's task sorts the hashes of all blocks and
-answers with marks: the hashes of a document that count as repeated. Within a block equal hashes
-are combined before they are sent, so a window that occurs everywhere costs one entry a block.
-The number of buckets follows ``spark.sql.shuffle.partitions``, which is set to suit the input.
+answers with marks: the hashes of a document that count as repeated, packed for each group of
+documents. Within a block equal hashes are combined before they are sent, so a window that occurs
+everywhere costs one entry a block. The numbers of buckets and groups follow
+``spark.sql.shuffle.partitions``, which is set to suit the input.
 """
 
 from __future__ import annotations
@@ -17,18 +18,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.blocks import Block, blocks, id_and_text
+from labelloom.llm.blocks import NO_ID, Block, blocks, id_and_text, mix
 
 BUCKETS_PER_PARTITION = 4
-#: Documents are told apart by their id and the hash of their text, so null and repeated ids are no special case.
-KEY = ["doc_id", "_t"]
+#: Marks go by id, and a missing id is a number below this one, made of the text's hash, so that the
+#: documents without id do not meet in one group. Documents that share an id may share marks: a mark
+#: names a window by its content, and holds for every document of that id.
+NO_KEY = -(1 << 62)
+KEY = "_k"
 
 Windows = Callable[[Block], tuple[np.ndarray, np.ndarray]]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _t)."""
-    return id_and_text(docs.withColumn("_t", F.xxhash64("text")), "_t")
+    """(doc_id, text, _k)."""
+    made = F.lit(NO_KEY - 1) - F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    return id_and_text(docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), made)), KEY)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -71,75 +76,94 @@ def _repeats(h: np.ndarray, ids: np.ndarray, later: bool) -> tuple[np.ndarray, n
     return by, marked, first
 
 
-def _by_document(doc: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(document, its distinct hashes)."""
-    by = np.lexsort((h, doc))
-    doc, h = doc[by], h[by]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)]
-    doc, h = doc[new], h[new]
-    cuts = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)]), len(doc)]
-    for a, z in zip(cuts[:-1], cuts[1:]):
-        yield int(doc[a]), h[a:z].tobytes()
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Ids to compare: those that are missing are larger than all others, and equal."""
+    return np.where(keys < NO_KEY, NO_ID, keys)
+
+
+def _pairs(keys: np.ndarray, h: np.ndarray) -> bytes:
+    """(key, hash) pairs, a key's number in place of the key."""
+    own, place = np.unique(keys, return_inverse=True)
+    return pack(h, _small(place, len(own)), own)
+
+
+def _unpaired(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h, place, own = unpack(data)
+    return own[place], h
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    return np.concatenate([k for k, _ in parts]), np.concatenate([h for _, h in parts])
+
+
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
 
 def marks(docs: DataFrame, windows: Windows, later: bool) -> DataFrame:
-    """(doc_id, _t, marks): for each document with repeated windows their hashes, as binary parts.
+    """(_k, marks): for each document with repeated windows their hashes, distinct and in order, as one binary.
 
-    ``docs``: (doc_id, _t, text, ...). ``windows`` gives the document and the hash of every window of a
-    block that takes part.
+    ``docs``: (doc_id, _k, text, ...). ``windows`` gives the document and the hash of every window of a
+    block that takes part. With ``later`` a window is repeated if it occurs under a smaller id, otherwise
+    if it occurs twice anywhere.
     """
-    n = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "bucket int, doc_id long, _t long, payload binary"
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = BUCKETS_PER_PARTITION * groups
 
     def send(batches: Iterator[pa.RecordBatch]):
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int32(), pa.bool_(), pa.binary()]
         for block in blocks(batches):
             doc, h = windows(block)
-            ids, texts = block.ids, np.array(block.extra["_t"], dtype=np.int64)
-            by, marked, first = _repeats(h, ids[doc], later)
-            doc, h = doc[by], h[by]
+            if not len(h):
+                continue
+            keys = np.array(block.extra[KEY], dtype=np.int64)[doc]
+            by, marked, first = _repeats(h, _order(keys), later)
+            keys, h = keys[by], h[by]
             rows: list[tuple] = []
-            for d, found in _by_document(doc[marked], h[marked]):
-                rows.append((int(texts[d]) % n, int(ids[d]), int(texts[d]), found))
-            doc, h = doc[first], h[first]
+            if marked.any():  # known here; they only travel to their document
+                rows.append((int(h[0] % np.uint64(n)), True, _pairs(keys[marked], h[marked])))
+            keys, h = keys[first], h[first]
             cuts = np.searchsorted(h, (np.arange(1, n, dtype=np.uint64) << np.uint64(32)) // np.uint64(n) << np.uint64(32))
             cuts = np.r_[0, cuts, len(h)]
             for bucket in np.flatnonzero(np.diff(cuts)).tolist():
                 a, z = cuts[bucket], cuts[bucket + 1]
-                own, place = np.unique(doc[a:z], return_inverse=True)
-                rows.append((bucket, None, None, pack(h[a:z], _small(place, len(own)), ids[own], texts[own])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=["bucket", *KEY, "payload"])
+                rows.append((bucket, False, _pairs(keys[a:z], h[a:z])))
+            yield from _table(rows, ["bucket", "known", "payload"], kinds).to_batches()
 
     def answer(table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        h, ids, texts = [], [], []
-        for row in table.select([*KEY, "payload"]).to_pylist():
-            if row["doc_id"] is not None:
-                out.append((row["doc_id"], row["_t"], row["payload"]))
-                continue
-            a, place, b, c = unpack(row["payload"])
-            h.append(a)
-            ids.append(b[place])
-            texts.append(c[place])
-        if h:
-            h, ids, texts = (np.concatenate(x) for x in (h, ids, texts))
-            by, marked, _ = _repeats(h, ids, later)
-            at = by[marked]
-            pairs = np.stack([ids[at], texts[at]], axis=1)
-            own, place = np.unique(pairs, axis=0, return_inverse=True)
-            for d, found in _by_document(place.reshape(-1), h[at]):
-                out.append((int(own[d, 0]), int(own[d, 1]), found))
-        kinds = [pa.int64(), pa.int64(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], names=[*KEY, "payload"])
-
-    sent = docs.mapInArrow(send, schema)
-    answers = sent.groupBy("bucket").applyInArrow(answer, "doc_id long, _t long, payload binary")
-    return answers.groupBy(*KEY).agg(F.collect_list("payload").alias("marks"))
-
-
-def hashes(parts: list[bytes] | None) -> np.ndarray:
+        rows = list(zip(table["known"].to_pylist(), table["payload"].to_pylist()))
+        keys, h = _joined([_unpaired(data) for known, data in rows if not known])
+        by, marked, _ = _repeats(h, _order(keys), later)
+        at = by[marked]
+        keys, h = _joined([(keys[at], h[at]), *(_unpaired(data) for known, data in rows if known)])
+        group = (mix(keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        by = np.lexsort((keys, group))
+        keys, h, group = keys[by], h[by], group[by]
+        cuts = np.searchsorted(group, np.arange(groups + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        out = [(g, _pairs(keys[cuts[g] : cuts[g + 1]], h[cuts[g] : cuts[g + 1]])) for g in full]
+        return _table(out, ["bucket", "payload"], [pa.int32(), pa.binary()])
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, h = _joined([_unpaired(data) for data in table["payload"].to_pylist()])
+        by = np.lexsort((h, keys))
+        keys, h = keys[by], h[by]
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (h[1:] != h[:-1])][: len(h)]
+        keys, h = keys[new], h[new]
+        cuts = np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)]), len(keys)]
+        out = [(int(keys[a]), h[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:])]
+        return _table(out, [KEY, "marks"], [pa.int64(), pa.binary()])
+
+    sent = docs.mapInArrow(send, "bucket int, known boolean, payload binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer, "bucket int, payload binary")
+    return answers.groupBy("bucket").applyInArrow(gather, f"{KEY} long, marks binary")
+
+
+def hashes(found: bytes | None) -> np.ndarray:
     """The distinct hashes of a document's marks, in order."""
-    return np.unique(np.frombuffer(b"".join(parts or ()), dtype=np.uint64))
+    return np.frombuffer(found or b"", dtype=np.uint64)
 
 
 def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -51,7 +51,7 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
         at, h = _windows(w, width)
         return w.doc[at], h
 
-    return own.join(marks(own, windows, later=True), KEY, "left").select(*KEY, "text", "marks")
+    return own.join(marks(own, windows, later=True), KEY, "left").select("doc_id", "text", "marks")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -108,35 +108,33 @@ def find_runs(block: Block, width: int, pivot: int = PIVOT) -> Runs:
 
 
 def _runs(own: DataFrame, width: int) -> DataFrame:
-    """(pivot, whole, doc_id, _t): all runs of all documents."""
+    """(pivot, whole, _k): all runs of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for block in blocks(batches):
             r = find_runs(block, width)
             d = r.doc[r.cut[:-1]]
             yield pa.RecordBatch.from_pydict(
-                {"pivot": r.pivot.view(np.int64), "whole": r.whole.view(np.int64), "doc_id": block.ids[d], "_t": np.array(block.extra["_t"], dtype=np.int64)[d]}
+                {"pivot": r.pivot.view(np.int64), "whole": r.whole.view(np.int64), KEY: np.array(block.extra[KEY], dtype=np.int64)[d]}
             )
 
-    return own.mapInArrow(run, "pivot long, whole long, doc_id long, _t long")
+    return own.mapInArrow(run, f"pivot long, whole long, {KEY} long")
 
 
 def _decide(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, _t, whole) of runs that repeat whole, the same of runs still open)."""
+    """((_k, whole) of runs that repeat whole, the same of runs still open)."""
     shared = cut_lineage(runs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pivot"))
     left = settle(runs.join(shared, "pivot", "left_semi"))
-    classes = settle(
-        left.groupBy("pivot", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY)).alias("one")).select("pivot", "whole", "n", "one.*")
-    )
+    classes = settle(left.groupBy("pivot", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(KEY).alias(KEY)))
     twice = left.join(classes.filter("n > 1").select("pivot", "whole"), ["pivot", "whole"], "left_semi")
     unsure = classes.filter("n = 1").select("pivot").distinct()
     back = classes.filter("n > 1").join(unsure, "pivot", "left_semi")
-    open_ = classes.filter("n = 1").select(*KEY, "whole").unionByName(back.select(*KEY, "whole"))
-    return twice.select(*KEY, "whole"), open_
+    open_ = classes.filter("n = 1").select(KEY, "whole").unionByName(back.select(KEY, "whole"))
+    return twice.select(KEY, "whole"), open_
 
 
 def _listed(found: DataFrame, name: str) -> DataFrame:
-    return found.groupBy(*KEY).agg(F.collect_set("whole").alias(name))
+    return found.groupBy(KEY).agg(F.collect_set("whole").alias(name))
 
 
 def _whole(values: list | None) -> np.ndarray:
@@ -154,11 +152,11 @@ def _in_runs(r: Runs, lists: list, n: int) -> np.ndarray:
 
 
 def _judged(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, _t, text, twice, open, marks): all that tells which strings of a document repeat."""
+    """(doc_id, text, twice, marks): all that tells which strings of a document repeat."""
     own = keyed(docs)
     twice, open_ = _decide(settle(_runs(own, width)))
     lists = _listed(twice, "twice").join(_listed(open_, "open"), KEY, "full")
-    text = own.join(lists, KEY, "left").select(*KEY, "text", "twice", "open")
+    text = own.join(lists, KEY, "left").select("doc_id", KEY, "text", "twice", "open")
 
     def windows(block: Block) -> tuple[np.ndarray, np.ndarray]:
         r = find_runs(block, width)
@@ -166,7 +164,7 @@ def _judged(docs: DataFrame, width: int) -> DataFrame:
         return r.doc[hit], r.name[hit]
 
     found = marks(text.filter("open IS NOT NULL"), windows, later=False)
-    return text.join(found, KEY, "left").select(*KEY, "text", "twice", "marks")
+    return text.join(found, KEY, "left").select("doc_id", "text", "twice", "marks")
 
 
 def _gone(block: Block, width: int) -> np.ndarray:
