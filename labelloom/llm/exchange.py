@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.blocks import NO_ID, Block, blocks, id_and_text, mix
+from labelloom.llm.blocks import BLOCK_BYTES, NO_ID, Block, blocks, id_and_text, mix
 
 BUCKETS_PER_PARTITION = 4
 #: Marks go by id, and a missing id is a number below this one, made of the text's hash, so that the
@@ -102,11 +102,11 @@ def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
 
-def marks(docs: DataFrame, windows: Windows, later: bool) -> DataFrame:
+def marks(docs: DataFrame, windows: Windows, later: bool, limit: int = BLOCK_BYTES) -> DataFrame:
     """(_k, marks): for each document with repeated windows their hashes, distinct and in order, as one binary.
 
     ``docs``: (doc_id, _k, text, ...). ``windows`` gives the document and the hash of every window of a
-    block that takes part. With ``later`` a window is repeated if it occurs under a smaller id, otherwise
+    block of ``limit`` bytes that takes part. With ``later`` a window is repeated if it occurs under a smaller id, otherwise
     if it occurs twice anywhere.
     """
     groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,7 +114,7 @@ def marks(docs: DataFrame, windows: Windows, later: bool) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]):
         kinds = [pa.int32(), pa.bool_(), pa.binary()]
-        for block in blocks(batches):
+        for block in blocks(batches, limit):
             doc, h = windows(block)
             if not len(h):
                 continue

@@ -34,6 +34,8 @@ from labelloom.session import cut_lineage, settle
 WIDTH = 400
 #: Bytes of a pivot.
 PIVOT = 64
+#: A block needs about 100 times its size, as every byte begins a suffix with names of 8 bytes.
+LIMIT = 1 << 21
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -111,7 +113,7 @@ def _runs(own: DataFrame, width: int) -> DataFrame:
     """(pivot, whole, _k): all runs of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for block in blocks(batches):
+        for block in blocks(batches, LIMIT):
             r = find_runs(block, width)
             d = r.doc[r.cut[:-1]]
             yield pa.RecordBatch.from_pydict(
@@ -163,7 +165,7 @@ def _judged(docs: DataFrame, width: int) -> DataFrame:
         hit = _in_runs(r, block.extra["open"], len(block))
         return r.doc[hit], r.name[hit]
 
-    found = marks(text.filter("open IS NOT NULL"), windows, later=False)
+    found = marks(text.filter("open IS NOT NULL"), windows, later=False, limit=LIMIT)
     return text.join(found, KEY, "left").select("doc_id", "text", "twice", "marks")
 
 
@@ -185,7 +187,7 @@ def _result(docs: DataFrame, width: int, digest: bool) -> DataFrame:
     name, kind = ("kept_sha256", "string") if digest else ("kept", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for block in blocks(batches):
+        for block in blocks(batches, LIMIT):
             gone = _gone(block, width)
             lost, spans, kept = [], [], []
             for d, text in enumerate(block.texts):
