@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -56,12 +56,17 @@ def id_and_text(docs: DataFrame, *extra: str) -> DataFrame:
 
 
 def with_row(docs: DataFrame) -> tuple[DataFrame, StructType]:
-    """doc_id and text beside ``_row``, a struct of all columns, so that names cannot clash; and the schema."""
-    names = docs.columns
-    plain = id_and_text(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in names])), "_row")
+    """doc_id and text beside ``_row``, a struct of all other columns, so that names cannot clash; and the schema."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("_row"))
     return plain, StructType([StructField(f.name, f.dataType) for f in plain.schema])
 
 
+def without_row(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that ``with_row`` packed, in their order."""
+    return df.select(*[changed.get(c, F.col("text") if c == "text" else F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def real_id(name: str = "doc_id"):
     """The id as it was given."""
     return F.when(F.col(name) != NO_ID, F.col(name))
@@ -85,8 +90,8 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES, lower: b
         more = [batch.column(n).to_pylist() for n in names]
         found = batch.column("text").cast(pa.binary() if not pa.types.is_large_string(batch.schema.field("text").type) else pa.large_binary())
         for k, (one, text) in enumerate(zip(batch.column("doc_id").to_pylist(), found)):
-            ids.append(one)
-            texts.append(text.as_py())
+            ids.append(NO_ID if one is None else one)
+            texts.append(text.as_py() or b"")
             for n, values in zip(names, more):
                 extra.setdefault(n, []).append(values[k])
             size += len(texts[-1]) + 1

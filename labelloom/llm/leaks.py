@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.blocks import Block, blocks, hash_words, id_and_text, ids_out, mix, window_hashes, with_row, words
+from labelloom.llm.blocks import Block, blocks, hash_words, id_and_text, ids_out, mix, window_hashes, with_row, without_row, words
 
 SEED_WORDS = 3
 #: Share of an item's n-grams, rarest first, that serve as seeds, and how many at least.
@@ -259,4 +259,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCOR
                     yield batch.filter(pa.array(clean))
 
         plain = plain.mapInArrow(run, schema)
-    return plain.select("_row.*")
+    return without_row(plain, docs.columns)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from labelloom.llm.blocks import BLANK, Block, Words, blocks, covered, id_and_text, ids_out, with_row, words
+from labelloom.llm.blocks import BLANK, Block, Words, blocks, covered, id_and_text, ids_out, with_row, without_row, words
 
 MIN_WORDS = 50
 #: Repeats of fewer words are ordinary language.
@@ -20,6 +20,9 @@ MIN_REPEAT = 5
 MAX_COVERED = 40
 MAX_LONGEST = 100
 
+#: A block needs about 100 times its size: ranks of all lengths for every word.
+LIMIT = 1 << 21
+
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
     " covered_words long, longest_repeat long, base_failed boolean, kept boolean"
@@ -126,7 +129,7 @@ def quality(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest: int =
     """
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, LIMIT):
             m = measure(block, words(block))
             failed, kept = verdict(m, max_covered, max_longest)
             yield pa.RecordBatch.from_pydict(
@@ -146,9 +149,9 @@ def keep_good(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest: int
     def run(batches):
         for batch in batches:
             ok = []
-            for block in blocks([batch.select(["doc_id", "text"])]):
+            for block in blocks([batch.select(["doc_id", "text"])], LIMIT):
                 ok.append(verdict(measure(block, words(block)), max_covered, max_longest)[1])
             if ok:
                 yield batch.filter(pa.array(np.concatenate(ok)))
 
-    return plain.mapInArrow(run, schema).select("_row.*")
+    return without_row(plain.mapInArrow(run, schema), docs.columns)

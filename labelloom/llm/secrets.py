@@ -18,10 +18,12 @@ from re import _parser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from labelloom.llm.blocks import Block, LOWER, blocks, id_and_text, ids_out, with_row
+from labelloom.llm.blocks import Block, LOWER, blocks, id_and_text, ids_out, with_row, without_row
 
 MAX_STRINGS = 64
 
@@ -245,25 +247,23 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Overlapping secrets become one mark. ``n_chars``, if there is such a column, follows the new
     text where it changed. A null text stays null. Columns travel in one struct, so names cannot clash.
     """
-    plain, schema = with_row(docs)
+    plain, _ = with_row(docs)
+    schema = StructType([StructField("text", StringType()), StructField("changed", BooleanType()), StructField("_row", plain.schema["_row"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]):
         scan = Scanner(rules)
         for batch in batches:
-            new: list[bytes | str] = []
+            new: list[str | None] = []
             for block in blocks([batch.select(["doc_id", "text"])]):
-                new += [_redacted(t.decode(), s) if s else t for t, s in zip(block.texts, scan.spans(block))]
-            text = pa.array([x if isinstance(x, str) else None for x in new], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text.cast(batch.schema.field("text").type), batch.column("_row")], schema=batch.schema)
+                new += [_redacted(t.decode(), s) if s else None for t, s in zip(block.texts, scan.spans(block))]
+            own = batch.column("text")
+            fresh = pa.array(new, own.type)
+            changed = fresh.is_valid()
+            yield pa.RecordBatch.from_arrays([pc.if_else(changed, fresh, own), changed, batch.column("_row")], names=["text", "changed", "_row"])
 
     clean = plain.mapInArrow(run, schema)
-    changed = F.col("text").isNotNull()
-    columns = []
-    for c in docs.columns:
-        was = F.col("_row").getField(c)
-        if c == "text":
-            was = F.when(changed, F.col("text")).otherwise(was)
-        elif c == "n_chars":
-            was = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(was)
-        columns.append(was.alias(c))
-    return clean.select(*columns)
+    follow = {}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        follow["n_chars"] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("_row").getField("n_chars"))
+    return without_row(clean, docs.columns, **follow)

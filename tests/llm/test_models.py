@@ -251,7 +251,7 @@ def test_leaks(spark, odd, nothing):
     filler = [f"w{i}" for i in range(5000)]
     rows = []
     for i, words in some:
-        if len(words) < 20:
+        if len(words) < 30:
             continue
         edited = [rng.choice(filler) if rng.random() < 0.15 else (w.upper() if w.isascii() else w) for w in words]
         del edited[7]
