@@ -16,7 +16,7 @@ from labelloom.catalog.inputs import (
     table,
 )
 from labelloom.catalog.texts import sql_strip
-from labelloom.functions.votes import group_vote, row_vote
+from labelloom.functions.votes import row_vote, vote_by_group
 from labelloom.operators import agreement as G
 from labelloom.operators import distribution as D
 from labelloom.operators import reviews as R
@@ -133,7 +133,7 @@ def agreement_table(spark, folder):
         LEFT JOIN voted v ON k.title = v.title AND k.review_id = v.review_id""",
 )
 def vertical_vote(spark, folder):
-    return bare_sentences(spark, folder).groupBy(*KEY).agg(group_vote("label_m", "sentence_id").alias("label_m_review"))
+    return vote_by_group(bare_sentences(spark, folder), KEY, "label_m", "sentence_id", "label_m_review")
 
 
 VOTE_COLUMNS = ["label_m", *RATERS]
@@ -179,14 +179,21 @@ assembled AS (
 """
 
 
-@query("a2_assemble_reviews", f"WITH {SQL_ASSEMBLED} SELECT *, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS parts FROM assembled")
+@query("a2_assemble_reviews", f"WITH {SQL_ASSEMBLED} SELECT * FROM assembled")
 def assembled(spark, folder):
     return R.assemble_reviews(bare_sentences(spark, folder))
 
 
+@query("a2_high_sentence_numbers", f"WITH {SQL_ASSEMBLED} SELECT * FROM assembled")
+def assembled_far(spark, folder):
+    """Sentence numbers that cross many blocks of a review."""
+    far = bare_sentences(spark, folder).withColumn("sentence_id", F.col("sentence_id") * 3001 + F.col("review_id") * 4095)
+    return R.assemble_reviews(far)
+
+
 @query(
     "k4_review_blocks",
-    f"""WITH {SQL_ASSEMBLED} SELECT review_order, CAST(1 AS BIGINT) AS part,
+    f"""WITH {SQL_ASSEMBLED} SELECT review_order,
           'REVIEW_ORDER: ' || review_order || chr(10) || 'TITLE: ' || title || chr(10) || 'REVIEW_ID: ' || review_id || chr(10)
           || 'NUMBER_OF_SENTENCES: ' || number_of_sentences || chr(10) || 'FULL_REVIEW:' || chr(10) || full_review || chr(10)
           || repeat('=', 80) || chr(10) AS block FROM assembled""",
@@ -219,21 +226,36 @@ seen AS (
   SELECT row_number() OVER (ORDER BY min(struct_pack(r := review_id, s := sentence_id)), title, review_id) AS review_order, title, review_id
   FROM bare GROUP BY title, review_id
 ),
+given AS (
+  SELECT row_number() OVER (ORDER BY title, review_id) AS review_order, review_id % 3 AS label
+  FROM (SELECT DISTINCT title, review_id FROM bare)
+),
 numbered AS (SELECT row_number() OVER (ORDER BY doc_id) AS review_order, quality FROM labels)
 """
 
 
-def _numbered_labels(spark, folder):
-    return global_ordinal(table(spark, folder, "labels"), ["doc_id"], "review_order").select("review_order", "quality")
+def _seen(spark, folder):
+    return R.reviews_in_appearance_order(bare_sentences(spark, folder), ["review_id", "sentence_id"])
 
 
 @query(
     "j3_attach_by_ordinal",
-    f"WITH {SQL_SENTENCES}, {SQL_ORDINALS} SELECT review_order, title, review_id, quality FROM seen JOIN numbered USING (review_order)",
+    f"WITH {SQL_SENTENCES}, {SQL_ORDINALS} SELECT review_order, title, review_id, label FROM seen JOIN given USING (review_order)",
 )
 def by_ordinal(spark, folder):
-    reviews = R.reviews_in_appearance_order(bare_sentences(spark, folder), ["review_id", "sentence_id"])
-    return R.attach_by_ordinal(reviews, _numbered_labels(spark, folder), "review_order", strict=False)
+    """As many labels as reviews: anything else raises."""
+    keys = R.distinct_reviews(bare_sentences(spark, folder))
+    given = global_ordinal(keys, KEY, "review_order").select("review_order", (F.col("review_id") % 3).alias("label"))
+    return R.attach_by_ordinal(_seen(spark, folder), given, "review_order")
+
+
+@query(
+    "j3_unequal_ordinals",
+    f"WITH {SQL_SENTENCES}, {SQL_ORDINALS} SELECT review_order, title, review_id, quality FROM seen FULL JOIN numbered USING (review_order)",
+)
+def by_unequal_ordinal(spark, folder):
+    labels = global_ordinal(table(spark, folder, "labels"), ["doc_id"], "review_order").select("review_order", "quality")
+    return R.attach_by_ordinal(_seen(spark, folder), labels, "review_order", strict=False)
 
 
 @query(

@@ -50,9 +50,9 @@ def label_file(spark, folder):
     return read_label_file(spark, path)
 
 
-@query("s5_parquet", "SELECT doc_id, lang, source, n_chars FROM documents WHERE n_chars > 1000")
+@query("s5_parquet", "SELECT doc_id, lang, source, n_chars FROM documents")
 def parquet(spark, folder):
-    return table(spark, folder, "documents").filter("n_chars > 1000").select("doc_id", "lang", "source", "n_chars")
+    return table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
 @query(

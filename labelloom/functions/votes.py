@@ -1,8 +1,8 @@
 """Majority votes with explicit tie rules.
 
 Votes across columns are plain expressions: no explode, no shuffle, no Python. Votes down a
-group are built from aggregates that combine on the map side, so one huge group costs no more
-than its partial counts.
+group are built from tallies that combine on the map side, so one huge group costs no more than
+its partial counts.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.labels import CLASSES, NEUTRAL, int_label, numeric
+from labelloom.functions.labels import NEUTRAL, int_label, numeric
 
 
 def _support(votes: Sequence[Column]) -> list[Column]:
@@ -82,33 +82,18 @@ def _median_vote(columns: Sequence[str]) -> Column:
     return F.when(best >= 2, _first_where(votes, [s == best for s in support])).otherwise(median).cast("int")
 
 
-def group_vote(
-    label: str,
-    order: str,
-    classes: Sequence[int] = CLASSES,
-    neutral: int = NEUTRAL,
-) -> Column:
-    """Aggregate: the most frequent class of a group, for use in ``groupBy(...).agg``.
+def winner(vote: Column, n: Column, first: Column, neutral: int = NEUTRAL) -> Column:
+    """Aggregate over tallies (label, count, first position): the label with most votes.
 
-    A tie that includes ``neutral`` is neutral; any other tie goes to the tied class that occurs
-    first by ``order``. Labels are closed over ``classes``; a group without a label gives null.
+    A tie that includes ``neutral`` is neutral; any other tie goes to the label that occurs first. Any
+    integer is a label; without one the result is null.
     """
-    vote = int_label(label)
-    seen = [(k, F.count_if(vote == k), F.min(F.when(vote == k, F.col(order)))) for k in classes]
-    best = F.greatest(*[n for _, n, _ in seen])
-    return pick_class([(k, n, first) for k, n, first in seen], best, neutral)
-
-
-def pick_class(seen: Sequence[tuple[int, Column, Column]], best: Column, neutral: int = NEUTRAL) -> Column:
-    """The winning class from (class, count, first position) triples."""
-    first = F.least(
-        *[
-            F.when((n == best) & (n > 0), F.struct(pos.alias("pos"), F.lit(k).alias("label")))
-            for k, n, pos in seen
-        ]
-    )
-    out = first["label"]
-    for k, n, _ in seen:
-        if k == neutral:
-            out = F.when((n == best) & (n > 0), F.lit(k)).otherwise(out)
-    return out
+    rank = F.struct((-n).alias("n"), (vote != neutral).alias("late"), first.isNull().alias("lost"), first.alias("first"), vote.alias("vote"))
+    return F.min(F.when(vote.isNotNull(), rank))["vote"]
+
+
+def vote_by_group(df: DataFrame, key: Sequence[str], label: str, order: str, name: str, neutral: int = NEUTRAL) -> DataFrame:
+    """(key, ``name``): the vote of each group by ``winner``, from tallies that combine on the map side."""
+    rows = df.select(*key, int_label(label).alias("_vote"), F.col(order).alias("_at"))
+    tallies = rows.groupBy(*key, "_vote").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    return tallies.groupBy(*key).agg(winner(F.col("_vote"), F.col("_n"), F.col("_first"), neutral).alias(name))

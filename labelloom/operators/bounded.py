@@ -1,4 +1,4 @@
-"""Joins that mind sizes: checked broadcasts, and hot keys kept out of the shuffle."""
+"""Joins with a checked broadcast."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_ROWS = 1_000_000
 
 
 def settle_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -27,29 +26,3 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     """Join with a broadcast if ``small`` is proven small, else let Spark shuffle (AQE splits skew)."""
     table, fits = settle_small(small, max_rows)
     return big.join(F.broadcast(table) if fits else table, list(on), how)
-
-
-def join_unique(
-    big: DataFrame, unique: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
-    """Join with a table that has one row per key, whatever share of ``big`` one key holds.
-
-    Keys with ``hot_rows`` rows or more are found by a count that reads only the keys. Their rows
-    are joined by broadcast where they are: there are few such keys, and as many rows to broadcast.
-    All other rows are joined by key as usual. Without hot keys, or with more than a broadcast may
-    hold (then none of them is large beside the whole), it is one plain join. Streams and
-    ``hot_rows=None`` skip the count.
-    """
-    on = list(on)
-    if big.isStreaming or hot_rows is None:
-        return big.join(unique, on, how)
-    counts = big.na.drop(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    keys = counts.filter(F.col("_n") >= hot_rows).select(*on)
-    rows = keys.limit(BROADCAST_ROWS + 1).collect()
-    if not rows or len(rows) > BROADCAST_ROWS:
-        return big.join(unique, on, how)
-    hot = F.broadcast(big.sparkSession.createDataFrame(rows, keys.schema))
-    few = F.broadcast(unique.join(hot, on, "left_semi"))
-    heavy = big.join(hot, on, "left_semi").join(few, on, how)
-    light = big.join(hot, on, "left_anti").join(unique, on, how)
-    return heavy.unionByName(light)

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.labels import CLASSES, int_label
+from labelloom.functions.labels import int_label
 from labelloom.functions.schema import drop_null_keys
 from labelloom.functions.text import has_text, strip
-from labelloom.functions.votes import group_vote, pick_class
-from labelloom.operators.bounded import HOT_ROWS, join_unique
+from labelloom.functions.votes import vote_by_group, winner
 from labelloom.operators.ordinal import global_ordinal
-from labelloom.session import cut_lineage
 
 REVIEW_KEY = ("title", "review_id")
 
@@ -21,6 +19,12 @@ REVIEW_KEY = ("title", "review_id")
 RULE = "=" * 80
 
 
+def _in_order(order: str, text: Column) -> Column:
+    """Aggregate: the texts of a group joined with blanks, by ``order``, those without one last."""
+    items = F.collect_list(F.struct(F.col(order).isNull().alias("z"), F.col(order).alias("o"), text.alias("t")))
+    return F.array_join(F.transform(F.array_sort(items), lambda s: s["t"]), " ")
+
+
 def assemble_reviews(
     sentences: DataFrame,
     key: Sequence[str] = REVIEW_KEY,
@@ -29,90 +33,38 @@ def assemble_reviews(
     manual: str = "label_m",
     span: int = 4096,
 ) -> DataFrame:
-    """One row per review, or several ordered parts where a review has very many sentences.
-
-    Text is joined with blanks in sentence order; ``number_of_sentences`` and ``label_m_review``
-    are those of the whole review; ``review_order`` numbers the reviews 1..n in key order. Parts
-    are cut by sentence number, ``span`` numbers each, so no group grows with a hot review;
-    joining the parts of a review with blanks gives its whole text. Nearly all reviews have
-    part 1 of 1.
+    """One row per review: its whole text, joined with blanks in sentence order.
 
-    The text is shuffled once, by (review, block). Counts and votes travel in a narrow table
-    that is checkpointed and joined back on the same (review, block) partitioning.
+    Sentences without a number stand last and do not count; ``review_order`` numbers the reviews
+    1..n in key order. Sentences are first joined by blocks of ``span`` numbers, in parallel for one
+    huge review, and the ordered blocks then make one row; ``span`` does not change the result. The
+    numbering works on a narrow table of keys and votes.
     """
     key = list(key)
-    rows = drop_null_keys(sentences, [*key, order]).filter(has_text(text))
-    rows = rows.withColumn("_block", F.floor(F.col(order) / span))
-    vote = int_label(manual)
-
-    tallies = [F.count(order).alias("_n")]
-    for k in CLASSES:
-        tallies += [
-            F.count_if(vote == k).alias(f"_n{k}"),
-            F.min(F.when(vote == k, F.col(order))).alias(f"_f{k}"),
-        ]
-    blocks = cut_lineage(rows.groupBy(*key, "_block").agg(*tallies))
-    _require_span(blocks, span)
-
-    total = {c: F.sum(c) for c in ("_n", *[f"_n{k}" for k in CLASSES])}
-    first = {f"_f{k}": F.min(f"_f{k}") for k in CLASSES}
-    reviews = blocks.groupBy(*key).agg(
-        *[agg.alias(c) for c, agg in {**total, **first}.items()], F.count(F.lit(1)).alias("parts")
-    )
-    best = F.greatest(*[F.col(f"_n{k}") for k in CLASSES])
-    label = pick_class([(k, F.col(f"_n{k}"), F.col(f"_f{k}")) for k in CLASSES], best)
-    reviews = reviews.select(
-        *key,
-        "parts",
-        F.col("_n").alias("number_of_sentences"),
-        label.alias("label_m_review"),
-    )
-    reviews = global_ordinal(reviews, key, "review_order")
-
-    part = F.row_number().over(Window.partitionBy(*key).orderBy("_block")).cast("long")
-    placed = blocks.select(*key, "_block", part.alias("part")).join(reviews, key)
-    texts = rows.groupBy(*key, "_block").agg(
-        F.array_sort(F.collect_list(F.struct(order, strip(text).alias(text)))).alias("_s")
-    )
-    joined = F.array_join(F.transform("_s", lambda s: s[text]), " ")
-    return texts.join(placed, [*key, "_block"]).select(
-        "review_order",
-        *key,
-        joined.alias("full_review"),
-        "number_of_sentences",
-        "label_m_review",
-        "part",
-        "parts",
+    rows = drop_null_keys(sentences, key).filter(has_text(text))
+    block = F.floor(F.col(order) / span).alias("_block")
+    pieces = rows.groupBy(*key, block).agg(F.count(order).alias("_n"), _in_order(order, strip(text)).alias("_piece"))
+    texts = pieces.groupBy(*key).agg(
+        F.sum("_n").alias("number_of_sentences"), _in_order("_block", F.col("_piece")).alias("full_review")
     )
+    votes = global_ordinal(vote_by_group(rows, key, manual, order, "label_m_review"), key, "review_order")
+    return texts.join(votes, key).select("review_order", *key, "full_review", "number_of_sentences", "label_m_review")
 
 
-def _require_span(blocks: DataFrame, span: int) -> None:
-    worst = blocks.agg(F.max("_n")).first()[0]
-    if worst is not None and worst > span:
-        raise ValueError(f"{worst} sentences share {span} sentence numbers: sentence ids must be unique in a review")
-
-
-def review_blocks(parts: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:
-    """The record-block text of each part: head before part 1, rule and blank line after the last.
-
-    Each block lacks its last line end, which the text writer adds. A review in several parts
-    thus has a line end instead of a blank between two parts.
-    """
+def review_blocks(reviews: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:
+    """The record-block text of each review, without its last line end, which the text writer adds."""
     title, review_id = key
-    head = F.concat_ws(
+    block = F.concat_ws(
         "\n",
         F.concat(F.lit("REVIEW_ORDER: "), F.col("review_order").cast("string")),
         F.concat(F.lit("TITLE: "), F.col(title).cast("string")),
         F.concat(F.lit("REVIEW_ID: "), F.col(review_id).cast("string")),
         F.concat(F.lit("NUMBER_OF_SENTENCES: "), F.col("number_of_sentences").cast("string")),
-        F.lit("FULL_REVIEW:\n"),
-    )
-    block = F.concat(
-        F.when(F.col("part") == 1, head).otherwise(F.lit("")),
+        F.lit("FULL_REVIEW:"),
         F.col("full_review"),
-        F.when(F.col("part") == F.col("parts"), F.lit(f"\n{RULE}\n")).otherwise(F.lit("")),
+        F.lit(f"{RULE}\n"),
     )
-    return parts.select("review_order", "part", block.alias("block"))
+    return reviews.select("review_order", block.alias("block"))
 
 
 def review_agreement(
@@ -124,17 +76,20 @@ def review_agreement(
 ) -> DataFrame:
     """One row per review: manual vote, the first known label of each rater, sentence count.
 
-    A single hash aggregate with map-side combine; a review with a third of all rows is safe.
+    Tallies by (review, manual label) in one scan, then one row per review from the tallies. Both
+    combine on the map side; a review with a third of all rows is safe.
     """
-    known = [F.min_by(r, F.when(F.col(r).isNotNull(), F.col(order))).alias(r) for r in raters]
-    return (
-        drop_null_keys(sentences, key)
-        .groupBy(*key)
-        .agg(
-            group_vote(manual, order).alias(f"{manual}_review"),
-            *known,
-            F.count(order).alias("number_of_sentences"),
-        )
+    key = list(key)
+    rows = drop_null_keys(sentences, key).withColumn("_vote", int_label(manual))
+    at = {r: F.when(F.col(r).isNotNull(), F.col(order)) for r in raters}
+    firsts = [c for r in raters for c in (F.min_by(r, at[r]).alias(r), F.min(at[r]).alias(f"_at_{r}"))]
+    tallies = rows.groupBy(*key, "_vote").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"), F.count(order).alias("_numbered"), *firsts
+    )
+    return tallies.groupBy(*key).agg(
+        winner(F.col("_vote"), F.col("_n"), F.col("_first")).alias(f"{manual}_review"),
+        *[F.min_by(r, f"_at_{r}").alias(r) for r in raters],
+        F.sum("_numbered").alias("number_of_sentences"),
     )
 
 
@@ -159,12 +114,16 @@ def reviews_in_appearance_order(
 
 
 def attach_by_ordinal(reviews: DataFrame, labels: DataFrame, ordinal: str, strict: bool = True) -> DataFrame:
-    """The n-th label belongs to the n-th review; ``strict`` raises when the counts differ."""
+    """The n-th label belongs to the n-th review.
+
+    ``strict`` raises when the counts differ; otherwise reviews without a label and labels without a
+    review stay, with nulls for what they lack.
+    """
     if strict:
         counts = label_cardinality(reviews, labels).first()
         if not counts["matches"]:
             raise ValueError(f"{counts['labels']} labels for {counts['reviews']} reviews")
-    return reviews.join(labels, ordinal)
+    return reviews.join(labels, ordinal, "inner" if strict else "full")
 
 
 def label_cardinality(reviews: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,26 +139,22 @@ def label_cardinality(reviews: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def spread_labels(
-    sentences: DataFrame,
-    reviews: DataFrame,
-    key: Sequence[str] = REVIEW_KEY,
-    check_unique: bool = True,
-    hot_rows: int | None = HOT_ROWS,
+    sentences: DataFrame, reviews: DataFrame, key: Sequence[str] = REVIEW_KEY, check_unique: bool = True
 ) -> DataFrame:
     """Give every sentence the labels of its review; sentences without one keep null labels.
 
-    No broadcast hint: the review table grows with the data, so Spark picks the join from run-time
-    sizes. Reviews with ``hot_rows`` sentences or more stay out of the shuffle (``join_unique``).
+    One join without a hint: the review table grows with the data, so Spark picks the join from
+    run-time sizes and splits the sentences of a hot review over tasks.
     """
     reviews = drop_null_keys(reviews, key)
     if check_unique and not reviews.groupBy(*key).count().filter("count > 1").isEmpty():
         raise ValueError(f"several label rows share one {tuple(key)}")
-    return join_unique(sentences, reviews, key, "left", hot_rows)
+    return sentences.join(reviews, list(key), "left")
 
 
 def unmatched(sentences: DataFrame, reviews: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:
     """Sentences whose review has no label row."""
-    return join_unique(sentences, distinct_reviews(reviews, key), key, "left_anti")
+    return sentences.join(drop_null_keys(reviews, key).select(*key), list(key), "left_anti")
 
 
 def unmatched_count(sentences: DataFrame, reviews: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:

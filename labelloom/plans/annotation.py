@@ -61,8 +61,7 @@ def export_reviews(sentences: DataFrame, table_path: str, blocks_path: str) -> D
     scratch = scratch_path(spark, "reviews")
     assemble_reviews(sentences).write.parquet(scratch)
     reviews = spark.read.parquet(scratch)
-    order = ["review_order", "part"]
-    write_csv(reviews.repartitionByRange(*order).sortWithinPartitions(*order), table_path)
+    write_csv(reviews.repartitionByRange("review_order").sortWithinPartitions("review_order"), table_path)
     write_review_blocks(reviews, blocks_path)
     return reviews
 

@@ -30,7 +30,9 @@ def read_label_file(
     )
     lines = lines.filter(F.col("word") != "")
     split = ["_file", "_start"]
-    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    # part files count by their number: part-100000 comes after part-99999
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1)
+    before = Window.orderBy(F.when(number != "", number.cast("decimal(38,0)")), *split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         lines.groupBy(*split)
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -43,17 +43,12 @@ def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "er
     write_csv(df.select("text", "label", split), path, partition_by=[split], mode=mode)
 
 
-def write_review_blocks(parts: DataFrame, path: str, key: Sequence[str] = REVIEW_KEY, mode: str = "error") -> None:
-    """The text export: the part files, read in name order, hold the blocks in review order.
-
-    Pieces of text are range-partitioned by (review, part), so even one huge review is written
-    by several tasks.
-    """
-    blocks = review_blocks(parts, key)
-    order = ["review_order", "part"]
+def write_review_blocks(reviews: DataFrame, path: str, key: Sequence[str] = REVIEW_KEY, mode: str = "error") -> None:
+    """The text export: the part files, read in name order, hold the blocks in review order."""
     (
-        blocks.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        review_blocks(reviews, key)
+        .repartitionByRange("review_order")
+        .sortWithinPartitions("review_order")
         .select("block")
         .write.mode(mode)
         .text(path, lineSep="\n")

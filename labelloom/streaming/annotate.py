@@ -19,7 +19,7 @@ from labelloom.plans.annotation import REVIEW_RATERS, distribute_labels
 def annotate_stream(sentences: DataFrame, reviews: DataFrame, raters: Sequence[str] = REVIEW_RATERS) -> DataFrame:
     """Clean sentences and give them their review's labels and the merged label."""
     clean = with_known(sentences, "text", clean_text("text"))
-    return distribute_labels(clean, reviews, raters, check_unique=False)
+    return distribute_labels(clean, reviews, raters)
 
 
 def write_annotated(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

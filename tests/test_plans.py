@@ -37,32 +37,16 @@ def sentences(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def test_a_hot_review_stays_out_of_the_shuffle(spark, sentences):
-    reviews = R.review_agreement(sentences, RATERS).select(*R.REVIEW_KEY, *RATERS)
-    reviews = reviews.filter("title <> 'T7'")
+def test_labels_are_spread_by_one_join(spark, sentences):
+    reviews = R.review_agreement(sentences, RATERS).select(*R.REVIEW_KEY, *RATERS).filter("title <> 'T7'")
     bare = sentences.drop(*RATERS).unionByName(
         spark.createDataFrame([(None, 1, 1, "x", 0)], sentences.drop(*RATERS).schema)
     )
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        want = R.spread_labels(bare, reviews, hot_rows=None)
-        got = R.spread_labels(bare, reviews, hot_rows=10_000)
-        assert got.columns == want.columns
-        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
-
-        def largest_task(df):
-            hot = F.count_if(F.col("title") == "T0").alias("n")
-            per_task = df.groupBy(F.spark_partition_id()).agg(hot, F.sum(RATERS[0]).alias("s"))
-            return per_task.agg(F.max("n"), F.max("s")).first()[0]
-
-        # a third of the rows has one key: together by hash, spread out when treated as hot
-        assert largest_task(want) >= 40_000
-        assert largest_task(got) <= 20_000
-        assert "BroadcastHashJoin" in plan(got) and "SortMergeJoin" in plan(got)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert R.unmatched(bare, reviews).count() == want.filter(F.col(RATERS[0]).isNull()).count() > 1
+    got = R.spread_labels(bare, reviews)
+    assert plan(got).count("Join ") == 1 and spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    assert got.count() == bare.count()
+    lost = got.filter(F.col(RATERS[0]).isNull())
+    assert R.unmatched(bare, reviews).count() == lost.count() == bare.filter("title IS NULL OR title = 'T7'").count()
 
 
 def test_agreement_reads_only_keys_and_labels_once(sentences):
@@ -71,7 +55,7 @@ def test_agreement_reads_only_keys_and_labels_once(sentences):
     assert text.count("FileScan") == 1
     assert "text:string" not in text
     assert "IsNotNull(title)" in text
-    assert "SortAggregate" not in text and "Join" not in text
+    assert "Join" not in text
 
 
 def test_metrics_take_one_scan(sentences):

@@ -41,43 +41,28 @@ def assemble(data):
 
 
 @pytest.mark.parametrize("span", [4096, 50, 1])
-def test_parts_join_to_whole_reviews(rows, span):
+def test_one_row_per_review(rows, span):
     data = some_sentences()
-    parts = R.assemble_reviews(rows(data, SENTENCE).repartition(6), span=span).collect()
-    got = defaultdict(list)
-    for p in parts:
-        got[p["review_order"]].append(p)
-    whole = []
-    for order, ps in sorted(got.items()):
-        ps.sort(key=lambda p: p["part"])
-        assert [p["part"] for p in ps] == list(range(1, ps[0]["parts"] + 1))
-        text = " ".join(p["full_review"] for p in ps)
-        whole.append((order, ps[0]["title"], ps[0]["review_id"], text, ps[0]["number_of_sentences"], ps[0]["label_m_review"]))
-    assert whole == assemble(data)
-    if span == 50:
-        assert max(len(ps) for ps in got.values()) > 5
-
-
-def test_repeated_sentence_numbers_are_refused(rows):
-    with pytest.raises(ValueError, match="unique"):
-        R.assemble_reviews(rows([("T1", 1, 1, "a", 0)] * 3, SENTENCE), span=2)
+    got = R.assemble_reviews(rows(data, SENTENCE).repartition(6), span=span)
+    assert got.columns == ["review_order", "title", "review_id", "full_review", "number_of_sentences", "label_m_review"]
+    assert sorted(map(tuple, got.collect())) == assemble(data)
+
+
+def test_sentences_without_a_number_stand_last(rows):
+    data = [("T", 1, 4096, "b", 3), ("T", 1, 4095, "a", 3), ("T", 1, None, "z", 0), ("T", 2, None, "x", None)]
+    got = sorted(map(tuple, R.assemble_reviews(rows(data, SENTENCE)).collect()))
+    assert got == [(1, "T", 1, "a b z", 2, 3), (2, "T", 2, "x", 0, None)]
 
 
 def test_text_export(rows, tmp_path):
-    data = some_sentences(hot=120)
-    df = rows(data, SENTENCE)
+    data = [(t, r, s * 1000, x, v) for t, r, s, x, v in some_sentences(hot=120)]
     want = "".join(
         f"REVIEW_ORDER: {o}\nTITLE: {t}\nREVIEW_ID: {r}\nNUMBER_OF_SENTENCES: {n}\nFULL_REVIEW:\n{text}\n{'=' * 80}\n\n"
         for o, t, r, text, n, _ in assemble(data)
     )
-    for span in (4096, 10):
-        path = tmp_path / f"blocks{span}"
-        write_review_blocks(R.assemble_reviews(df, span=span), str(path))
-        got = "".join(f.read_bytes().decode() for f in sorted(path.glob("part-*")))
-        if span == 4096:
-            assert got == want
-        else:  # parts of the long review are separated by line ends
-            assert got.split() == want.split()
+    write_review_blocks(R.assemble_reviews(rows(data, SENTENCE)), str(tmp_path / "blocks"))
+    got = "".join(f.read_bytes().decode() for f in sorted((tmp_path / "blocks").glob("part-*")))
+    assert got == want
 
 
 def test_global_ordinal_is_dense_over_many_partitions(spark):

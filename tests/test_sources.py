@@ -94,3 +94,10 @@ def test_small_tables_are_dealt_out_by_key(spark, tmp_path):
 def test_scratch_paths_are_fresh(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(checkpoint_dir(spark).rstrip("/"))
+
+
+def test_label_files_of_many_parts_keep_their_order(spark, tmp_path):
+    for k, number in enumerate(("99998", "99999", "100000")):
+        (tmp_path / f"part-{number}-x.txt").write_text(f"{k}\n")
+    got = read_label_file(spark, str(tmp_path)).orderBy("review_order").collect()
+    assert [r["label"] for r in got] == [0, 1, 2]

@@ -4,7 +4,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.functions.votes import group_vote, row_vote
+from labelloom.functions.votes import row_vote, vote_by_group
 
 COLS = ["m", "r1", "r2", "r3"]
 LABELS = [None, 0, 1, 2]
@@ -85,13 +85,13 @@ def test_unknown_tie_rule():
         row_vote(COLS, "coin")
 
 
-CASES = [([2, 2, 1, 2], 2), ([0, 1], 1), ([2, 0], 2), ([0, 2], 0), ([2, 0, 0, 2, 1], 2), ([None, None], None)]
+CASES = [([2, 2, 1, 2], 2), ([0, 1], 1), ([2, 0], 2), ([0, 2], 0), ([2, 0, 0, 2, 1], 2), ([None, None], None), ([3, 3, 0], 3), ([5], 5), ([7, 1, -2, 7, 1], 1)]
 
 
 def test_group_vote_hand_cases(rows):
     data = [(k, i, v) for k, (votes, _) in enumerate(CASES) for i, v in enumerate(votes)]
     df = rows(data, "k int, i int, v int").repartition(5, "i")
-    got = dict(map(tuple, df.groupBy("k").agg(group_vote("v", "i")).collect()))
+    got = dict(map(tuple, vote_by_group(df, ["k"], "v", "i", "vote").collect()))
     assert got == {k: want for k, (_, want) in enumerate(CASES)}
 
 
@@ -99,5 +99,5 @@ def test_group_vote_matches_brute_force(rows):
     table = [v for n in (1, 2, 3, 4) for v in product(LABELS, repeat=n)]
     data = [(k, i, v) for k, votes in enumerate(table) for i, v in enumerate(votes)]
     df = rows(data, "k int, i int, v int").repartition(7, F.rand(1))
-    got = dict(map(tuple, df.groupBy("k").agg(group_vote("v", "i")).collect()))
+    got = dict(map(tuple, vote_by_group(df, ["k"], "v", "i", "vote").collect()))
     assert got == {k: vote_neutral(votes) for k, votes in enumerate(table)}
