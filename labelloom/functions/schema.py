@@ -31,11 +31,11 @@ def normalize_header(df: DataFrame, lower: bool = True) -> DataFrame:
 
 
 def find_column(df: DataFrame, names: Sequence[str]) -> str:
-    """The first of ``names`` that is a column of ``df``."""
-    for name in names:
-        if name in df.columns:
-            return name
-    raise ValueError(f"none of {list(names)} in {df.columns}")
+    """The column of ``df`` for a role with several accepted names, the earlier name first; case counts."""
+    present = [n for n in names if n in set(df.columns)]
+    if not present:
+        raise ValueError(f"the table has {', '.join(df.columns)}, but needs one of: {', '.join(names)}")
+    return present[0]
 
 
 def text_and_label(df: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -65,7 +65,7 @@ def clean_text(c: Column | str) -> Column:
     def untag(t: Column) -> Column:
         return F.when(t.contains("<"), F.regexp_replace(t, TAG_PATTERN, "")).otherwise(t)
 
-    plain = _bind(_bind(strip(c), unlink), untag)
+    plain = bind(bind(strip(c), unlink), untag)
     return F.nullif(F.regexp_replace(plain, SPACES_PATTERN, " "), F.lit(""))
 
 
@@ -92,4 +92,4 @@ def with_bigrams(tokens: Column | str) -> Column:
         left, right = F.slice(own, 1, pairs), F.slice(own, 2, pairs)
         return F.concat(own, F.zip_with(left, right, lambda a, b: F.concat_ws(" ", a, b)))
 
-    return _bind(_col(tokens), extend)
+    return bind(_col(tokens), extend)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.functions.text import bind
 from labelloom.operators.bounded import BROADCAST_ROWS
 
 
@@ -23,9 +24,30 @@ def _terms_by_document(df: DataFrame, tokens: Column, doc: str) -> DataFrame:
     return df.repartition(F.col(doc)).select(doc, F.explode(tokens).alias("term"))
 
 
+def _runs(tokens: Column) -> Column:
+    """(term, tf) of each distinct term of an array."""
+
+    def lengths(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+
+        def runs(h: Column) -> Column:
+            after = lambda k: F.coalesce(F.get(h, k + 1), F.size(s) + 1)
+            return F.transform(
+                h, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (after(k) - i).cast("long").alias("tf"))
+            )
+
+        return bind(heads, runs)
+
+    known = F.array_sort(F.array_compact(tokens))
+    return bind(known, lambda s: F.when(F.size(s) > 0, lengths(s)))
+
+
 def term_frequency(df: DataFrame, tokens: Column, doc: str, sublinear: bool = False) -> DataFrame:
-    """(doc, term, tf, weight): occurrences per document; ``sublinear`` weighs 1 + ln(tf)."""
-    counts = _terms_by_document(df, tokens, doc).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf, weight): occurrences per document (row); ``sublinear`` weighs 1 + ln(tf).
+
+    Nothing is shuffled: a row's sorted terms fall into runs, and a run's length is the count.
+    """
+    counts = df.select(doc, F.explode(_runs(tokens)).alias("_r")).select(doc, "_r.term", "_r.tf")
     weight = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")
     return counts.withColumn("weight", weight)
 

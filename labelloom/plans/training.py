@@ -88,11 +88,15 @@ class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         return dataset.withColumn(self.getOutputCol(), damp(self.getInputCol()))
 
 
+def with_text(df: DataFrame) -> DataFrame:
+    """Strip text, drop rows without any; a label, if there is one, is parsed."""
+    known = df.filter(has_text("text")).withColumn("text", strip("text"))
+    return known.withColumn("label", int_label("label")) if "label" in df.columns else known
+
+
 def prepare(df: DataFrame) -> DataFrame:
-    """Strip text, parse labels, drop rows that lack either."""
-    label = int_label("label")
-    known = df.filter(has_text("text") & label.isNotNull())
-    return known.withColumn("text", strip("text")).withColumn("label", label)
+    """Rows to learn from: with text and a label."""
+    return with_text(df).filter(F.col("label").isNotNull())
 
 
 def term_stages(features: Features) -> list[Transformer]:
@@ -211,15 +215,14 @@ def fit(
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Rows with an integer ``prediction``; feature columns are left out."""
-    kept = [c for c in df.columns]
-    return model.transform(prepare(df)).select(*kept, F.col("prediction").cast("int").alias("prediction"))
+    """All rows with text and their integer ``prediction``, labelled or not; feature columns are left out."""
+    return model.transform(with_text(df)).select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
 
 
 def evaluate_on(model: PipelineModel, tests: Mapping[str, DataFrame]) -> DataFrame:
     """Scores per named test set, in one job."""
     parts = [
-        predict(model, df).select(F.lit(name).alias("dataset"), "label", "prediction")
+        predict(model, prepare(df)).select(F.lit(name).alias("dataset"), "label", "prediction")
         for name, df in tests.items()
     ]
     return scores(reduce(DataFrame.unionByName, parts), "label", "prediction", "dataset")

@@ -7,6 +7,7 @@ from labelloom.functions.text import has_text, word_tokens
 from labelloom.operators import agreement as G
 from labelloom.operators import evaluate as E
 from labelloom.operators import reviews as R
+from labelloom.operators import tfidf as W
 from labelloom.operators import vocabulary as V
 from labelloom.plans.annotation import clean_training_corpus
 
@@ -82,3 +83,7 @@ def test_no_array_travels_with_exploded_terms(sentences):
 def test_blank_test_is_cheap_and_pushed_to_the_scan(sentences):
     text = plan(sentences.filter(has_text("text")).select("sentence_id"))
     assert "PushedFilters: [IsNotNull(text)]" in text
+
+
+def test_term_frequencies_need_no_shuffle(sentences):
+    assert "Exchange" not in plan(W.term_frequency(sentences, word_tokens("text"), "sentence_id"))

@@ -107,7 +107,7 @@ def test_schema_helpers(rows):
     assert S.drop_stale_labels(df).columns == ["text", "sentiment"]
     with pytest.raises(ValueError, match="missing columns"):
         S.require_columns(df, ["text", "title"])
-    with pytest.raises(ValueError, match="none of"):
+    with pytest.raises(ValueError, match="needs one of"):
         S.find_column(df, ["x"])
     with pytest.raises(ValueError, match="no rows"):
         S.require_rows(df.filter(F.lit(False)))

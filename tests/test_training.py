@@ -31,6 +31,8 @@ def test_logistic_learns_saves_and_loads(corpus, tmp_path):
     model.write().save(str(tmp_path / "m"))
     again = PipelineModel.load(str(tmp_path / "m"))
     assert sorted(M.predict(again, corpus).collect()) == sorted(M.predict(model, corpus).collect())
+    bare = corpus.drop("label")
+    assert M.predict(model, bare).count() == M.predict(model, corpus.withColumn("label", F.lit(None).cast("int"))).count() == corpus.count()
 
 
 def test_features_match_the_relational_tfidf(corpus):
