@@ -89,7 +89,8 @@ def word_counts(docs: DataFrame, vocabulary: pa.Array) -> np.ndarray:
 
 
 def _seeds(values: np.ndarray, counts: np.ndarray, ids: list[int], code: list[np.ndarray], n: int) -> dict:
-    rarity = np.log((counts[:-1] + 1) / (counts[-1] + len(counts)))
+    # an n-gram with a word that no document has cannot be found: it comes last
+    rarity = np.where(counts[:-1] > 0, np.log((counts[:-1] + 1) / (counts[-1] + len(counts))), np.inf)
     found: dict[int, list] = {}
     for k, c in enumerate(code):
         m = min(n, len(c))
