@@ -19,14 +19,20 @@ SQL_VOCABULARY = f"""{SQL_LONG},
 counted AS (SELECT token, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS first_at FROM long GROUP BY token),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, first_at) + 1 AS INTEGER) AS id, n AS count
           FROM counted ORDER BY n DESC, first_at LIMIT {V.MAX_TOKENS})"""
-SQL_TERMS = f"""
-grams AS (SELECT doc_id, {sql_bigrams('t')} AS g FROM (SELECT doc_id, {sql_words('text')} AS t FROM documents)),
-pairs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM grams) GROUP BY ALL)
-"""
 
 
-def sql_features(min_df: int = 1, size: int = TERMS) -> str:
-    return f"""{SQL_TERMS},
+def sql_terms(source: str = "documents") -> str:
+    return f"""
+    grams AS (SELECT doc_id, {sql_bigrams('t')} AS g FROM (SELECT doc_id, {sql_words('text')} AS t FROM {source})),
+    pairs AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS term FROM grams) GROUP BY ALL)
+    """
+
+
+SQL_TERMS = sql_terms()
+
+
+def sql_features(min_df: int = 1, size: int = TERMS, source: str = "documents") -> str:
+    return f"""{sql_terms(source)},
     stats AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM pairs GROUP BY term HAVING count(*) >= {min_df}),
     feats AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx, tf, df
               FROM (SELECT * FROM stats ORDER BY tf DESC, term LIMIT {size}))"""
@@ -84,13 +90,13 @@ def smooth_idf(spark, folder):
     f"""WITH {sql_features()},
         w AS (SELECT doc_id, p.term, idx, p.tf, p.tf * (ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1) AS w
               FROM pairs p JOIN feats USING (term))
-        SELECT doc_id, term, idx, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS weight FROM w""",
+        SELECT doc_id, term, idx, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
 )
 def tfidf(spark, folder):
     docs = _docs(spark, folder)
     idf = W.idf_table(_features(spark, folder), docs.count())
     out = W.tfidf(docs, _terms(), "doc_id", idf, TERMS)
-    return out.withColumn("weight", F.round("weight", 5))
+    return out.withColumn("weight", F.round("weight", 6))
 
 
 @query(

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from labelloom.catalog.entry import query
-from labelloom.catalog.inputs import classified, table
+from labelloom.catalog.evaluation import SQL_FOLDS, SQL_HOLDOUT, SQL_RANKED, rounded
+from labelloom.catalog.features import sql_features, sql_terms
+from labelloom.catalog.inputs import SQL_CLASSIFIED, classified, table
 from labelloom.operators import evaluate as E
 from labelloom.operators.scoring import predict_linear, score_batches
 from labelloom.operators.split import stratified_split
@@ -50,9 +53,16 @@ def _corpus(spark, folder):
 def _train_and_tests(spark, folder):
     """In-domain: one language, split; out of domain: the other languages."""
     df = _corpus(spark, folder)
-    home = stratified_split(df.filter("lang = 'en'"), "label", "doc_id")
-    train = home.filter("split = 'train'")
-    return train, {"in-domain": home.filter("split = 'test'"), "out-of-domain": df.filter("lang <> 'en'")}
+    home = stratified_split(M.prepare(df.filter("lang = 'en'")), "label", "doc_id")
+    train, val, test = (home.filter(F.col("split") == s) for s in ("train", "val", "test"))
+    away = M.prepare(df.filter("lang <> 'en' or lang is null"))
+    return train, {"validation": val, "in-domain": test, "out-of-domain": away}
+
+
+# The same rows as SQL: those with text, by language, split.
+SQL_KNOWN = "known AS (SELECT * FROM cls WHERE regexp_matches(text, '\\S'))"
+SQL_HOME = f"""{SQL_CLASSIFIED}, {SQL_KNOWN}, home AS (SELECT * FROM known WHERE lang = 'en'),
+{SQL_RANKED.replace("FROM cls", "FROM home")}, {SQL_HOLDOUT}"""
 
 
 def _scores(df):
@@ -72,6 +82,57 @@ def unigrams(spark, folder):
     return _scores(M.evaluate_on(model, {"train": train}))
 
 
+@query(
+    "m1_training_vectors",
+    f"""WITH {SQL_HOME}, learnt AS (SELECT doc_id, text FROM known JOIN placed USING (doc_id) WHERE split = 'train'),
+        {sql_features(source="learnt")},
+        w AS (SELECT doc_id, idx, p.tf * (ln((1 + (SELECT count(*) FROM learnt)) / CAST(1 + df AS DOUBLE)) + 1) AS w
+              FROM pairs p JOIN feats USING (term))
+        SELECT doc_id, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""",
+)
+def vectors(spark, folder):
+    """What the logistic model is given of its training rows."""
+    train, _ = _train_and_tests(spark, folder)
+    model = M.fit(train, "doc_id", M.logistic(1.0, iterations=1))
+    return rounded(M.feature_rows(model, train, "doc_id"))
+
+
+@query(
+    "m1_learns_its_training_rows",
+    f"""WITH {SQL_HOME}, sized AS (SELECT label, count(*) AS n FROM placed WHERE split = 'train' GROUP BY label)
+        SELECT 'train' AS dataset, CAST(sum(n) AS BIGINT) AS support, true AS beats_majority, true AS within_bounds FROM sized""",
+)
+def learns(spark, folder):
+    """Scores of the logistic model on its own training rows lie within 0..1, above the share of the largest class."""
+    train, _ = _train_and_tests(spark, folder)
+    model = M.fit(train, "doc_id", M.logistic(1.0), M.UNIGRAM_FEATURES)
+    sizes = train.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("majority"))
+    own = M.evaluate_on(model, {"train": train}).crossJoin(F.broadcast(sizes))
+    within = [F.col(c).between(0, 1) for c in ("accuracy", "macro_f1", "weighted_f1")]
+    return own.select(
+        "dataset",
+        "support",
+        (F.col("accuracy") > F.col("majority")).alias("beats_majority"),
+        (within[0] & within[1] & within[2]).alias("within_bounds"),
+    )
+
+
+@query(
+    "m2_fold_vocabularies",
+    f"""WITH {SQL_CLASSIFIED}, {SQL_KNOWN}, {SQL_RANKED.replace("FROM cls", "FROM known")}, {SQL_FOLDS}, {sql_terms("known")},
+        stats AS (SELECT CAST(k.f AS INTEGER) AS fold, term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df
+                  FROM pairs JOIN folded USING (doc_id) JOIN range(5) AS k(f) ON folded.fold <> k.f GROUP BY ALL),
+        chosen AS (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY fold ORDER BY tf DESC, term) <= {M.LOGISTIC_FEATURES.max_features}),
+        docs AS (SELECT k.f AS fold, count(*) AS n FROM folded JOIN range(5) AS k(f) ON folded.fold <> k.f GROUP BY ALL)
+        SELECT fold, term, CAST(row_number() OVER (PARTITION BY fold ORDER BY term) - 1 AS INTEGER) AS idx, tf, df,
+               round(ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1, 6) AS idf
+        FROM chosen JOIN docs USING (fold)""",
+)
+def fold_vocabularies(spark, folder):
+    """Vocabulary and weights of every fold, learnt from the others."""
+    return rounded(M.fold_vocabularies(_corpus(spark, folder), "doc_id"))
+
+
 @query("m2_cross_validation")
 def cross_validation(spark, folder):
     return M.cross_validate(_corpus(spark, folder), "doc_id", {"C=1.0": M.logistic(1.0)})
@@ -98,9 +159,25 @@ def strengths(spark, folder):
     return E.fold_summary(folds, "macro_f1", by=["run"])
 
 
-@query("k7_model_round_trip")
-def round_trip(spark, folder):
-    train, tests = _train_and_tests(spark, folder)
+def _same_after_reload(spark, model, df):
     path = scratch_path(spark, "model")
-    M.fit(train, "doc_id", M.logistic(5.0)).write().save(path)
-    return M.predict(PipelineModel.load(path), tests["out-of-domain"]).select("doc_id", "label", "prediction")
+    model.write().save(path)
+    before = M.predict(model, df).select("doc_id", "label", F.col("prediction").alias("was"))
+    after = M.predict(PipelineModel.load(path), df).select("doc_id", "prediction")
+    return before.join(after, "doc_id").select("doc_id", "label", (F.col("was") == F.col("prediction")).alias("same"))
+
+
+SQL_SAME = f"WITH {SQL_CLASSIFIED}, {SQL_KNOWN} SELECT doc_id, CAST(label AS INTEGER) AS label, true AS same FROM known"
+
+
+@query("k7_model_round_trip", SQL_SAME)
+def round_trip(spark, folder):
+    df = _corpus(spark, folder)
+    return _same_after_reload(spark, M.fit(df, "doc_id", M.logistic(5.0, iterations=20)), df)
+
+
+@query("k7_perceptron_round_trip", SQL_SAME)
+def perceptron_round_trip(spark, folder):
+    df = _corpus(spark, folder)
+    small = M.Features(max_features=1_000, min_df=2, sublinear=True)
+    return _same_after_reload(spark, M.fit(df, "doc_id", M.perceptron(iterations=10), small, balanced="copies"), df)

@@ -20,7 +20,7 @@ SENTENCES = "title string, review_id long, sentence_id long, text string, label_
 def csv(spark, folder):
     path = scratch_path(spark, "csv")
     sinks.write_csv(bare_sentences(spark, folder), path)
-    return tables.read_csv(spark, path, SENTENCES)
+    return tables.read_csv(spark, path, SENTENCES, multi_line=True)
 
 
 @query("s2_tsv", f"WITH {SQL_CLASSIFIED} SELECT text, label FROM cls")
@@ -28,14 +28,14 @@ def tsv(spark, folder):
     path = scratch_path(spark, "tsv")
     raw = classified(spark, folder).select(F.col("text").alias("Text"), F.col("label").alias("LABEL"))
     sinks.write_tsv(raw, path)
-    return tables.read_tsv(spark, path, "Text string, LABEL int")
+    return tables.read_tsv(spark, path, "Text string, LABEL int", multi_line=True)
 
 
 @query("s3_semicolon", f"WITH {SQL_SENTENCES} SELECT * FROM bare")
 def semicolon(spark, folder):
     path = scratch_path(spark, "semicolon")
     sinks.write_delimited(bare_sentences(spark, folder), path, tables.SEMICOLON)
-    return tables.read_semicolon(spark, path, SENTENCES)
+    return tables.read_semicolon(spark, path, SENTENCES, multi_line=True)
 
 
 @query(
@@ -62,7 +62,7 @@ def parquet(spark, folder):
 def csv_write(spark, folder):
     path = scratch_path(spark, "predictions")
     sinks.write_csv(E.prediction_table(classified(spark, folder), "text", "label", "prediction"), path)
-    return tables.read_csv(spark, path, "text string, prediction_label int, truth_label int")
+    return tables.read_csv(spark, path, "text string, prediction_label int, truth_label int", multi_line=True)
 
 
 @query(
@@ -73,7 +73,7 @@ def split_write(spark, folder):
     path = scratch_path(spark, "splits")
     sinks.write_splits(stratified_split(classified(spark, folder).select("doc_id", "text", "label"), "label", "doc_id"), path)
     parts = [
-        tables.read_csv(spark, f"{path}/split={s}", "text string, label int").withColumn("split", F.lit(s))
+        tables.read_csv(spark, f"{path}/split={s}", "text string, label int", multi_line=True).withColumn("split", F.lit(s))
         for s in ("train", "val", "test")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -83,7 +83,7 @@ def split_write(spark, folder):
 def tsv_write(spark, folder):
     path = scratch_path(spark, "tsv")
     sinks.write_tsv(bare_sentences(spark, folder), path)
-    return tables.read_tsv(spark, path, SENTENCES)
+    return tables.read_tsv(spark, path, SENTENCES, multi_line=True)
 
 
 @query(

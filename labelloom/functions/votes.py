@@ -8,27 +8,25 @@ its partial counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.labels import NEUTRAL, int_label, numeric
+from labelloom.functions.text import bind
 
 
-def _support(votes: Sequence[Column]) -> list[Column]:
-    """For each vote, how many votes (itself included) agree with it; null for a null vote."""
-    return [
-        F.when(
-            v.isNotNull(),
-            reduce(lambda a, b: a + b, [F.coalesce((v == w).cast("int"), F.lit(0)) for w in votes]),
-        )
-        for v in votes
-    ]
+def _leaders(votes: Column) -> Column:
+    """The labels with most votes in an array without nulls, the one voted for first at the front."""
 
+    def counted(v: Column) -> Column:
+        return F.struct(F.size(F.filter(votes, lambda w: w == v)).alias("n"), v.alias("vote"))
 
-def _first_where(votes: Sequence[Column], tests: Sequence[Column]) -> Column:
-    return F.coalesce(*[F.when(t, v) for v, t in zip(votes, tests, strict=True)])
+    def most(tallies: Column) -> Column:
+        best = F.array_max(tallies)["n"]
+        return F.transform(F.filter(tallies, lambda t: t["n"] == best), lambda t: t["vote"])
+
+    return bind(F.transform(F.array_distinct(votes), counted), most)
 
 
 def row_vote(
@@ -44,42 +42,43 @@ def row_vote(
     tie="priority": a tie goes to the label in ``priority`` (null there gives null, or an error
                     if ``strict``).
     tie="median":   a label needs two votes; otherwise the median of the votes, truncated.
+
+    Every vote is parsed once, into an array that the rest of the expression works on, so the plan
+    grows in proportion to the number of raters.
     """
     if tie == "median":
-        return _median_vote(columns)
-    votes = [int_label(c) for c in columns]
-    support = _support(votes)
-    best = F.greatest(*support)
-    top = [s == best for s in support]
-    winner = _first_where(votes, top)
+        return bind(F.array_compact(F.array(*[numeric(c) for c in columns])), _median_vote).cast("int")
+    votes = F.array_compact(F.array(*[int_label(c) for c in columns]))
     if tie == "neutral":
-        neutral = reduce(
-            lambda a, b: a | b, [F.coalesce(t & (v == NEUTRAL), F.lit(False)) for v, t in zip(votes, top, strict=True)]
-        )
-        return F.when(neutral, F.lit(NEUTRAL)).otherwise(winner)
-    if tie == "priority":
+
+        def decide(top: Column) -> Column:
+            return F.when(F.array_contains(top, NEUTRAL), F.lit(NEUTRAL)).otherwise(F.get(top, F.lit(0)))
+
+    elif tie == "priority":
         if priority is None:
             raise ValueError("tie='priority' needs the priority column")
-        rivals = reduce(
-            lambda a, b: a | b, [F.coalesce(t & (v != winner), F.lit(False)) for v, t in zip(votes, top, strict=True)]
-        )
         decided = int_label(priority)
         if strict:
             decided = F.coalesce(decided, F.raise_error(F.lit(f"tie without a label in {priority}")).cast("int"))
-        return F.when(rivals, decided).otherwise(winner)
-    raise ValueError(f"unknown tie rule: {tie}")
-
-
-def _median_vote(columns: Sequence[str]) -> Column:
-    votes = [numeric(c) for c in columns]
-    support = _support(votes)
-    best = F.greatest(*support)
-    ranked = F.array_sort(F.array_compact(F.array(*votes)))
-    n = F.size(ranked)
-    low = F.get(ranked, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ranked, F.floor(n / 2).cast("int"))
-    median = F.when(n > 0, (low + high) / 2)
-    return F.when(best >= 2, _first_where(votes, [s == best for s in support])).otherwise(median).cast("int")
+
+        def decide(top: Column) -> Column:
+            return F.when(F.size(top) > 1, decided).otherwise(F.get(top, F.lit(0)))
+
+    else:
+        raise ValueError(f"unknown tie rule: {tie}")
+    return bind(votes, lambda known: bind(_leaders(known), decide))
+
+
+def _median_vote(votes: Column) -> Column:
+    n = F.size(votes)
+
+    def middle(ranked: Column) -> Column:
+        low = F.get(ranked, F.floor((n - 1) / 2).cast("int"))
+        high = F.get(ranked, F.floor(n / 2).cast("int"))
+        return F.when(n > 0, (low + high) / 2)
+
+    agreed = F.size(F.array_distinct(votes)) < n
+    return F.when(agreed, F.get(_leaders(votes), F.lit(0))).otherwise(bind(F.array_sort(votes), middle))
 
 
 def winner(vote: Column, n: Column, first: Column, neutral: int = NEUTRAL) -> Column:

@@ -1,38 +1,30 @@
 """Evaluation of predictions.
 
 One partial aggregation turns any number of predictions into a (true, predicted, count) cell per
-pair of classes and data set. The cells of a data set then travel as one small array, and every
-metric is an expression over that array: no second scan, no further large shuffle.
+pair of classes and data set. Metrics are further aggregates over those cells: no second scan of
+the predictions, and no list of all classes in one row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _long(x) -> Column:
-    return F.lit(x).cast("long")
+METRICS = ("precision", "recall", "f1")
 
 
 def _cells(df: DataFrame, true: str, pred: str, dataset: str | None) -> DataFrame:
-    """(dataset, cells, labels): counted class pairs and the sorted union of their labels."""
+    """(dataset, t, p, n): counted class pairs without a null."""
     name = F.col(dataset) if dataset else F.lit("all")
-    counted = df.groupBy(name.alias("dataset"), F.col(true).alias("t"), F.col(pred).alias("p")).agg(
-        F.count(F.lit(1)).alias("n")
+    t, p = F.col(true), F.col(pred)
+    # Rows with a null are left out by their count. A filter on the rows would be pushed below the
+    # model and make it score every row twice.
+    counted = df.groupBy(name.alias("dataset"), t.alias("t"), p.alias("p")).agg(
+        F.count(F.when(t.isNotNull() & p.isNotNull(), 1)).alias("n")
     )
-    # Nulls are dropped from the small array, not from the rows: a filter on the rows would be
-    # pushed below the model and make it score every row twice.
-    known = F.filter(F.collect_list(F.struct("t", "p", "n")), lambda c: c["t"].isNotNull() & c["p"].isNotNull())
-    packed = counted.groupBy("dataset").agg(known.alias("cells"))
-    both = F.concat(F.transform("cells", lambda c: c["t"]), F.transform("cells", lambda c: c["p"]))
-    return packed.withColumn("labels", F.array_sort(F.array_distinct(both)))
-
-
-def _count(test) -> Column:
-    return F.aggregate(F.filter("cells", test), _long(0), lambda acc, c: acc + c["n"])
+    return counted.filter("n > 0")
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -41,24 +33,43 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def confusion_matrix(df: DataFrame, true: str, pred: str, dataset: str | None = None) -> DataFrame:
     """(dataset, true_label, predicted_label, count) with zero cells, labels from either column."""
-    packed = _cells(df, true, pred, dataset)
-    rows = packed.select("dataset", "cells", "labels", F.explode("labels").alias("true_label"))
-    pairs = rows.select("dataset", "cells", "true_label", F.explode("labels").alias("predicted_label"))
-    n = _count(lambda c: (c["t"] == F.col("true_label")) & (c["p"] == F.col("predicted_label")))
-    return pairs.select("dataset", "true_label", "predicted_label", n.alias("count"))
+    # every cell goes to its true class; its predicted class is made known without a count
+    cell = F.struct(F.col("p").alias("predicted_label"), F.col("n").alias("count"))
+    sides = F.array(
+        F.struct(F.col("t").alias("true_label"), cell.alias("cell")),
+        F.struct(F.col("p").alias("true_label"), F.lit(None).alias("cell")),
+    )
+    by_class = (
+        _cells(df, true, pred, dataset)
+        .select("dataset", F.inline(sides))
+        .groupBy("dataset", "true_label")
+        .agg(F.collect_list("cell").alias("cells"))
+    )
+    labels = F.collect_list("true_label").over(Window.partitionBy("dataset"))
+    zeros = F.transform("labels", lambda p: F.struct(p.alias("predicted_label"), F.lit(0).cast("long").alias("count")))
+    return (
+        by_class.withColumn("labels", labels)
+        .select("dataset", "true_label", F.inline(F.concat(zeros, "cells")))
+        .groupBy("dataset", "true_label", "predicted_label")
+        .agg(F.sum("count").alias("count"))
+    )
 
 
 def _per_class(df: DataFrame, true: str, pred: str, dataset: str | None) -> DataFrame:
-    """(dataset, rows, hits, classes): per class precision, recall, f1 and support, as an array."""
-    packed = _cells(df, true, pred, dataset)
-    by_class = packed.select("dataset", "cells", F.explode("labels").alias("class")).select(
-        "dataset",
-        "class",
-        _count(lambda c: (c["t"] == F.col("class")) & (c["p"] == F.col("class"))).alias("hit"),
-        _count(lambda c: c["p"] == F.col("class")).alias("predicted"),
-        _count(lambda c: c["t"] == F.col("class")).alias("support"),
+    """(dataset, class, hit, support, precision, recall, f1), a row per class."""
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("t") == F.col("p"), n).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("t").alias("class"), hit.alias("hit"), n.alias("support"), zero.alias("predicted")),
+        F.struct(F.col("p").alias("class"), zero.alias("hit"), zero.alias("support"), n.alias("predicted")),
     )
-    scored = by_class.select(
+    totals = (
+        _cells(df, true, pred, dataset)
+        .select("dataset", F.inline(sides))
+        .groupBy("dataset", "class")
+        .agg(*[F.sum(c).alias(c) for c in ("hit", "support", "predicted")])
+    )
+    return totals.select(
         "dataset",
         "class",
         "hit",
@@ -67,53 +78,49 @@ def _per_class(df: DataFrame, true: str, pred: str, dataset: str | None) -> Data
         _ratio(F.col("hit"), F.col("support")).alias("recall"),
         _ratio(2 * F.col("hit"), F.col("predicted") + F.col("support")).alias("f1"),
     )
-    return scored.groupBy("dataset").agg(
-        F.sum("support").alias("rows"),
-        F.sum("hit").alias("hits"),
-        F.array_sort(F.collect_list(F.struct("class", "precision", "recall", "f1", "support"))).alias("classes"),
-    )
-
 
-def _macro(field: str) -> Column:
-    return F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + c[field]) / F.size("classes")
 
-
-def _weighted(field: str) -> Column:
-    return F.aggregate("classes", F.lit(0.0), lambda acc, c: acc + c[field] * c["support"]) / F.col("rows")
+def _averages() -> list[Column]:
+    """Aggregates over rows of ``_per_class``."""
+    rows = F.sum("support")
+    return [
+        rows.alias("rows"),
+        (F.sum("hit") / rows).alias("accuracy"),
+        *[F.avg(m).alias(f"macro_{m}") for m in METRICS],
+        *[(F.sum(F.col(m) * F.col("support")) / rows).alias(f"weighted_{m}") for m in METRICS],
+    ]
 
 
 def scores(df: DataFrame, true: str, pred: str, dataset: str | None = None) -> DataFrame:
     """One row per data set: accuracy, macro and weighted precision, recall and F1, row count."""
-    return _per_class(df, true, pred, dataset).select(
-        "dataset",
-        F.col("rows").alias("support"),
-        (F.col("hits") / F.col("rows")).alias("accuracy"),
-        *[_macro(f).alias(f"macro_{f}") for f in ("precision", "recall", "f1")],
-        *[_weighted(f).alias(f"weighted_{f}") for f in ("precision", "recall", "f1")],
-    )
+    out = _per_class(df, true, pred, dataset).groupBy("dataset").agg(*_averages())
+    averages = [f"{kind}_{m}" for kind in ("macro", "weighted") for m in METRICS]
+    return out.select("dataset", F.col("rows").alias("support"), "accuracy", *averages)
 
 
 def classification_report(df: DataFrame, true: str, pred: str, dataset: str | None = None) -> DataFrame:
-    """(dataset, class, precision, recall, f1, support): a row per class, then accuracy, macro avg
+    """(dataset, class, precision, recall, f1, support): a row per class, and accuracy, macro avg
     and weighted avg (accuracy stands in the f1 column, as in the printed report)."""
+    # each class counts for its own line and, under no class, for the whole data set
     per = _per_class(df, true, pred, dataset)
-    null = F.lit(None).cast("double")
+    none = F.lit(None).cast(per.schema["class"].dataType)
+    both = per.select("*", F.explode(F.array(F.col("class"), none)).alias("line"))
+    lines = both.groupBy("dataset", "line").agg(*_averages())
 
-    def line(name: Column, p: Column, r: Column, f: Column, support: Column) -> Column:
+    def line(name: Column, p: Column, r: Column, f: Column) -> Column:
         return F.struct(
-            name.alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1"), support.alias("support")
+            name.alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1"), F.col("rows").alias("support")
         )
 
-    classes = F.transform(
-        "classes", lambda c: line(c["class"].cast("string"), c["precision"], c["recall"], c["f1"], c["support"])
-    )
-    rows = F.col("rows")
+    null = F.lit(None).cast("double")
+    macro, weighted = ([F.col(f"{kind}_{m}") for m in METRICS] for kind in ("macro", "weighted"))
     totals = F.array(
-        line(F.lit("accuracy"), null, null, F.col("hits") / rows, rows),
-        line(F.lit("macro avg"), *[_macro(f) for f in ("precision", "recall", "f1")], rows),
-        line(F.lit("weighted avg"), *[_weighted(f) for f in ("precision", "recall", "f1")], rows),
+        line(F.lit("accuracy"), null, null, F.col("accuracy")),
+        line(F.lit("macro avg"), *macro),
+        line(F.lit("weighted avg"), *weighted),
     )
-    return per.select("dataset", F.inline(F.concat(classes, totals)))
+    own = F.array(line(F.col("line").cast("string"), *macro))
+    return lines.select("dataset", F.inline(F.when(F.col("line").isNull(), totals).otherwise(own)))
 
 
 def metric_table(df: DataFrame, true: str, pred: str, dataset: str | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
@@ -19,11 +21,12 @@ from pyspark.ml.feature import (
     RegexTokenizer,
     SQLTransformer,
 )
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from labelloom.functions.labels import int_label
 from labelloom.functions.text import WORD_PATTERN, has_text, strip
@@ -55,25 +58,28 @@ LOGISTIC_TOLERANCE = 1e-4
 PERCEPTRON_ITERATIONS = 200
 
 WEIGHT = "weight"
-LOGISTIC_ROWS_PER_TASK = 4_000
+COPIES_PER_ROW = 1_000
 
 
 @dataclass(frozen=True)
 class Learner:
-    """How to build an estimator from (rows, features), and how many rows make one task worth
-    its overhead in an iterative fit; None leaves the partitions as they are."""
+    """How to build an estimator from (rows, features)."""
 
     build: Callable[[int, int], Estimator]
-    rows_per_task: int | None = None
 
     def fit(self, train: DataFrame, rows: int, width: int) -> Model:
-        if self.rows_per_task:
-            tasks = -(-rows // self.rows_per_task)
-            if tasks < train.rdd.getNumPartitions():
-                train = train.coalesce(max(tasks, 1))
         return self.build(rows, width).fit(train)
 
 
+@F.pandas_udf(VectorUDT())
+def _damp(vectors: pd.DataFrame) -> pd.DataFrame:
+    """1 + ln(n) for the values of a batch of sparse vectors, taken and given as their fields."""
+    counts = vectors["values"]
+    ends = np.cumsum(counts.str.len().to_numpy())
+    flat = np.concatenate([*counts, np.empty(0)])
+    return vectors.assign(values=pd.Series(np.split(1.0 + np.log(flat), ends)[: len(counts)], index=vectors.index))
+
+
 class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Replace each count n of a sparse vector by 1 + ln(n)."""
 
@@ -82,10 +88,7 @@ class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        import numpy as np
-
-        damp = F.udf(lambda v: SparseVector(v.size, v.indices, 1.0 + np.log(v.values)), VectorUDT())
-        return dataset.withColumn(self.getOutputCol(), damp(self.getInputCol()))
+        return dataset.withColumn(self.getOutputCol(), _damp(self.getInputCol()))
 
 
 def with_text(df: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ def logistic(c: float = 1.0, iterations: int = LOGISTIC_ITERATIONS, weight: str
         )
         return model.setWeightCol(weight) if weight else model
 
-    return Learner(build, LOGISTIC_ROWS_PER_TASK)
+    return Learner(build)
 
 
 def perceptron(classes: int = 3, iterations: int = PERCEPTRON_ITERATIONS, seed: int = 42) -> Learner:
@@ -173,7 +176,8 @@ def balance(df: DataFrame, id_col: str, label: str = "label", seed: int = 42) ->
     """Repeat the rows of rarer classes until classes weigh about the same.
 
     For learners without row weights. Every row is kept at least once; a fractional repeat is
-    decided by the row's hash. The result has at most (classes x largest class) rows.
+    decided by the row's hash. The result has at most (classes x largest class) rows. Copies are
+    dealt out in lots of ``COPIES_PER_ROW``, so that a class with one row fills many tasks.
     """
     sizes = class_sizes(df, label)
     largest = max(sizes.values())
@@ -185,7 +189,11 @@ def balance(df: DataFrame, id_col: str, label: str = "label", seed: int = 42) ->
     chance = F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("double") / float(16**8)
     whole = F.floor(wanted)
     copies = whole + F.when(chance < wanted - whole, 1).otherwise(0)
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("_copy")
+    first = F.sequence(F.lit(0).cast("long"), copies - 1, F.lit(COPIES_PER_ROW).cast("long"))
+    lots = df.withColumn("_copies", copies).withColumn("_first", F.explode(first))
+    dealt = lots.repartition(F.col(id_col), F.col("_first"))
+    last = F.least(F.col("_first") + COPIES_PER_ROW, F.col("_copies")) - 1
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.col("_first"), last))).drop("_copies", "_first", "_copy")
 
 
 def fit(
@@ -214,6 +222,18 @@ def fit(
         terms.unpersist()
 
 
+@F.pandas_udf(StructType([StructField("idx", ArrayType(IntegerType())), StructField("weight", ArrayType(DoubleType()))]))
+def _entries(vectors: pd.DataFrame) -> pd.DataFrame:
+    return vectors[["indices", "values"]].set_axis(["idx", "weight"], axis=1)
+
+
+def feature_rows(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
+    """(id, idx, weight): what the classifier of a fitted pipeline is given for each row with text."""
+    features = PipelineModel(stages=model.stages[:-1]).transform(with_text(df).select(id_col, "text"))
+    entries = features.select(id_col, _entries("features").alias("_e"))
+    return entries.select(id_col, F.inline(F.arrays_zip("_e.idx", "_e.weight")))
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """All rows with text and their integer ``prediction``, labelled or not; feature columns are left out."""
     return model.transform(with_text(df)).select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
@@ -228,6 +248,32 @@ def evaluate_on(model: PipelineModel, tests: Mapping[str, DataFrame]) -> DataFra
     return scores(reduce(DataFrame.unionByName, parts), "label", "prediction", "dataset")
 
 
+def _in_folds(df: DataFrame, id_col: str, features: Features, folds: int, seed: int) -> DataFrame:
+    """(id, label, fold, terms) of the rows to learn from."""
+    placed = stratified_folds(prepare(df).select(id_col, "text", "label"), "label", id_col, folds, seed)
+    return PipelineModel(stages=term_stages(features)).transform(placed).select(id_col, "label", "fold", "terms")
+
+
+def _without(stats: DataFrame, fold: int) -> DataFrame:
+    """Term statistics of all folds but one, from statistics per fold."""
+    return stats.filter(F.col("fold") != fold).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def fold_vocabularies(
+    df: DataFrame, id_col: str, features: Features = LOGISTIC_FEATURES, folds: int = 5, seed: int = 42
+) -> DataFrame:
+    """(fold, term, idx, tf, df, idf): what cross-validation learns before it scores each fold."""
+    terms = _in_folds(df, id_col, features, folds, seed)
+    stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]))
+    rows = {r["fold"]: r["count"] for r in terms.groupBy("fold").count().collect()}
+    parts = []
+    for fold in range(folds):
+        documents = F.lit(sum(n for f, n in rows.items() if f != fold))
+        chosen = feature_vocabulary(_without(stats, fold), features.max_features, features.min_df)
+        parts.append(chosen.select(F.lit(fold).alias("fold"), "term", "idx", "tf", "df", smooth_idf(documents, "df").alias("idf")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate(
     df: DataFrame,
     id_col: str,
@@ -236,26 +282,24 @@ def cross_validate(
     folds: int = 5,
     seed: int = 42,
     balanced: str | None = None,
-    parallelism: int = 5,
+    parallelism: int = 1,
 ) -> DataFrame:
     """(run, fold, accuracy, macro_f1, weighted_f1): every run on every fold.
 
     The vocabulary and the document frequencies of a fold's training rows leave out that fold. They
     come from one pass over the corpus: statistics are kept per (term, fold), and a fold's own part
     is left out of the sum. All runs share the features of a fold, all folds are scored in one job.
-    ``parallelism`` folds are trained at a time, each with its training vectors cached; their jobs
-    are short and many, so they fill each other's gaps.
+    One fold is trained at a time by default, as a fold in training keeps its vectors in executor
+    storage; where several fit, a higher ``parallelism`` lets their many short jobs fill each other's gaps.
     """
-    placed = stratified_folds(prepare(df).select(id_col, "text", "label"), "label", id_col, folds, seed)
-    terms = PipelineModel(stages=term_stages(features)).transform(placed)
-    terms = terms.select(id_col, "label", "fold", "terms").persist(StorageLevel.MEMORY_AND_DISK)
+    terms = _in_folds(df, id_col, features, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]))
         rows = {r["fold"]: r["count"] for r in terms.groupBy("fold").count().collect()}
 
         def one_fold(fold: int) -> DataFrame:
             others = F.col("fold") != fold
-            counted = stats.filter(others).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+            counted = _without(stats, fold)
             documents = sum(n for f, n in rows.items() if f != fold)
             stages, width = vector_stages(counted, documents, features)
             vectors = PipelineModel(stages=stages)

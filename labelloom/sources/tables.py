@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import FractionalType, IntegralType, StringType, StructField, StructType
 
-from labelloom.functions.schema import normalize_header
+from labelloom.functions.labels import numeric
+from labelloom.functions.schema import normalize_header, require_columns
 
 COMMA, TAB, SEMICOLON = ",", "\t", ";"
 
@@ -36,43 +37,53 @@ MISSING = (
 )
 
 
+def _typed(field: StructField, missing: Sequence[str]) -> Column:
+    """A text column as the type of ``field``; numbers that cannot be read are null."""
+    text = F.col(f"`{field.name}`")
+    known = F.when(~text.isin(*missing), text)
+    if isinstance(field.dataType, IntegralType):
+        # whole numbers are read as such: a double has no place for 19 digits
+        known = F.coalesce(known.try_cast(field.dataType), numeric(known).try_cast(field.dataType))
+    elif isinstance(field.dataType, FractionalType):
+        known = known.try_cast(field.dataType)
+    else:
+        known = known.cast(field.dataType)
+    return known.alias(field.name)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
     schema: StructType | str,
     sep: str = COMMA,
-    multi_line: bool = True,
+    multi_line: bool = False,
     lower_header: bool | None = None,
     missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """A delimited table with a header, double-quoted fields and an optional byte-order mark.
 
-    ``schema`` names the columns as they stand in the header. Fields may hold line breaks; a file
-    is then read by one task, so keep such tables in many files, or pass ``multi_line=False``
-    where fields hold none and files can be split. Fields spelled as ``missing`` become null in
-    every column. ``lower_header`` strips the names, and lowers them too if True.
+    ``schema`` names the wanted columns as they stand in the header, in any order; others are left out,
+    a missing one raises. All files of ``path`` have the same header (the first line of one file is
+    read to learn it, the others are checked). Fields that hold line breaks need ``multi_line=True``;
+    a file is then read by one task, so keep such tables in many files. Fields spelled as ``missing``
+    become null in every column. Numbers are read leniently: what is no number becomes null, and an
+    integer may be written as 1.0. ``lower_header`` strips the names, and lowers them too if True.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    raw = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(**options).csv(path).columns
+    raw = StructType([StructField(name, StringType()) for name in header])
     text = spark.read.schema(raw).csv(
         path,
-        header=True,
-        sep=sep,
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
         enforceSchema=False,
         mode="FAILFAST",
         nullValue="",
         emptyValue="",
+        **options,
     )
-    df = text.select(
-        *[
-            F.when(~F.col(f"`{f.name}`").isin(*missing), F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    require_columns(text, schema.names)
+    df = text.select(*[_typed(f, missing) for f in schema.fields])
     return df if lower_header is None else normalize_header(df, lower=lower_header)
 
 
@@ -94,11 +105,11 @@ def read_semicolon(spark: SparkSession, path: str, schema: StructType | str, **o
 def read_parquet(spark: SparkSession, folder: str, table: str, key: str | None = None) -> DataFrame:
     """One table of a folder of Parquet tables.
 
-    With ``key``, a table that comes in fewer splits than there are cores (one small file) is
-    dealt out by ``key``, so that work per row uses all cores. Larger tables are read as they are.
+    With ``key``, a table that comes in a single split (at most ``spark.sql.files.maxPartitionBytes``,
+    or one row group) is dealt out by ``key``, so that work per row uses all cores. Any larger table
+    is read as it is.
     """
     df = spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if key is None or df.rdd.getNumPartitions() >= cores:
+    if key is None or df.rdd.getNumPartitions() > 1:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(spark.sparkContext.defaultParallelism, key)

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 from labelloom.operators import evaluate as E
 
@@ -92,3 +95,17 @@ def test_metric_table_has_one_number_per_row(predictions):
     # three classes and two averages with four numbers each; accuracy with f1 and support
     assert len(got) == 2 * (5 * 4 + 2)
     assert all(r["value"] is not None for r in got)
+
+
+def test_many_classes(spark):
+    k = 500
+    df = spark.range(k * 4).select((F.col("id") % k).alias("t"), ((F.col("id") * 7 + F.col("id") % 2) % k).alias("p"))
+    pairs = [(i % k, (i * 7 + i % 2) % k) for i in range(k * 4)]
+    matrix = E.confusion_matrix(df, "t", "p")
+    assert matrix.count() == k * k
+    want = Counter(pairs)
+    got = {(r["true_label"], r["predicted_label"]): r["count"] for r in matrix.filter("count > 0").collect()}
+    assert got == want
+    hits = sum(t == p for t, p in pairs)
+    assert E.scores(df, "t", "p").first()["accuracy"] == hits / len(pairs)
+    assert E.classification_report(df, "t", "p").count() == k + 3

@@ -20,7 +20,7 @@ TRICKY = [
 def test_delimited_round_trip(rows, spark, tmp_path, sep):
     df = rows(TRICKY, SCHEMA).repartition(3)
     sinks.write_delimited(df, str(tmp_path / "t"), sep)
-    back = tables.read_delimited(spark, str(tmp_path / "t"), SCHEMA, sep)
+    back = tables.read_delimited(spark, str(tmp_path / "t"), SCHEMA, sep, multi_line=True)
     assert back.dtypes == df.dtypes
     assert sorted(map(tuple, back.collect()), key=str) == sorted(TRICKY, key=str)
 
@@ -28,7 +28,7 @@ def test_delimited_round_trip(rows, spark, tmp_path, sep):
 def test_foreign_csv_with_byte_order_mark_and_missing_values(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_bytes("﻿title,review_id,text,label_m\r\nT1,1,\"a \"\"b\"\"\nc\",2.0\r\nT2,NA,nan,\r\n".encode())
-    got = tables.read_csv(spark, str(path), SCHEMA).collect()
+    got = tables.read_csv(spark, str(path), SCHEMA, multi_line=True).collect()
     assert list(map(tuple, got)) == [("T1", 1, 'a "b"\nc', 2.0), ("T2", None, None, None)]
 
 
@@ -39,11 +39,32 @@ def test_header_is_normalised(spark, tmp_path):
     assert (df.columns, df.first()) == (["text", "label"], ("ab", 1))
 
 
-def test_wrong_header_is_refused(spark, tmp_path):
-    path = tmp_path / "x.csv"
-    path.write_text("a,b\n1,2\n")
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "1.csv").write_text("a,b,c\n1,2,3\n")
+    (tmp_path / "x" / "2.csv").write_text("a,b,c\n4,5,6\n")
+    folder = str(tmp_path / "x")
+    assert sorted(tables.read_csv(spark, folder, "c int, a string").collect()) == [(3, "1"), (6, "4")]
+    with pytest.raises(ValueError, match="missing columns \\['d'\\]"):
+        tables.read_csv(spark, folder, "a int, d int")
+    (tmp_path / "x" / "3.csv").write_text("b,a,c\n1,2,3\n")
     with pytest.raises(Exception, match="(?i)header"):
-        tables.read_csv(spark, str(path), "b int, a int").collect()
+        tables.read_csv(spark, folder, "a int").collect()
+
+
+def test_numbers_are_read_leniently(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("i,l,d\n1.0,9007199254740993,0.5\n2.9,1e3,x\nword,,1e2\n")
+    got = tables.read_csv(spark, str(path), "i int, l long, d double").collect()
+    assert list(map(tuple, got)) == [(1, 9007199254740993, 0.5), (2, 1000, None), (None, None, 100.0)]
+
+
+def test_line_breaks_in_fields_are_refused_unless_asked_for(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n"x\ny",2\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_csv(spark, str(path), "a string, b int").collect()
+    assert tables.read_csv(spark, str(path), "a string, b int", multi_line=True).collect() == [("x\ny", 2)]
 
 
 def test_label_file_numbers_lines_over_splits(spark, tmp_path):

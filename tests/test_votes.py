@@ -101,3 +101,15 @@ def test_group_vote_matches_brute_force(rows):
     df = rows(data, "k int, i int, v int").repartition(7, F.rand(1))
     got = dict(map(tuple, vote_by_group(df, ["k"], "v", "i", "vote").collect()))
     assert got == {k: vote_neutral(votes) for k, votes in enumerate(table)}
+
+
+@pytest.mark.parametrize("tie", ["neutral", "priority", "median"])
+def test_plans_of_row_votes_stay_small_with_many_raters(rows, tie):
+    names = [f"v{i}" for i in range(8)]
+    df = rows([(0, 0, 2, 2, 2, 1, 1, 2)], ", ".join(f"{n} string" for n in names))
+    sizes = []
+    for n in (4, 8):
+        out = df.select(row_vote(names[:n], tie, priority="v0").alias("v"))
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+    assert sizes[0] < 10_000 and sizes[1] < 2.5 * sizes[0]
+    assert out.first()["v"] == 2
