@@ -196,6 +196,11 @@ def balance(df: DataFrame, id_col: str, label: str = "label", seed: int = 42) ->
     return dealt.withColumn("_copy", F.explode(F.sequence(F.col("_first"), last))).drop("_copies", "_first", "_copy")
 
 
+def _evened(vectors: DataFrame) -> DataFrame:
+    """Partitions of even bytes, sized by adaptive execution: an iterative fit reads them hundreds of times."""
+    return cut_lineage(vectors.hint("rebalance"))
+
+
 def fit(
     train: DataFrame,
     id_col: str,
@@ -212,7 +217,7 @@ def fit(
         documents = terms.count()
         stages, width = vector_stages(term_statistics(terms, F.col("terms"), id_col), documents, features)
         vectors = PipelineModel(stages=stages).transform(level(terms, balanced, id_col))
-        vectors = vectors.drop(id_col, "terms", "counts", "damped", "weighted").persist(StorageLevel.MEMORY_AND_DISK)
+        vectors = _evened(vectors.drop(id_col, "terms", "counts", "damped", "weighted")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             model = learner.fit(vectors, documents, width)
         finally:
@@ -305,7 +310,7 @@ def cross_validate(
             vectors = PipelineModel(stages=stages)
             train = vectors.transform(level(terms.filter(others), balanced, id_col))
             train = train.drop(id_col, "fold", "terms", "counts", "damped", "weighted")
-            train = train.persist(StorageLevel.MEMORY_AND_DISK)
+            train = _evened(train).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 held = vectors.transform(terms.filter(F.col("fold") == fold)).select("label", "fold", "features")
                 done = []
