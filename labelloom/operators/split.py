@@ -20,6 +20,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MAX_CLASSES = 10_000
 MAX_BRANCHES = 60
+BUCKET_ROWS = 1_000_000
+HASH_DIGITS = 32
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -76,7 +78,8 @@ def assign(
     """Add ``name``: the part of each row, in the order and sizes of ``quotas[label]``.
 
     ``id_col`` must be unique. ``bucket_digits`` hex digits of the hash make the buckets
-    (16**3 = 4096); give more for very large tables, so that one bucket stays easy to sort.
+    (16**3 = 4096); one with an end and more than ``BUCKET_ROWS`` rows is split by as many digits
+    again, so that ranks are only counted in buckets of bounded size, however large the class.
     """
     found = _part_ends(df, label, id_col, quotas, seed, bucket_digits)
     cuts = {}
@@ -141,25 +144,36 @@ def _part_ends(df, label, id_col, quotas, seed, digits) -> dict:
     wanted = [(k, r) for k, r in wanted if 0 < r < sum(quotas[k].values())]
     if not wanted:
         return {}
-    spark = df.sparkSession
+    spark, k_type = df.sparkSession, df.schema[label].dataType.simpleString()
     keyed = df.select(F.col(label).alias("k"), F.col(id_col).alias("i"), hash_key(id_col, seed).alias("h"))
-    keyed = keyed.withColumn("b", F.substring("h", 1, digits))
-    counts = keyed.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("k").orderBy("b"))
-    ladder = counts.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
-    ranks = spark.createDataFrame(wanted, f"k {df.schema[label].dataType.simpleString()}, r long")
-    held = ladder.join(F.broadcast(ranks), "k").filter("below < r and r <= upto")
-    places = [(x["k"], x["b"], x["r"], x["r"] - x["below"]) for x in held.collect()]
-
-    # one row per end, so the broadcast is bounded by classes x parts
-    sought = spark.createDataFrame(
-        [(k, b, p) for k, b, _, p in places], f"k {df.schema[label].dataType.simpleString()}, b string, place long"
-    )
-    inside = keyed.join(F.broadcast(sought.select("k", "b").distinct()), ["k", "b"])
-    ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "i")))
-    hits = ranked.join(F.broadcast(sought), ["k", "b", "place"])
-    found = {(x["k"], x["b"], x["place"]): (x["h"], x["i"]) for x in hits.collect()}
-    return {(k, r): found[(k, b, p)] for k, b, r, p in places}
+
+    # (class, bucket, rank, place in the bucket): buckets that are too large are split further
+    wide, places, width = [(k, "", r, r) for k, r in wanted], {}, 0
+    while wide:
+        asked = F.broadcast(spark.createDataFrame(wide, f"k {k_type}, p string, r long, place long"))
+        inside = keyed.withColumn("p", F.substring("h", 1, width))
+        if width:
+            inside = inside.join(asked.select("k", "p").distinct(), ["k", "p"])
+        width += digits
+        counts = inside.groupBy("k", "p", F.substring("h", 1, width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("k", "p").orderBy("b"))
+        ladder = counts.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
+        held = ladder.join(asked, ["k", "p"]).filter("below < place and place <= upto").collect()
+        large = [x for x in held if x["n"] > BUCKET_ROWS and width < HASH_DIGITS]
+        wide = [(x["k"], x["b"], x["r"], x["place"] - x["below"]) for x in large]
+        places[width] = [(x["k"], x["b"], x["r"], x["place"] - x["below"]) for x in held if x not in large]
+
+    found = {}
+    for width, ends in places.items():
+        if ends:
+            # one row per end, so the broadcast is bounded by classes x parts
+            sought = F.broadcast(spark.createDataFrame(ends, f"k {k_type}, b string, r long, place long"))
+            bucket = keyed.withColumn("b", F.substring("h", 1, width))
+            inside = bucket.join(sought.select("k", "b").distinct(), ["k", "b"])
+            ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "i")))
+            hits = ranked.join(sought, ["k", "b", "place"])
+            found |= {(x["k"], x["r"]): (x["h"], x["i"]) for x in hits.collect()}
+    return found
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, held: float = 0.25, test: float = 0.8) -> DataFrame:

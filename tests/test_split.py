@@ -58,6 +58,13 @@ def test_split_matches_brute_force(table, digits):
     assert {r["doc"]: r["split"] for r in out.collect()} == brute_force(table, quotas)
 
 
+def test_large_buckets_are_split_until_they_are_small(table, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 4)
+    quotas = P.holdout_quotas(P.class_sizes(table, "label"))
+    out = P.assign(table, "label", "doc", quotas, "split", bucket_digits=1)
+    assert {r["doc"]: r["split"] for r in out.collect()} == brute_force(table, quotas)
+
+
 def test_folds_match_brute_force_and_cover_all_rows(table):
     out = {r["doc"]: r["fold"] for r in P.stratified_folds(table, "label", "doc").collect()}
     assert out == brute_force(table, P.fold_quotas(P.class_sizes(table, "label")))
