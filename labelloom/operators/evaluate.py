@@ -81,13 +81,13 @@ def _per_class(df: DataFrame, true: str, pred: str, dataset: str | None) -> Data
 
 
 def _averages() -> list[Column]:
-    """Aggregates over rows of ``_per_class``."""
+    """Aggregates over rows of ``_per_class``; a class that is only predicted has no share of its own."""
     rows = F.sum("support")
     return [
         rows.alias("rows"),
-        (F.sum("hit") / rows).alias("accuracy"),
+        F.try_divide(F.sum("hit"), rows).alias("accuracy"),
         *[F.avg(m).alias(f"macro_{m}") for m in METRICS],
-        *[(F.sum(F.col(m) * F.col("support")) / rows).alias(f"weighted_{m}") for m in METRICS],
+        *[F.try_divide(F.sum(F.col(m) * F.col("support")), rows).alias(f"weighted_{m}") for m in METRICS],
     ]
 
 

@@ -109,3 +109,10 @@ def test_many_classes(spark):
     hits = sum(t == p for t, p in pairs)
     assert E.scores(df, "t", "p").first()["accuracy"] == hits / len(pairs)
     assert E.classification_report(df, "t", "p").count() == k + 3
+
+
+def test_report_has_a_line_for_a_class_that_is_only_predicted(rows):
+    report = E.classification_report(rows([(0, 0), (0, 1), (None, 0), (0, None)], "t int, p int"), "t", "p")
+    lines = {r["class"]: (r["precision"], r["recall"], r["support"]) for r in report.collect()}
+    assert lines["0"] == (1.0, 0.5, 2) and lines["1"] == (0.0, 0.0, 0)
+    assert lines["macro avg"] == (0.5, 0.25, 2) and lines["weighted avg"] == (1.0, 0.5, 2)
