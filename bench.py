@@ -38,6 +38,8 @@ HEADLINE = (
     "m5_linear_scores",
     "u4_batched_scores",
     "m1_logistic_regression",
+    "m2_fold_vocabularies",
+    "k7_model_round_trip",
 )
 SCORING = "u4_batched_scores"
 
