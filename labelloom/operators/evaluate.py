@@ -2,7 +2,7 @@
 
 One partial aggregation turns any number of predictions into a (true, predicted, count) cell per
 pair of classes and data set. Metrics are further aggregates over those cells: no second scan of
-the predictions, and no list of all classes in one row.
+the predictions. Only the confusion matrix lists all classes beside each class, to fill its zero cells.
 """
 
 from __future__ import annotations
