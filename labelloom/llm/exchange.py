@@ -59,17 +59,20 @@ def _small(a: np.ndarray, limit: int) -> np.ndarray:
     return a.astype(np.uint16 if limit < (1 << 16) else np.uint32)
 
 
-def _repeats(h: np.ndarray, ids: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _repeats(h: np.ndarray, keys: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (hash, id); which of the ordered entries are repeated; which stand for their hash.
 
     ``later``: entries with an id above the least of their hash; otherwise all of a hash that has two.
+    Entries without id are equal in order but not the same: where they are the least, each key stands for itself.
     """
-    by = np.lexsort((ids, h)) if later else np.argsort(h, kind="stable")
+    ids = _order(keys)
+    by = np.lexsort((keys, ids, h)) if later else np.argsort(h, kind="stable")
     h = h[by]
     first = np.r_[True, h[1:] != h[:-1]][: len(h)]
     if later:
         least = ids[by][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
         marked = ids[by] > least
+        first |= ~marked & np.r_[True, np.diff(keys[by]) != 0][: len(h)]
     else:
         size = np.diff(np.r_[np.flatnonzero(first), len(h)])
         marked = np.repeat(size > 1, size)
@@ -119,7 +122,7 @@ def marks(docs: DataFrame, windows: Windows, later: bool, limit: int = BLOCK_BYT
             if not len(h):
                 continue
             keys = np.array(block.extra[KEY], dtype=np.int64)[doc]
-            by, marked, first = _repeats(h, _order(keys), later)
+            by, marked, first = _repeats(h, keys, later)
             keys, h = keys[by], h[by]
             rows: list[tuple] = []
             if marked.any():  # known here; they only travel to their document
@@ -135,7 +138,7 @@ def marks(docs: DataFrame, windows: Windows, later: bool, limit: int = BLOCK_BYT
     def answer(table: pa.Table) -> pa.Table:
         rows = list(zip(table["known"].to_pylist(), table["payload"].to_pylist()))
         keys, h = _joined([_unpaired(data) for known, data in rows if not known])
-        by, marked, _ = _repeats(h, _order(keys), later)
+        by, marked, _ = _repeats(h, keys, later)
         at = by[marked]
         keys, h = _joined([(keys[at], h[at]), *(_unpaired(data) for known, data in rows if known)])
         group = (mix(keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)

@@ -27,6 +27,16 @@ def test_substrings(name, width, request):
     assert found == Counter((d, *want[d, t]) for d, t in own)
 
 
+def test_substrings_without_ids(spark):
+    """Rows without id share a passage, and the row with an id that has it is in another task."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, passage), (None, "a b " + passage), (None, "c " + passage), (None, f"d {passage} e {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    found = rows_of(substrings.repeat_digest(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    plain = brute.window_removal(rows, 50)
+    assert found == Counter((d, *plain[d, t]) for d, t in rows)
+
+
 def test_substrings_keep_text(odd):
     for r in substrings.remove_repeats(odd, 5).collect():
         assert len(r["kept"].split()) == r["n_words"] - r["n_removed"]
