@@ -33,6 +33,22 @@ def test_lm_base(name, request):
     assert all(r["score"] < 0 for r in found)
 
 
+
+@pytest.mark.parametrize("size", [1, 7, 50, 300, 5000])
+def test_head(spark, size):
+    """The head is as large as it may be, and the classes above the last one are whole."""
+    rng = np.random.default_rng(size)
+    n = {int(h): int(k) for h, k in zip(rng.integers(-(1 << 62), 1 << 62, 2000) * 2, rng.zipf(1.5, 2000).clip(max=10**9))}
+    counts = spark.createDataFrame(list(n.items()), "h long, n long").repartition(4)
+    head = lm.head_of(counts, outcomes=5, size=size)
+    found = dict(zip(head.hash.view(np.int64).tolist(), head.count.tolist()))
+    assert len(found) == min(size, len(n)) and found.items() <= n.items()
+    assert (head.total, head.distinct) == (sum(n.values()), len(n))
+    level = {h: np.floor(np.log2(k) * 8) for h, k in n.items()}
+    assert min(level[h] for h in found) >= max((level[h] for h in n if h not in found), default=0)
+    assert head.outcomes == min(5, len(found))
+
+
 def test_lm_is_normalised():
     head = lm.Head(np.arange(6, dtype=np.uint64), np.array([9, 8, 7, 3, 2, 1]), np.array([0, 1, 2, -1, -1, -1]), 40, 10)
     model = lm.fresh(head, 4)
