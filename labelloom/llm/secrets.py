@@ -45,8 +45,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16,}", 16),
 )
+#: A whole private key: from BEGIN to the END line, which has no other dashed line before it. Where END is missing, the
+#: header lines and the base64 run, with the short line or the word that ends it.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|{gap}(?:[A-Za-z0-9-]+:[^\n\\]*+(?:\n|\\n){gap})*+(?:(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}{gap})++(?:[A-Za-z0-9+/]++={{0,2}})?|[A-Za-z0-9+/]++={{0,2}}\s*\Z)"
+    r"|)"
+).format(gap=r"""(?:[\s"'+,>#*|;]|\\[nrt])*+""")
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
