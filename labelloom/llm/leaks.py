@@ -1,8 +1,11 @@
 """Benchmark decontamination (operator 5).
 
-Seeds are the rarest word n-grams of each test item, by the word frequencies of the whole corpus.
-A seed found in a document proposes a passage around it, and Smith-Waterman alignment of the item
-with the passage scores it, so edited and paraphrased copies count by what is left of the item.
+Seeds are pairs of words of a test item with at most one word between them. Two words in a row that
+an alignment matches form such a pair unless they stand two edits apart, and an alignment that
+reaches the least score has no room for that many edits. So it holds a known number of pairs, and
+the most frequent ones, by the word frequencies of the whole corpus, need not be looked up. Where
+enough pairs meet, Smith-Waterman alignment of the item with the passage around them scores it, so
+edited and paraphrased copies count by what is left of the item.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.blocks import Block, blocks, hash_words, id_and_text, ids_out, mix, window_hashes, with_row, without_row, words
+from labelloom.llm.blocks import Block, blocks, id_and_text, ids_out, with_row, without_row, words
 
-SEED_WORDS = 3
-#: Share of an item's n-grams, rarest first, that serve as seeds, and how many at least.
-SEED_SHARE = 0.5
-SEED_LEAST = 8
+#: Share of the pairs an alignment must hold that may be left out of the seeds, the most frequent first.
+LEFT_OUT = 0.5
+#: Items of so few words count only where they occur whole.
+WHOLE = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: An item counts as copied from this share of the score of an exact copy.
 MIN_SCORE = 0.4
@@ -30,6 +33,8 @@ MIN_SCORE = 0.4
 ITEM_BYTES = 8 << 20
 #: Cells of one alignment matrix row over all passages aligned at once.
 CELLS = 1 << 20
+#: Seeds found at once, more only in one document.
+HITS = 1 << 22
 
 SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long"
 #: ASCII punctuation as blanks.
@@ -47,12 +52,21 @@ def _plain(ids: np.ndarray, texts: list[bytes]) -> Block:
 
 @dataclass
 class Items:
-    """A block of test items: their words as numbers, and the sorted seeds with the places that hold them."""
+    """A block of test items: their words as numbers, the sorted seeds (a pair of word numbers as one) with the item of
+    each, how many seeds a copy holds at least, and how many words of a document it spans at most."""
 
     vocabulary: pa.Array
     ids: np.ndarray
     code: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by n: hash, item, place
+    seeds: np.ndarray
+    owner: np.ndarray
+    need: np.ndarray
+    span: np.ndarray
+
+    @property
+    def wide(self) -> int:
+        """The factor of a pair's first word; its last number stands for no word."""
+        return len(self.vocabulary) + 1
 
 
 def _item_words(rows: list[tuple[int, str]]) -> tuple[pa.Array, list[int], list[np.ndarray]]:
@@ -88,26 +102,43 @@ def word_counts(docs: DataFrame, vocabulary: pa.Array) -> np.ndarray:
     return out
 
 
-def _seeds(values: np.ndarray, counts: np.ndarray, ids: list[int], code: list[np.ndarray], n: int) -> dict:
-    # an n-gram with a word that no document has cannot be found: it comes last
-    rarity = np.where(counts[:-1] > 0, np.log((counts[:-1] + 1) / (counts[-1] + len(counts))), np.inf)
-    found: dict[int, list] = {}
-    for k, c in enumerate(code):
-        m = min(n, len(c))
-        h = window_hashes(values[c], m)
-        chance = sum(rarity[c][i : len(c) - m + 1 + i] for i in range(m))
-        take = max(SEED_LEAST, math.ceil(SEED_SHARE * len(h)))
-        at = np.argsort(chance, kind="stable")[:take]
-        found.setdefault(m, []).append((h[at], np.full(len(at), k), at))
-    out = {}
-    for m, parts in found.items():
-        h, item, place = (np.concatenate(x) for x in zip(*parts))
-        by = np.argsort(h, kind="stable")
-        out[m] = (h[by], item[by], place[by])
-    return out
+def seeds_needed(n: int, min_score: float) -> int:
+    """How many pairs with at most one edit inside any alignment of ``min_score`` with an item of ``n`` words holds.
+
+    With m words matched and e edits it scores 2 m - e, and each of its m - 1 steps that is no such pair takes two edits:
+    2 m - 2 (m - 1 - pairs) = 2 + 2 pairs is at least 2 n ``min_score``.
+    """
+    return max(1, math.ceil(n * min_score - 1 - 1e-9))
 
 
-def item_blocks(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS) -> Iterator[Items]:
+def _seeds(vocabulary: pa.Array, counts: np.ndarray, ids: np.ndarray, code: list[np.ndarray], min_score: float) -> Items:
+    wide = len(vocabulary) + 1
+    common = np.append(np.log(counts[:-1] + 1e-9), 0.0)
+    seeds, owner = [], []
+    need, span = np.ones(len(code), dtype=np.int64), np.ones(len(code), dtype=np.int64)
+    for k, c in enumerate(code):
+        if len(c) <= WHOLE:
+            # one seed: the word alone, or both words
+            pair = np.array([c[0] * wide + (c[1] if len(c) > 1 else wide - 1)])
+            span[k] = len(c)
+        else:
+            least = seeds_needed(len(c), min_score)
+            out = int(LEFT_OUT * least)
+            need[k] = least - out
+            # 2 m - e >= 2 n s and at least length - m edits: length <= 3 m - 2 n s, and m <= n
+            span[k] = math.ceil(len(c) * (3 - 2 * min_score))
+            one, two = common[c[:-1]] + common[c[1:]], np.append(common[c[:-2]] + common[c[2:]], -np.inf)
+            at = np.argsort(-np.maximum(one, two), kind="stable")[out:]
+            far = at[at < len(c) - 2]
+            pair = np.unique(np.concatenate([c[at] * wide + c[at + 1], c[far] * wide + c[far + 2]]))
+        seeds.append(pair)
+        owner.append(np.full(len(pair), k))
+    found, item = np.concatenate(seeds), np.concatenate(owner)
+    by = np.argsort(found, kind="stable")
+    return Items(vocabulary, ids, code, found[by], item[by], need, span)
+
+
+def item_blocks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> Iterator[Items]:
     """All items, a bounded block at a time, with seeds by the word counts of all documents."""
     plain = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -119,8 +150,7 @@ def item_blocks(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS)
             continue
         vocabulary, ids, code = _item_words(rows)
         if ids:
-            seeds = _seeds(mix(hash_words(vocabulary)), word_counts(docs, vocabulary), ids, code, seed_words)
-            yield Items(vocabulary, np.array(ids, dtype=np.int64), code, seeds)
+            yield _seeds(vocabulary, word_counts(docs, vocabulary), np.array(ids, dtype=np.int64), code, min_score)
 
 
 def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,45 +183,65 @@ def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.
     return best // unit, unit - 1 - best % unit, end
 
 
-def _hits(values: np.ndarray, known: np.ndarray, doc: np.ndarray, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(place, item, place in the item) of every seed in a block of words."""
-    unknown = np.concatenate([[0], np.cumsum(~known)])
-    for m, (seeds, item, place) in items.seeds.items():
-        h = window_hashes(values, m)
-        if not len(h):
+def _hits(code: np.ndarray, doc: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """item * len(code) + place, sorted and distinct, of every place where a seed of the item begins; whole documents at a time."""
+    n, none = len(code), items.wide - 1
+    known = code < none
+    found = []
+    size = np.zeros(n, dtype=np.int64)
+    for step in (0, 1, 2):
+        if step == 0 and not (items.seeds % items.wide == none).any():
             continue
-        whole = (unknown[m:] == unknown[: len(h)]) & (doc[m - 1 :] == doc[: len(h)])
-        at = np.flatnonzero(whole)
-        lo, hi = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
+        at = np.flatnonzero(known[: n - step] & known[step:] & (doc[: n - step] == doc[step:]))
+        pair = code[at] * items.wide + (code[at + step] if step else none)
+        lo, hi = np.searchsorted(items.seeds, pair, "left"), np.searchsorted(items.seeds, pair, "right")
         some = hi > lo
-        at, lo, hi = at[some], lo[some], hi[some]
-        n = hi - lo
-        which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield np.repeat(at, n), item[which], place[which]
+        found.append((step, at[some], lo[some], (hi - lo)[some]))
+        size[found[-1][1]] += found[-1][3]
+    part = np.cumsum(np.bincount(doc, weights=size))[doc] // HITS
+    for k in np.unique(part[size > 0]):
+        out = []
+        for step, at, lo, each in found:
+            own = slice(*np.searchsorted(part[at], [k, k + 1]))
+            at, lo, each = at[own], lo[own], each[own]
+            item = items.owner[np.repeat(lo - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+            at = np.repeat(at, each)
+            if step == 2:
+                # the words of a short item stand side by side
+                far = items.span[item] > WHOLE
+                item, at = item[far], at[far]
+            out.append(item * n + at)
+        yield np.unique(np.concatenate(out))
+
+
+def _passages(hits: np.ndarray, doc: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, first word, end) around places that hold enough seeds of an item for a copy."""
+    n = len(doc)
+    item, place = hits // n, hits % n
+    # a copy begins with one of its seeds at the latest and holds the others within its span
+    end = np.minimum(place + items.span[item], first[doc[place] + 1])
+    enough = np.searchsorted(hits, item * n + end) - np.arange(len(hits)) >= items.need[item]
+    item, place, high = item[enough], place[enough], end[enough]
+    own = doc[place]
+    low = np.maximum(place - items.span[item] + 1, first[own])
+    if not len(item):
+        return own, item, low, high
+    starts = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (item[1:] != item[:-1]) | (low[1:] >= high[:-1])])
+    return own[starts], item[starts], low[starts], np.maximum.reduceat(high, starts)
 
 
 def find_in_block(block: Block, items: Items, min_score: float) -> list[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, end) of the best copy of each item in each document."""
     w = words(_plain(block.ids, block.texts))
-    at = pc.index_in(w.types, items.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    code = at[w.code] if len(w) else np.zeros(0, dtype=np.int64)
-    values = np.append(mix(hash_words(items.vocabulary)), np.uint64(0))[code]
-    found = list(_hits(values, code >= 0, w.doc, items))
+    if not len(w):
+        return []
+    code = pc.index_in(w.types, items.vocabulary).fill_null(items.wide - 1).to_numpy(zero_copy_only=False).astype(np.int64)[w.code]
+    found = [_passages(hits, w.doc, w.first, items) for hits in _hits(code, w.doc, items)]
     if not found:
         return []
-    place, item, inner = (np.concatenate(x) for x in zip(*found))
+    doc, item, low, high = (np.concatenate(x) for x in zip(*found))
     sizes = np.array([len(c) for c in items.code])
-    slack = sizes[item] // 4 + 5
-    doc, diagonal = w.doc[place], place - inner
-    by = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal, slack = doc[by], item[by], diagonal[by], slack[by]
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > slack[1:])][: len(doc)]
-    starts = np.flatnonzero(new)
-    if not len(starts):
-        return []
-    low = np.maximum(np.minimum.reduceat(diagonal, starts) - slack[starts], w.first[doc[starts]])
-    high = np.minimum(np.maximum.reduceat(diagonal, starts) + (sizes[item] + slack)[starts], w.first[doc[starts] + 1])
-    doc, item = doc[starts], item[starts]
+    code[code == items.wide - 1] = -1
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     # passages of one item and of about one length advance together
     by = np.lexsort((high - low, item))
@@ -215,7 +265,7 @@ def find_in_block(block: Block, items: Items, min_score: float) -> list[tuple[in
     return [(d, i, s, -a, b) for (d, i), (s, a, b) in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_words: int = SEED_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document and test item of which it holds a copy: doc_id, item_id, score (0 to 1),
     first_word, end_word (of the document, in words without case and punctuation).
 
@@ -225,7 +275,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE,
     shuffled; items go to the tasks in blocks of bounded size.
     """
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for part in item_blocks(docs, items, seed_words):
+    for part in item_blocks(docs, items, min_score):
 
         def run(batches: Iterator[pa.RecordBatch], part=part):
             for block in blocks(batches):
@@ -245,10 +295,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE,
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_words: int = SEED_WORDS) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold a copy of no item. Nothing is shuffled."""
     plain, schema = with_row(docs)
-    for part in item_blocks(docs, items, seed_words):
+    for part in item_blocks(docs, items, min_score):
 
         def run(batches: Iterator[pa.RecordBatch], part=part):
             for batch in batches:

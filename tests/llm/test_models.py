@@ -291,6 +291,34 @@ def test_leaks(spark, odd, nothing):
     assert leaks.without_leaks(odd, own.limit(0)).count() == odd.count()
 
 
+def test_leaks_without_common_runs(spark, monkeypatch):
+    """Every copy that scores enough is found: with each third word replaced, words put between, and edits at random."""
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").limit(40)
+    rng = random.Random(6)
+    filler = [f"w{i}" for i in range(5000)]
+    rows, want = [], set()
+    for r in items.collect():
+        words = leaks._plain(np.array([0]), [r["text"].encode()]).data.tobytes().decode().split()
+        copies = [
+            [rng.choice(filler) if k % 3 == 2 else w for k, w in enumerate(words)],
+            [x for w in words for x in (w, rng.choice(filler))],
+            [w for k, w in enumerate(words) if k % 2 == 0],
+            *([rng.choice(filler) if rng.random() < share else w for w in words] for share in (0.3, 0.4, 0.45)),
+            words[: len(words) // 2] + rng.sample(filler, len(words) // 2) + words[len(words) // 2 :],
+        ]
+        for made in copies:
+            score = smith_waterman(words, made) / (2 * len(words))
+            rows.append((len(rows), " ".join(rng.sample(filler, 60) + made + rng.sample(filler, 60))))
+            if score >= leaks.MIN_SCORE:
+                want.add((rows[-1][0], r["item_id"]))
+    assert len(want) > 150 and {d % 7 for d, _ in want} >= {0, 1, 3, 4}
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(leaks, "HITS", 50)
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(made, items).collect()}
+    assert found == want
+    assert {r["doc_id"] for r in leaks.without_leaks(made, items).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
     base = "/root/testdata/sf0.01"
     items, docs = spark.read.parquet(f"{base}/benchmark.parquet"), spark.read.parquet(f"{base}/documents.parquet")
