@@ -2,10 +2,11 @@
 
 The model is log-bilinear: the vectors of the two words before, each scaled by the weights of its
 place, add up to a predicted vector, and the score of a word is its product with the word's vector
-plus a bias. It is trained in numpy by noise-contrastive estimation. The most frequent tokens are
-outcomes of their own; all others share one outcome and are told apart within it by their smoothed
-counts. Probabilities are normalised over all outcomes: for every distinct context one row of a
-batched matrix product gives all scores and their sum.
+plus a bias. It is trained in numpy by noise-contrastive estimation. The most frequent tokens, 65,536
+or more, are outcomes of their own, as contexts too; all others share one outcome and are told apart
+within it by their smoothed counts. Probabilities are exact in two levels, the class of an outcome and
+the outcome in its class, each normalised over all its scores by a batched matrix product. Classes
+are runs of the outcomes by frequency, cut so that both levels cost about the same.
 
 Counts cover all training tokens and never leave the cluster, but for a bounded head. Every task
 trains on all training text it holds, and the models are averaged by tokens.
@@ -26,13 +27,16 @@ from pyspark.sql import functions as F
 from labelloom.llm.blocks import Block, blocks, hash_words, id_and_text, real_id, words
 from labelloom.session import cut_lineage, settle
 
-#: Outcomes with a vector of their own, and tokens whose counts go to every task.
-OUTCOMES = 512
+#: Tokens with vectors of their own, whose counts go to every task: so many, or so many times the root of the number of distinct ones.
 HEAD = 1 << 16
+HEAD_ROOT = 16
 SIZE = 24
 NOISE = 16
 BATCH = 8192
-RATE = 0.15
+RATE = 0.1
+#: Tokens scored at once, and rows of a model averaged at once.
+SLICE = 1 << 17
+ROWS = 1024
 SEED = 11
 #: The token after the last word. No word is a blank, so no word has its hash.
 END = int(hash_words(pa.array([b" "]), SEED)[0])
@@ -41,7 +45,7 @@ LN10 = float(np.log(10))
 
 @dataclass
 class Head:
-    """The most frequent tokens by hash, with their counts and outcomes (``OUTCOMES`` at most; -1: the shared one),
+    """The most frequent tokens by hash, with their counts and outcomes (by frequency; -1: the shared one),
     the number of all training tokens and of distinct ones."""
 
     hash: np.ndarray
@@ -76,13 +80,16 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def head_of(counts: DataFrame, outcomes: int = OUTCOMES, size: int = HEAD) -> Head:
-    """The ``size`` most frequent tokens at most; about twice as many reach the driver.
+def head_of(counts: DataFrame, outcomes: int | None = None, size: int | None = None) -> Head:
+    """The ``size`` most frequent tokens at most, all of them outcomes if no number is given; about twice as many reach the driver.
 
     Frequencies fall into classes of about 9 %. Whole classes come first, and of the class that does not fit, the
     tokens of least hash. (A sort with a limit would send ``size`` tokens of each partition to the driver.)
     """
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    if size is None:
+        size = max(HEAD, int(HEAD_ROOT * math.sqrt(total["v"])))
+    outcomes = size if outcomes is None else outcomes
     level = F.floor(F.log2("n") * 8)
     room, whole, part, slot = size, -1, -1, 0
     if total["v"] > size:
@@ -94,12 +101,13 @@ def head_of(counts: DataFrame, outcomes: int = OUTCOMES, size: int = HEAD) -> He
                 break
             room -= row["count"]
     wanted = (F.col("level") >= whole) | ((F.col("level") == part) & (F.shiftrightunsigned("h", 1) <= slot))
-    found = counts.withColumn("level", level).filter(wanted).collect()
-    more = sorted((r["h"] % (1 << 64), r["n"], r["h"]) for r in found if r["level"] < whole)[:room]
-    rows = [(r["n"], r["h"]) for r in found if r["level"] >= whole] + [(n, h) for _, n, h in more]
-    rows.sort(key=lambda x: (-x[0], x[1]))
-    n = np.array([n for n, _ in rows], dtype=np.int64)
-    h = np.array([h for _, h in rows], dtype=np.int64).view(np.uint64)
+    found = counts.withColumn("level", level).filter(wanted).select("h", "n", "level").toArrow()
+    h, n, at = (found.column(c).to_numpy().astype(np.int64) for c in ("h", "n", "level"))
+    more = np.flatnonzero(at < whole)
+    more = more[np.argsort(h[more].view(np.uint64))][:room]
+    keep = np.r_[np.flatnonzero(at >= whole), more]
+    keep = keep[np.lexsort((h[keep], -n[keep]))]
+    n, h = n[keep], h[keep].view(np.uint64)
     by = np.argsort(h)
     own = np.arange(len(h))
     own[outcomes:] = -1
@@ -127,25 +135,36 @@ def _history(outcome: np.ndarray, first: np.ndarray, start: int) -> tuple[np.nda
 
 @dataclass
 class Model:
-    """Word vectors of contexts and of targets, place weights, biases."""
+    """Word vectors of contexts and of targets, place weights, biases; vectors and biases of the classes. Class ``c`` has
+    the outcomes from ``edge[c]`` to ``edge[c + 1] - 1``; the shared outcome is the last class."""
 
     context: np.ndarray
     target: np.ndarray
     place: np.ndarray
     bias: np.ndarray
+    group: np.ndarray
+    group_bias: np.ndarray
+    edge: np.ndarray
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.place, self.bias]
+        return [self.context, self.target, self.place, self.bias, self.group, self.group_bias]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([a.reshape(-1) for a in self.arrays()])
+    def copy(self) -> Model:
+        return Model(*(a.copy() for a in self.arrays()), self.edge)
 
-    def from_flat(self, flat: np.ndarray) -> Model:
-        out, at = [], 0
-        for a in self.arrays():
-            out.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
-            at += a.size
-        return Model(*out)
+    def rows(self) -> np.ndarray:
+        """All numbers as one matrix, a bias beside each vector."""
+        parts = ((self.context, None), (self.target, self.bias), (self.group, self.group_bias), (self.place, None))
+        return np.concatenate([np.c_[a, np.zeros(len(a), dtype=a.dtype) if b is None else b] for a, b in parts])
+
+    def from_rows(self, rows: np.ndarray) -> Model:
+        cuts = np.cumsum([len(self.context), len(self.target), len(self.group)])
+        context, target, group, place = np.split(rows.astype(np.float32), cuts)
+        parts = (context[:, :-1], target[:, :-1], place[:, :-1], target[:, -1], group[:, :-1], group[:, -1])
+        return Model(*map(np.ascontiguousarray, parts), self.edge)
+
+    def classes(self, outcome: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.edge, outcome, side="right") - 1
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] * self.place[0] + self.context[two] * self.place[1]
@@ -161,67 +180,122 @@ def noise_of(head: Head) -> np.ndarray:
     return n / n.sum()
 
 
+def class_edges(noise: np.ndarray) -> np.ndarray:
+    """Where classes of outcomes begin, and the end. Runs of equal sums of the roots of the chances make the number of
+    classes plus the mean size of a target's class least where the sum is 1."""
+    at = np.floor(np.cumsum(np.sqrt(noise[:-1])) - np.sqrt(noise[:-1]) / 2)
+    return np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)]), len(noise) - 1, len(noise)]
+
+
 def fresh(head: Head, size: int = SIZE) -> Model:
     """Small fixed vectors, and the unigram model as biases."""
     rng, k = np.random.default_rng(SEED), head.outcomes
+    noise = noise_of(head)
+    edge = class_edges(noise)
     return Model(
         rng.normal(0, 0.1, (k + 2, size)).astype(np.float32),
         rng.normal(0, 0.1, (k + 1, size)).astype(np.float32),
         np.array([[1.0], [0.5]], dtype=np.float32).repeat(size, axis=1),
-        np.log(noise_of(head)).astype(np.float32),
+        np.log(noise).astype(np.float32),
+        rng.normal(0, 0.1, (len(edge) - 1, size)).astype(np.float32),
+        np.log(np.add.reduceat(noise, edge[:-1])).astype(np.float32),
+        edge,
     )
 
 
-def _add_rows(grad: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, the sum of the values of each, how many it has)."""
     by = np.argsort(rows, kind="stable")
     rows = rows[by]
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    grad[rows[starts]] += np.add.reduceat(values[by], starts, axis=0)
+    return rows[starts], np.add.reduceat(values[by], starts, axis=0), np.diff(np.r_[starts, len(rows)])
+
+
+def _sure(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(x, -30, 30)))
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad; a batch shares its noise, drawn anew for each."""
+    """Noise-contrastive estimation with AdaGrad at both levels. A batch shares the noise for classes, and its targets of
+    one class share the noise within it; both are drawn anew for each batch. Only rows that a batch meets are changed."""
 
     def __init__(self, model: Model, noise: np.ndarray, seed: int) -> None:
         self.model, self.noise, self.rng = model, noise, np.random.default_rng(seed)
-        self.seen = [np.full(a.shape, 1e-2, dtype=np.float32) for a in model.arrays()]
-        self.log_noise = np.log(NOISE * noise).astype(np.float32)
-        self.steps = noise.cumsum()
+        self.seen = [np.full(a.shape, 1.0, dtype=np.float32) for a in model.arrays()]
+        self.met = np.zeros(len(model.context) + len(model.target), dtype=np.float32)
+        self.tokens = 0
+        chance = np.add.reduceat(noise, model.edge[:-1])
+        self.log_class = np.log(NOISE * chance).astype(np.float32)
+        self.log_noise = np.log(NOISE * noise / np.repeat(chance, np.diff(model.edge))).astype(np.float32)
+        self.steps, self.class_steps = np.r_[0.0, noise.cumsum()], chance.cumsum()
+
+    def _step(self, k: int, rows, grad: np.ndarray) -> None:
+        seen = self.seen[k][rows] + grad * grad
+        self.seen[k][rows] = seen
+        self.model.arrays()[k][rows] += RATE * grad / np.sqrt(seen)
 
     def batch(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> float:
-        """One step; the mean loss before it."""
+        """One step; the mean loss of the class level before it."""
         m, n = self.model, len(target)
-        drawn = np.minimum(np.searchsorted(self.steps, self.rng.random(NOISE)), len(self.noise) - 1)
+        by = np.argsort(target, kind="stable")
+        one, two, target = one[by], two[by], target[by]
+        own = m.classes(target)
         a, b = m.context[one], m.context[two]
         hidden = a * m.place[0] + b * m.place[1]
-        real = m.target[target]
-        x = np.einsum("ij,ij->i", hidden, real) + m.bias[target] - self.log_noise[target]
-        y = hidden @ m.target[drawn].T + (m.bias[drawn] - self.log_noise[drawn])
-        dx = 1 / (1 + np.exp(np.clip(x, -30, 30)))  # 1 - P(real)
-        dy = -1 / (1 + np.exp(np.clip(-y, -30, 30)))  # -P(noise taken for real)
-        dh = dx[:, None] * real + dy @ m.target[drawn]
-        grads = [np.zeros_like(v) for v in m.arrays()]
-        _add_rows(grads[0], np.r_[one, two], np.concatenate([dh * m.place[0], dh * m.place[1]]))
-        _add_rows(grads[1], target, dx[:, None] * hidden)
-        np.add.at(grads[1], drawn, dy.T @ hidden)
-        grads[2][0], grads[2][1] = (dh * a).sum(axis=0), (dh * b).sum(axis=0)
-        grads[3] += np.bincount(target, weights=dx, minlength=len(m.bias)).astype(np.float32)
-        np.add.at(grads[3], drawn, dy.sum(axis=0))
-        for value, grad, seen in zip(m.arrays(), grads, self.seen):
-            grad /= n
-            seen += grad * grad
-            value += RATE * grad / np.sqrt(seen)
+        # classes
+        drawn = np.minimum(np.searchsorted(self.class_steps, self.rng.random(NOISE)), len(m.group) - 1)
+        real, wrong = m.group[own], m.group[drawn]
+        x = np.einsum("ij,ij->i", hidden, real) + m.group_bias[own] - self.log_class[own]
+        y = hidden @ wrong.T + (m.group_bias[drawn] - self.log_class[drawn])
+        dx, dy = _sure(x), -_sure(-y)  # 1 - P(real), -P(noise taken for real)
+        dh = dx[:, None] * real + dy @ wrong
+        g_rows = [own, drawn]
+        g_values = [np.c_[dx[:, None] * hidden, dx], np.c_[dy.T @ hidden, dy.sum(axis=0)]]
+        # outcomes within their classes
+        t_rows, t_values = [], []
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for lo, hi in zip(starts, np.r_[starts[1:], n]):
+            first, end = m.edge[own[lo]], m.edge[own[lo] + 1]
+            if end - first == 1:
+                continue
+            at = self.steps[first] + self.rng.random(NOISE) * (self.steps[end] - self.steps[first])
+            drawn = np.clip(np.searchsorted(self.steps, at, side="right") - 1, first, end - 1)
+            wrong, h, t = m.target[drawn], hidden[lo:hi], target[lo:hi]
+            real = m.target[t]
+            u = np.einsum("ij,ij->i", h, real) + m.bias[t] - self.log_noise[t]
+            v = h @ wrong.T + (m.bias[drawn] - self.log_noise[drawn])
+            du, dv = _sure(u), -_sure(-v)
+            dh[lo:hi] += du[:, None] * real + dv @ wrong
+            t_rows += [t, drawn]
+            t_values += [np.c_[du[:, None] * h, du], np.c_[dv.T @ h, dv.sum(axis=0)]]
+        rows, values, met = _sums(np.r_[one, two], np.concatenate([dh * m.place[0], dh * m.place[1]]))
+        place = np.stack([(dh * a).sum(axis=0), (dh * b).sum(axis=0)]) / n
+        self._step(0, rows, values)
+        self.met[rows] += met
+        if t_rows:
+            rows, values, met = _sums(np.concatenate(t_rows), np.concatenate(t_values))
+            self._step(1, rows, values[:, :-1])
+            self._step(3, rows, values[:, -1])
+            self.met[len(m.context) + rows] += met
+        self._step(2, slice(None), place)
+        rows, values, _ = _sums(np.concatenate(g_rows), np.concatenate(g_values))
+        self._step(4, rows, values[:, :-1])
+        self._step(5, rows, values[:, -1])
+        self.tokens += n
         return float(np.log1p(np.exp(-np.clip(x, -30, 30))).mean() + np.log1p(np.exp(np.clip(y, -30, 30))).sum(axis=1).mean())
 
+    def weights(self) -> np.ndarray:
+        """For each of the model's rows how often it was met; all tokens for those that all share."""
+        return np.r_[self.met, np.full(len(self.model.group) + len(self.model.place), self.tokens)].astype(np.float32)
+
 
 def train(docs: DataFrame, head: Head, size: int = SIZE) -> Model:
-    """The token-weighted mean of the models that the tasks train on all of ``docs``."""
+    """The mean of the models that the tasks train on all of ``docs``, each row weighted by how often a task met it."""
     start = fresh(head, size)
     noise = noise_of(head)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        trainer = Trainer(start.from_flat(start.flat()), noise, SEED)
-        tokens = 0
+        trainer = Trainer(start.copy(), noise, SEED)
         for block in blocks(batches, lower=True):
             types, code, first = _tokens(block)
             target = _looked_up(head, types)[0][code]
@@ -231,47 +305,67 @@ def train(docs: DataFrame, head: Head, size: int = SIZE) -> Model:
             for a in range(0, len(code), BATCH):
                 at = order[a : a + BATCH]
                 trainer.batch(one[at], two[at], target[at])
-            tokens += len(code)
-        if tokens:
-            flat = trainer.model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "x": flat * tokens, "w": np.full(len(flat), float(tokens))})
-
-    parts = id_and_text(docs).mapInArrow(run, "i long, x double, w double")
-    flat = start.flat().astype(np.float64)
-    for row in parts.groupBy("i").agg((F.sum("x") / F.sum("w")).alias("x")).collect():
-        flat[row["i"]] = row["x"]
-    return start.from_flat(flat)
+        if trainer.tokens:
+            rows, weight = trainer.model.rows(), trainer.weights()
+            for a in range(0, len(rows), ROWS):
+                w = weight[a : a + ROWS]
+                if w.any():
+                    x = (rows[a : a + ROWS] * w[:, None]).astype(np.float32)
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([a], pa.int64()), "x": [x.tobytes()], "w": [w.tobytes()]})
+
+    def added(table: pa.Table) -> pa.Table:
+        x, w = (sum(np.frombuffer(v.as_buffer(), dtype=np.float32).astype(np.float64) for v in table.column(c)) for c in ("x", "w"))
+        mean = x.reshape(len(w), -1) / np.maximum(w, 1)[:, None]
+        return pa.table({"i": table.column("i")[:1], "x": [mean.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()]})
+
+    schema = "i long, x binary, w binary"
+    parts = id_and_text(docs).mapInArrow(run, schema).groupBy("i").applyInArrow(added, schema).toArrow()
+    rows = start.rows()
+    for i, x, w in zip(*(parts.column(c) for c in ("i", "x", "w"))):
+        own = rows[i.as_py() : i.as_py() + ROWS]
+        met = np.frombuffer(w.as_buffer(), dtype=np.float32) > 0
+        own[met] = np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(own.shape)[met]
+    return start.from_rows(rows)
+
+
+def _chances(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log chances of the outcomes ``at`` (from 0) among all of ``vectors``."""
+    out = np.empty(len(at))
+    step = max(1, (1 << 18) // len(bias))
+    for a in range(0, len(at), step):
+        score = hidden[a : a + step] @ vectors.T
+        score += bias
+        own = score[np.arange(len(score)), at[a : a + step]].astype(np.float64)
+        top = score.max(axis=1)
+        score -= top[:, None]
+        np.exp(score, out=score)
+        out[a : a + step] = own - top - np.log(score.sum(axis=1, dtype=np.float64))
+    return out
 
 
 class Scorer:
-    """Normalised log10 chances of outcomes; the sums of contexts that were seen are kept."""
+    """Normalised log10 chances of outcomes."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.wide = len(model.context)
-        self.total = np.full(self.wide * self.wide, np.nan, dtype=np.float64)
-
-    def _fill(self, contexts: np.ndarray) -> None:
-        m = self.model
-        for a in range(0, len(contexts), 4096):
-            some = contexts[a : a + 4096]
-            score = m.predicted(some // self.wide, some % self.wide) @ m.target.T + m.bias
-            top = score.max(axis=1)
-            self.total[some] = top + np.log(np.exp(score - top[:, None]).sum(axis=1, dtype=np.float64))
 
     def __call__(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        m, context = self.model, one * self.wide + two
-        seen = np.zeros(len(self.total), dtype=bool)
-        seen[context] = True
-        self._fill(np.flatnonzero(seen & np.isnan(self.total)))
-        out = np.empty(len(target))
-        for a in range(0, len(target), 1 << 16):
-            z = slice(a, a + (1 << 16))
-            out[z] = np.einsum("ij,ij->i", m.predicted(one[z], two[z]), m.target[target[z]]) + m.bias[target[z]]
-        return (out - self.total[context]) / LN10
-
-
-def score_texts(docs: DataFrame, training: Column, outcomes: int = OUTCOMES, head_size: int = HEAD, size: int = SIZE) -> DataFrame:
+        m, out = self.model, np.empty(len(target))
+        for z in range(0, len(target), SLICE):
+            by = z + np.argsort(target[z : z + SLICE], kind="stable")
+            hidden, goal = m.predicted(one[by], two[by]), target[by]
+            own = m.classes(goal)
+            chance = _chances(hidden, m.group, m.group_bias, own)
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for lo, hi in zip(starts, np.r_[starts[1:], len(own)]):
+                first, end = m.edge[own[lo]], m.edge[own[lo] + 1]
+                if end - first > 1:
+                    chance[lo:hi] += _chances(hidden[lo:hi], m.target[first:end], m.bias[first:end], goal[lo:hi] - first)
+            out[by] = chance
+        return out / LN10
+
+
+def score_texts(docs: DataFrame, training: Column, outcomes: int | None = None, head_size: int | None = None, size: int = SIZE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``training`` holds (null counts as yes). Tokens are words, A-Z in lower

@@ -71,6 +71,19 @@ def test_lm_learns():
     assert (10 ** score(one, one[::-1].copy(), (one + 1) % 8)).mean() > 0.5
 
 
+def test_lm_tells_rare_tokens_apart(spark):
+    """Tokens far behind the most frequent ones have vectors of their own: the word that follows each is known."""
+    rng = random.Random(8)
+    lines = [f"a{k} b{k}" for k in range(800)] * 60
+    rng.shuffle(lines)
+    rows = [(i, " ".join(lines[i * 100 : i * 100 + 100])) for i in range(len(lines) // 100)]
+    rows += [(10_000 + k, f"a{k} b{k}") for k in range(800)] + [(20_000 + k, f"a{k} b{(k + 400) % 800}") for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    score = {r["doc_id"]: r["score"] for r in lm.score_texts(docs, F.col("doc_id") < 10_000).collect()}
+    better = [score[10_000 + k] > score[20_000 + k] for k in range(800)]
+    assert sum(better) > 700
+
+
 def test_lm_beats_unigrams(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(2)
     held = language.held_out(F.col("doc_id"), 7, 2)
