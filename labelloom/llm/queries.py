@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import language, leaks, lm, mixing, rules, secrets, simhash, substrings, suffixes, tokens
+from labelloom.llm import language, leaks, lm, manifest, mixing, rules, secrets, simhash, substrings, suffixes, tokens, topk, turns
+from labelloom.llm.twins import MANIFEST_SQL, TOP_K_SQL, TRIE_SQL
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -60,6 +61,18 @@ def op10_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeat_digest(read(spark, folder, "documents"))
 
 
+def op11_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(read(spark, folder, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.audit(read(spark, folder, "documents"))
+
+
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.trie(read(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,7 +86,10 @@ QUERIES = {
         op8_token_counts,
         op9_quality,
         op10_suffixes,
+        op11_top_k,
+        op12_manifest,
+        op13_trie,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_top_k": TOP_K_SQL, "op12_manifest": MANIFEST_SQL, "op13_trie": TRIE_SQL}
