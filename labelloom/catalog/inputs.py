@@ -10,12 +10,27 @@ from labelloom.sources.tables import read_parquet
 RATERS = ["label_chatgpt_review", "label_perplexity_review", "label_copilot_review"]
 
 
-# tables with much work per row, and the key to deal them out by when they are one small file
+# tables with much work per row, and the key to deal them out by
 DEALT = {"documents": "doc_id", "pages": "page_id"}
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows out by ``key`` if fewer tasks than cores would have any.
+
+    A row group is one task's work, however many splits a file is cut into, so the test tables, one row
+    group each, keep a single core busy. The count reads footers only, and only of tables with fewer
+    files than cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    busy = df.groupBy(F.spark_partition_id().alias("task")).count().count()
+    return df if busy >= cores else df.repartition(cores, key)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return read_parquet(spark, folder, name, DEALT.get(name))
+    df = read_parquet(spark, folder, name)
+    return spread(df, DEALT[name]) if name in DEALT else df
 
 
 def _rater_columns() -> list:

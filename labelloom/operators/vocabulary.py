@@ -5,10 +5,14 @@ A vocabulary is bounded by its size parameter, so it may be broadcast; the corpu
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelloom.operators.bounded import BROADCAST_ROWS
+from labelloom.operators.ordinal import global_ordinal
+from labelloom.session import settle
 
 # Reserved token ids and the sequence length.
 PAD_ID = 0
@@ -17,6 +21,9 @@ FIRST_ID = 2
 SEQUENCE_LENGTH = 100
 MAX_TOKENS = 30_000
 
+#: Bits of a frequency that one pass of the selection settles.
+RADIX_BITS = 12
+
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     """(token, count) over the corpus; counts combine on the map side."""
@@ -47,10 +54,49 @@ def term_statistics(df: DataFrame, tokens: Column, doc: str, by: list[str] | Non
     )
 
 
+def _threshold(stats: DataFrame, size: int) -> tuple[int, int, int]:
+    """The frequency of the ``size``-th most frequent term, how many terms are more frequent, and how
+    many are as frequent. With fewer terms: (0, number of terms, 0).
+
+    Frequencies are narrowed down ``RADIX_BITS`` at a time: each pass counts the terms by the leading
+    bits of their frequency, at most ``2 ** RADIX_BITS`` rows, and goes on in the class where ``size``
+    is reached. A pass reads one column, and there are as many as the largest frequency has such digits.
+    """
+    largest, terms = stats.agg(F.max("tf"), F.count(F.lit(1))).first()
+    if terms <= size:
+        return 0, terms, 0
+    shift = -(-largest.bit_length() // RADIX_BITS) * RADIX_BITS
+    low, above = 0, 0
+    while shift:
+        shift -= RADIX_BITS
+        inside = stats.filter(F.col("tf").between(low, low + (1 << (shift + RADIX_BITS)) - 1))
+        classes = inside.groupBy(F.shiftright(F.col("tf") - low, shift).alias("c")).count().collect()
+        for r in sorted(classes, key=lambda r: -r["c"]):
+            if above + r["count"] >= size:
+                low, equal = low + (r["c"] << shift), r["count"]
+                break
+            above += r["count"]
+    return low, above, equal
+
+
+def most_frequent(stats: DataFrame, size: int, ties: Sequence[str]) -> DataFrame:
+    """The ``size`` rows of ``stats`` with the highest ``tf``, equal ones at the edge in order of ``ties``.
+
+    A threshold on the frequency selects them, so no task ever sees more than its own rows; where the
+    edge cuts through equal frequencies, those are numbered by a range sort. ``stats`` is written once.
+    """
+    stats = settle(stats, "terms")
+    least, above, equal = _threshold(stats, size)
+    if not least or above + equal == size:
+        return stats.filter(F.col("tf") >= least)
+    edge = global_ordinal(stats.filter(F.col("tf") == least), list(ties), "_place").filter(F.col("_place") <= size - above)
+    return stats.filter(F.col("tf") > least).unionByName(edge.drop("_place"))
+
+
 def top_vocabulary(stats: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     """(token, id, count): the ``size`` most frequent terms, ties by first occurrence, ids from 2."""
     order = [F.desc("tf"), F.asc("first_doc"), F.asc("first_pos")]
-    top = stats.orderBy(*order).limit(size)
+    top = most_frequent(stats.select("term", "tf", "first_doc", "first_pos"), size, ["first_doc", "first_pos"])
     # at most ``size`` rows reach this window
     return top.select(
         F.col("term").alias("token"),
@@ -62,7 +108,7 @@ def top_vocabulary(stats: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
 def feature_vocabulary(stats: DataFrame, size: int, min_df: int = 1) -> DataFrame:
     """(term, idx, tf, df): terms in ``min_df`` documents, the ``size`` most frequent, indexed
     0.. in term order; equal frequencies at the edge are cut in term order."""
-    top = stats.filter(F.col("df") >= min_df).orderBy(F.desc("tf"), F.asc("term")).limit(size)
+    top = most_frequent(stats.select("term", "tf", "df").filter(F.col("df") >= min_df), size, ["term"])
     return top.select(
         "term",
         (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"),

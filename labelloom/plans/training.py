@@ -14,7 +14,6 @@ from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import (
-    CountVectorizerModel,
     ElementwiseProduct,
     NGram,
     Normalizer,
@@ -33,7 +32,7 @@ from labelloom.functions.text import WORD_PATTERN, has_text, strip
 from labelloom.operators.distribution import with_class_weights
 from labelloom.operators.evaluate import scores
 from labelloom.operators.split import class_sizes, hash_key, stratified_folds
-from labelloom.operators.tfidf import smooth_idf
+from labelloom.operators.tfidf import count_model, smooth_idf
 from labelloom.operators.vocabulary import feature_vocabulary, term_statistics
 from labelloom.session import cut_lineage
 
@@ -121,7 +120,7 @@ def vector_stages(stats: DataFrame, documents: int, features: Features) -> tuple
     rows.sort(key=lambda r: r["idx"])
     if not rows:
         raise ValueError("the corpus has no term to learn from")
-    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], inputCol="terms", outputCol="counts")
+    counts = count_model([r["term"] for r in rows], "terms", "counts")
     stages: list[Transformer] = [counts]
     last = "counts"
     if features.sublinear:

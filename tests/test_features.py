@@ -60,8 +60,12 @@ def test_encode_matches_brute_force(docs):
     assert dict(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("in_row", [True, False])
 @pytest.mark.parametrize("sublinear, min_df, size", [(False, 1, 1000), (True, 2, 50)])
-def test_tfidf_matches_brute_force(docs, sublinear, min_df, size):
+def test_tfidf_matches_brute_force(docs, sublinear, min_df, size, in_row, monkeypatch):
+    if not in_row:
+        monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
+
     def terms(text):
         words = [w for w in text.split() if len(w) > 1]
         return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
@@ -91,3 +95,34 @@ def test_term_frequency(rows):
     df = rows([(1, "aa aa bb")], "doc long, text string")
     got = {r["term"]: (r["tf"], r["weight"]) for r in W.term_frequency(df, word_tokens("text"), "doc", True).collect()}
     assert got == {"aa": (2, pytest.approx(1 + math.log(2))), "bb": (1, 1.0)}
+
+
+def test_tfidf_odd_rows(rows):
+    """Texts that are missing, empty or without a known term give no row; repeated ids are rows of their own."""
+    df = rows([(1, "aa bb aa"), (1, "aa bb aa"), (2, None), (3, ""), (4, "zz"), (None, "bb")], "doc long, text string")
+    idf = rows([("aa", 0, 1, 2.0), ("bb", 1, 1, 1.0)], "term string, idx int, df long, idf double")
+    out = W.tfidf(df, word_tokens("text"), "doc", idf, 2).collect()
+    norm = math.sqrt(17)
+    want = [(1, "aa", 0, 2, 4 / norm), (1, "bb", 1, 1, 1 / norm)] * 2 + [(None, "bb", 1, 1, 1.0)]
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+    assert W.tfidf(df, word_tokens("text"), "doc", idf.limit(0), 2).count() == 0
+
+
+@pytest.mark.parametrize("ties", [["d", "p"], ["term"]])
+def test_most_frequent_matches_a_sort(rows, ties, monkeypatch):
+    """Every size around the edges of equal frequencies, and frequencies of several digits."""
+    monkeypatch.setattr(V, "RADIX_BITS", 3)
+    rng = random.Random(4)
+    data = [(f"t{i}", rng.choice([1, 1, 1, 2, 7, 8, 9, 64, 500, 2**40, 2**40 + 1]), rng.randint(0, 5), i) for i in range(120)]
+    stats = rows(data, "term string, tf long, d long, p long").repartition(4)
+    at = {"term": 0, "d": 2, "p": 3}
+    ordered = sorted(data, key=lambda r: (-r[1], *[r[at[t]] for t in ties]))
+    for size in (1, 2, 20, 57, 58, 75, 119, 120, 500):
+        got = {r["term"] for r in V.most_frequent(stats, size, ties).collect()}
+        assert got == {r[0] for r in ordered[:size]}, size
+    assert V.most_frequent(stats.limit(0), 5, ties).count() == 0
+
+
+def test_most_frequent_of_one_frequency(rows):
+    stats = rows([(f"t{i:03}", 1) for i in range(200)], "term string, tf long").repartition(3)
+    assert {r["term"] for r in V.most_frequent(stats, 70, ["term"]).collect()} == {f"t{i:03}" for i in range(70)}

@@ -73,7 +73,7 @@ def test_text_is_cleaned_once_per_row(sentences):
 
 def test_no_array_travels_with_exploded_terms(sentences):
     stats = V.term_statistics(sentences, word_tokens("text"), "sentence_id")
-    text = plan(V.feature_vocabulary(stats, 100))
+    text = plan(stats.select("term", "tf", "df"))
     (generate,) = [line for line in text.splitlines() if "Generate" in line]
     assert "_own" not in generate.split("],", 1)[0].split("), [")[-1]
     assert "Filter (size" not in text
@@ -87,3 +87,19 @@ def test_blank_test_is_cheap_and_pushed_to_the_scan(sentences):
 
 def test_term_frequencies_need_no_shuffle(sentences):
     assert "Exchange" not in plan(W.term_frequency(sentences, word_tokens("text"), "sentence_id"))
+
+
+def test_vocabulary_is_cut_by_a_threshold_not_by_top_rows_of_every_task(sentences):
+    stats = V.term_statistics(sentences, word_tokens("text"), "sentence_id")
+    for chosen in (V.feature_vocabulary(stats, 100), V.top_vocabulary(stats, 100)):
+        assert chosen.count() == 100
+        assert not any(limit in plan(chosen) for limit in ("TakeOrdered", "Limit"))
+
+
+def test_weights_are_worked_out_in_the_row(sentences):
+    stats = V.term_statistics(sentences, word_tokens("text"), "sentence_id")
+    idf = W.idf_table(V.feature_vocabulary(stats, 100), 120_000)
+    text = plan(W.tfidf(sentences, word_tokens("text"), "sentence_id", idf, 100))
+    rows = text[: text.index("BroadcastExchange")]
+    assert "Exchange" not in rows and "Window" not in rows and "Aggregate" not in rows
+    assert text.count("regexp_extract_all") == 1

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from labelloom.catalog import inputs
 from labelloom.operators import evaluate as E
 from labelloom.session import checkpoint_dir, scratch_path
 from labelloom.sources import sinks, tables
@@ -104,12 +105,21 @@ def test_metric_report_sink(rows, spark, tmp_path, form):
     assert sorted(back.collect()) == sorted(table.collect())
 
 
-def test_small_tables_are_dealt_out_by_key(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
-    assert tables.read_parquet(spark, str(tmp_path), "t").rdd.getNumPartitions() == 1
-    dealt = tables.read_parquet(spark, str(tmp_path), "t", "id")
-    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert dealt.agg(F.sum("id")).first()[0] == 4950
+def test_tables_of_one_row_group_are_dealt_out_by_key(spark, tmp_path, monkeypatch):
+    """A file cut into many splits is still one task's work if it is one row group."""
+    monkeypatch.setitem(inputs.DEALT, "t", "id")
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        dealt = inputs.table(spark, str(tmp_path), "t")
+        busy = dealt.groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert busy == spark.sparkContext.defaultParallelism
+    assert dealt.agg(F.sum("id")).first()[0] == sum(range(20_000))
+    spark.range(800).repartition(16).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert inputs.spread(many, "id") is many
 
 
 def test_scratch_paths_are_fresh(spark):
