@@ -10,6 +10,7 @@ from pyspark.sql.types import FractionalType, IntegralType, StringType, StructFi
 
 from labelloom.functions.labels import numeric
 from labelloom.functions.schema import normalize_header, require_columns
+from labelloom.sources.quoted import read_records
 
 COMMA, TAB, SEMICOLON = ",", "\t", ";"
 
@@ -65,7 +66,7 @@ def read_delimited(
     ``schema`` names the wanted columns as they stand in the header, in any order; others are left out,
     a missing one raises. All files of ``path`` have the same header (the first line of one file is
     read to learn it, the others are checked). Fields that hold line breaks need ``multi_line=True``;
-    a file is then read by one task, so keep such tables in many files. Fields spelled as ``missing``
+    files are then read twice, split by split (see ``quoted``). Fields spelled as ``missing``
     become null in every column. Numbers are read leniently: what is no number becomes null, and an
     integer may be written as 1.0. ``lower_header`` strips the names, and lowers them too if True.
     """
@@ -73,15 +74,11 @@ def read_delimited(
         schema = StructType.fromDDL(schema)
     options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
     header = spark.read.options(**options).csv(path).columns
-    raw = StructType([StructField(name, StringType()) for name in header])
-    text = spark.read.schema(raw).csv(
-        path,
-        enforceSchema=False,
-        mode="FAILFAST",
-        nullValue="",
-        emptyValue="",
-        **options,
-    )
+    if multi_line:
+        text = read_records(spark, path, header, sep)
+    else:
+        raw = StructType([StructField(name, StringType()) for name in header])
+        text = spark.read.schema(raw).csv(path, enforceSchema=False, mode="FAILFAST", nullValue="", emptyValue="", **options)
     require_columns(text, schema.names)
     df = text.select(*[_typed(f, missing) for f in schema.fields])
     return df if lower_header is None else normalize_header(df, lower=lower_header)
