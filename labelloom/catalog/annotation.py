@@ -22,6 +22,8 @@ from labelloom.operators import distribution as D
 from labelloom.operators import reviews as R
 from labelloom.operators.ordinal import global_ordinal, keep_first, preview
 from labelloom.plans import annotation as A
+from labelloom.session import scratch_path
+from labelloom.sources.review_text import BODY, END, write_review_text
 
 KEY = list(R.REVIEW_KEY)
 
@@ -202,6 +204,25 @@ def blocks(spark, folder):
     return R.review_blocks(R.assemble_reviews(bare_sentences(spark, folder)))
 
 
+@query(
+    "k4_review_text",
+    f"""WITH {SQL_ASSEMBLED} SELECT CAST(sum(strlen('REVIEW_ORDER: ' || review_order || 'TITLE: ' || title || 'REVIEW_ID: ' || review_id
+          || 'NUMBER_OF_SENTENCES: ' || number_of_sentences || 'FULL_REVIEW:' || full_review) + 88) AS BIGINT) AS bytes,
+          count(*) AS reviews, CAST(sum(number_of_sentences) AS BIGINT) AS sentences FROM assembled""",
+)
+def text_export(spark, folder):
+    """The size of the export from sentence rows, and the blocks that can be read back from it."""
+    path = scratch_path(spark, "export")
+    write_review_text(bare_sentences(spark, folder), path)
+    files = spark.read.format("binaryFile").load([f"{path}/{BODY}", f"{path}/{END}"])
+    # part files begin and end within reviews, but this line of a head is always whole
+    lines = spark.read.text(f"{path}/{BODY}", lineSep="\n")
+    counts = lines.select(F.regexp_extract("value", "^NUMBER_OF_SENTENCES: ([0-9]+)$", 1).try_cast("long").alias("n"))
+    nothing = F.lit(None).cast("long")
+    both = counts.select(nothing.alias("b"), "n").unionAll(files.select(F.col("length"), nothing))
+    return both.agg(F.sum("b").alias("bytes"), F.count("n").alias("reviews"), F.sum("n").alias("sentences"))
+
+
 @query(
     "j1_spread_labels",
     f"WITH {SQL_SENTENCES} SELECT b.*, r.* EXCLUDE (title, review_id) FROM bare b LEFT JOIN review_labels r ON b.title = r.title AND b.review_id = r.review_id",

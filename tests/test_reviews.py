@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelloom.operators import reviews as R
 from labelloom.operators.ordinal import global_ordinal, keep_first, preview
 from labelloom.plans import annotation as A
+from labelloom.sources.review_text import BODY, END, write_review_text
 from labelloom.sources.sinks import write_review_blocks
 
 SENTENCE = "title string, review_id long, sentence_id long, text string, label_m int"
@@ -65,6 +66,36 @@ def test_text_export(rows, tmp_path):
     assert got == want
 
 
+def exported(folder):
+    parts = [f for sub in (BODY, END) for f in sorted((folder / sub).glob("part-*"))]
+    return b"".join(f.read_bytes() for f in parts), len(parts)
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_text_export_from_sentences(rows, spark, tmp_path, partitions):
+    """The same bytes as from whole reviews; the hot review lies in several part files."""
+    data = [(t, r, s, x, v) for t, r, s, x, v in some_sentences(hot=400)]
+    data += [("A", 1, None, "no number", None), ("A", 1, None, "another", None), ("Z", 9, 1, "line\nbreak ", None), (None, 1, 1, "lost", 1), ("Q", 1, 1, "  ", 1)]
+    sentences = rows(data, SENTENCE).repartition(partitions)
+    write_review_blocks(R.assemble_reviews(sentences), str(tmp_path / "blocks"))
+    want = b"".join(f.read_bytes() for f in sorted((tmp_path / "blocks").glob("part-*")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_review_text(sentences, str(tmp_path / "text"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got, parts = exported(tmp_path / "text")
+    assert got == want
+    assert parts > 3
+
+
+def test_text_export_of_little(rows, tmp_path):
+    write_review_text(rows([], SENTENCE), str(tmp_path / "none"))
+    assert exported(tmp_path / "none")[0] == b""
+    write_review_text(rows([("A", 1, 1, " one ", 1)], SENTENCE), str(tmp_path / "one"))
+    assert exported(tmp_path / "one")[0].decode() == f"REVIEW_ORDER: 1\nTITLE: A\nREVIEW_ID: 1\nNUMBER_OF_SENTENCES: 1\nFULL_REVIEW:\none\n{'=' * 80}\n\n"
+
+
 def test_global_ordinal_is_dense_over_many_partitions(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(9)
     got = global_ordinal(df, ["k"], "n").orderBy("k").collect()
