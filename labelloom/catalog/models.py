@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -93,7 +95,7 @@ def unigrams(spark, folder):
 def vectors(spark, folder):
     """What the logistic model is given of its training rows."""
     train, _ = _train_and_tests(spark, folder)
-    model = M.fit(train, "doc_id", M.logistic(1.0, iterations=1))
+    model = M.fit(train, "doc_id", M.logistic(1.0))
     return rounded(M.feature_rows(model, train, "doc_id"))
 
 
@@ -146,6 +148,37 @@ def perceptron(spark, folder):
     return _scores(M.evaluate_on(model, tests))
 
 
+SQL_TRAINED = f"""{SQL_HOME}, trained AS (SELECT doc_id, label FROM placed WHERE split = 'train'),
+sized AS (SELECT label, count(*) AS n FROM trained GROUP BY label)"""
+
+
+@query(
+    "m3_balanced_copies",
+    f"""WITH {SQL_TRAINED},
+        wanted AS (SELECT label, (SELECT max(n) FROM sized) / CAST(n AS DOUBLE) AS w FROM sized),
+        drawn AS (SELECT doc_id, label, w, CAST('0x' || substr(md5('42:' || doc_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS chance
+                  FROM trained JOIN wanted USING (label))
+        SELECT doc_id, CAST(label AS INTEGER) AS label, CAST(floor(w) AS BIGINT) + CASE WHEN chance < w - floor(w) THEN 1 ELSE 0 END AS copies FROM drawn""",
+)
+def balanced_copies(spark, folder):
+    """How often the perceptron is given each of its training rows."""
+    train, _ = _train_and_tests(spark, folder)
+    rows = M.balance(M.prepare(train).select("doc_id", "label"), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(
+    "m3_row_weights",
+    f"""WITH {SQL_TRAINED}
+        SELECT doc_id, CAST(label AS INTEGER) AS label, round((SELECT sum(n) FROM sized) / ((SELECT count(*) FROM sized) * CAST(n AS DOUBLE)), 6) AS weight
+        FROM trained JOIN sized USING (label)""",
+)
+def row_weights(spark, folder):
+    """The weights of the logistic model's training rows."""
+    train, _ = _train_and_tests(spark, folder)
+    return rounded(M.level(M.prepare(train).select("doc_id", "label"), "weights", "doc_id"))
+
+
 @query("m3_weighted_logistic")
 def weighted(spark, folder):
     train, tests = _train_and_tests(spark, folder)
@@ -153,11 +186,28 @@ def weighted(spark, folder):
     return _scores(M.evaluate_on(model, tests))
 
 
+@lru_cache(maxsize=1)
+def _strengths(spark, folder):
+    """Ten fits; the scores, one row a fold, serve both queries of a session."""
+    runs = {"C=1.0": M.logistic(1.0), "C=5.0": M.logistic(5.0)}
+    return M.cross_validate(_corpus(spark, folder), "doc_id", runs)
+
+
 @query("m4_compare_strengths")
 def strengths(spark, folder):
-    runs = {"C=1.0": M.logistic(1.0), "C=5.0": M.logistic(5.0)}
-    folds = M.cross_validate(_corpus(spark, folder), "doc_id", runs)
-    return E.fold_summary(folds, "macro_f1", by=["run"])
+    return E.fold_summary(_strengths(spark, folder), "macro_f1", by=["run"])
+
+
+@query(
+    "m4_folds_of_strengths",
+    f"""WITH {SQL_CLASSIFIED}, {SQL_KNOWN}, {SQL_RANKED.replace("FROM cls", "FROM known")}, {SQL_FOLDS},
+        supports AS (SELECT fold, count(*) AS support FROM folded GROUP BY fold)
+        SELECT run, fold, support, true AS within_bounds FROM supports, (VALUES ('C=1.0'), ('C=5.0')) AS runs(run)""",
+)
+def folds_of_strengths(spark, folder):
+    """Both strengths are scored on every row once, fold by fold, and the scores lie within 0..1."""
+    bounds = reduce(lambda a, b: a & b, [F.col(c).between(0, 1) for c in ("accuracy", "macro_f1", "weighted_f1")])
+    return _strengths(spark, folder).select("run", "fold", "support", bounds.alias("within_bounds"))
 
 
 def _same_after_reload(spark, model, df):
@@ -174,11 +224,10 @@ SQL_SAME = f"WITH {SQL_CLASSIFIED}, {SQL_KNOWN} SELECT doc_id, CAST(label AS INT
 @query("k7_model_round_trip", SQL_SAME)
 def round_trip(spark, folder):
     df = _corpus(spark, folder)
-    return _same_after_reload(spark, M.fit(df, "doc_id", M.logistic(5.0, iterations=20)), df)
+    return _same_after_reload(spark, M.fit(df, "doc_id", M.logistic(5.0)), df)
 
 
 @query("k7_perceptron_round_trip", SQL_SAME)
 def perceptron_round_trip(spark, folder):
     df = _corpus(spark, folder)
-    small = M.Features(max_features=1_000, min_df=2, sublinear=True)
-    return _same_after_reload(spark, M.fit(df, "doc_id", M.perceptron(iterations=10), small, balanced="copies"), df)
+    return _same_after_reload(spark, M.fit(df, "doc_id", M.perceptron(), M.PERCEPTRON_FEATURES, balanced="copies"), df)

@@ -17,8 +17,8 @@ from labelloom.functions.schema import require_columns, require_rows
 
 
 def complete_ratings(df: DataFrame, raters: Sequence[str]) -> DataFrame:
-    """Rows that every rater has labelled."""
-    return require_columns(df, raters).na.drop(subset=list(raters))
+    """Rows that every rater has labelled with a number; a label that cannot be read is none."""
+    return require_columns(df, raters).filter(reduce(lambda a, b: a & b, [int_label(r).isNotNull() for r in raters]))
 
 
 def rating_matrix(df: DataFrame, item: Sequence[str], raters: Sequence[str]) -> DataFrame:

@@ -7,22 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import settle
+
 BROADCAST_ROWS = 200_000
 
 
-def settle_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Evaluate ``df`` once; if it has at most ``max_rows`` rows, return those as a local table.
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a broadcast if ``small`` is proven small, else let Spark shuffle (AQE splits skew).
 
-    The flag tells whether the bound held. Beyond it ``df`` comes back as it was, for a
-    shuffled join; at most ``max_rows + 1`` rows ever reach the driver.
+    ``small`` is evaluated once, into a scratch table whose rows are counted; none reaches the driver.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
-
-
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a broadcast if ``small`` is proven small, else let Spark shuffle (AQE splits skew)."""
-    table, fits = settle_small(small, max_rows)
-    return big.join(F.broadcast(table) if fits else table, list(on), how)
+    table = settle(small, "small")
+    return big.join(F.broadcast(table) if table.count() <= max_rows else table, list(on), how)

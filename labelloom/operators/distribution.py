@@ -29,12 +29,10 @@ def row_counts(df: DataFrame, name: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, count, weight) with weight = rows / (classes * rows of the class)."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.collect_list(F.struct(label, "count")).alias("c"))
-    rows = F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["count"])
-    return total.select("c", rows.alias("rows"), F.size("c").alias("k"), F.explode("c").alias("x")).select(
-        F.col(f"x.{label}").alias(label),
-        F.col("x.count").alias("count"),
-        (F.col("rows") / (F.col("k") * F.col("x.count"))).alias("weight"),
+    # one row: all classes and all their rows, added up from the counts
+    whole = counts.agg(F.struct(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("k"))).scalar()
+    return counts.select(label, "count", whole.alias("_w")).select(
+        F.col(label), "count", (F.col("_w.rows") / (F.col("_w.k") * F.col("count"))).alias("weight")
     )
 
 

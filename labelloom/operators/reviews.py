@@ -144,12 +144,21 @@ def spread_labels(
     """Give every sentence the labels of its review; sentences without one keep null labels.
 
     One join without a hint: the review table grows with the data, so Spark picks the join from
-    run-time sizes and splits the sentences of a hot review over tasks.
+    run-time sizes and splits the sentences of a hot review over tasks. That no key has two label rows
+    is asserted in the plan, by an aggregate on the join key: nothing runs before the action does.
     """
     reviews = drop_null_keys(reviews, key)
-    if check_unique and not reviews.groupBy(*key).count().filter("count > 1").isEmpty():
-        raise ValueError(f"several label rows share one {tuple(key)}")
-    return sentences.join(reviews, list(key), "left")
+    return sentences.join(_unique(reviews, key) if check_unique else reviews, list(key), "left")
+
+
+def _unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``df``, whose evaluation fails if rows share a key. One exchange by key serves the join, too."""
+    rest = [c for c in df.columns if c not in key]
+    row = F.any_value(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row") if rest else F.lit(None).alias("_row")
+    grouped = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), row)
+    said = F.concat(F.lit(f"several label rows share one {tuple(key)}: "), F.to_json(F.struct(*key)))
+    checked = grouped.filter(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(said).cast("boolean")))
+    return checked.select(*[c if c in key else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def unmatched(sentences: DataFrame, reviews: DataFrame, key: Sequence[str] = REVIEW_KEY) -> DataFrame:

@@ -2,15 +2,17 @@
 
 Rows of a class are ordered by md5(seed:id). A part of a class is a range of that order, so it is
 enough to find the few rows where one part ends and the next begins; the rows themselves are then
-assigned by comparing hashes, in the scan. Finding the ends takes a partial aggregate over hash
-buckets, and exact ranks only inside the buckets that hold an end: a class with nearly all rows
-is no hot task. Membership depends only on seed, label and id, whatever the partitioning.
+assigned by comparing hashes, in the scan. The input is evaluated twice: once for a narrow table of
+class, id and hash, which is removed again, and once for the result. On the narrow table, sizes give the
+quotas, a partial aggregate over hash buckets tells which bucket holds an end, and exact ranks are
+counted inside those alone: a class with nearly all rows is no hot task. Membership depends only on
+seed, label and id, whatever the partitioning.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping
 from functools import reduce
 from itertools import accumulate
 
@@ -18,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from labelloom.session import passing_table
+
 MAX_CLASSES = 10_000
 MAX_BRANCHES = 60
 BUCKET_ROWS = 1_000_000
@@ -66,22 +70,46 @@ def fold_quotas(sizes: Mapping, folds: int = 5) -> dict:
     return quotas
 
 
+def keyed(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
+    """(k, i, h): class, id and shuffled position of every row with a class."""
+    return df.filter(F.col(label).isNotNull()).select(
+        F.col(label).alias("k"), F.col(id_col).alias("i"), hash_key(id_col, seed).alias("h")
+    )
+
+
 def assign(
     df: DataFrame,
     label: str,
     id_col: str,
-    quotas: Mapping,
+    quotas: Mapping | Callable[[dict], Mapping],
     name: str,
     seed: int = 42,
     bucket_digits: int = 3,
 ) -> DataFrame:
-    """Add ``name``: the part of each row, in the order and sizes of ``quotas[label]``.
+    """Add ``name``: the part of each row, in the order and sizes of ``quotas[label]``; quotas may be a
+    function of the class sizes.
 
     ``id_col`` must be unique. ``bucket_digits`` hex digits of the hash make the buckets
     (16**3 = 4096); one with an end and more than ``BUCKET_ROWS`` rows is split by as many digits
     again, so that ranks are only counted in buckets of bounded size, however large the class.
     """
-    found = _part_ends(df, label, id_col, quotas, seed, bucket_digits)
+    return place(df, label, id_col, quotas, name, seed, bucket_digits)[0]
+
+
+def place(
+    df: DataFrame,
+    label: str,
+    id_col: str,
+    quotas: Mapping | Callable[[dict], Mapping],
+    name: str,
+    seed: int = 42,
+    bucket_digits: int = 3,
+) -> tuple[DataFrame, Mapping]:
+    """``assign``, and the quotas."""
+    with passing_table(keyed(df, label, id_col, seed), "keyed") as narrow:
+        if callable(quotas):
+            quotas = quotas(class_sizes(narrow, "k"))
+        found = _part_ends(narrow, quotas, bucket_digits)
     cuts = {}
     for k, parts in quotas.items():
         names = [p for p, n in parts.items() if n]
@@ -91,8 +119,8 @@ def assign(
     rows = df.filter(F.col(label).isNotNull())
     here = F.struct(hash_key(id_col, seed).alias("h"), F.col(id_col).alias("i"))
     if sum(len(names) for names, _ in cuts.values()) <= MAX_BRANCHES:
-        return rows.withColumn(name, _by_branches(rows, label, id_col, here, cuts))
-    return _by_lookup(rows, label, id_col, here, cuts, name)
+        return rows.withColumn(name, _by_branches(rows, label, id_col, here, cuts)), quotas
+    return _by_lookup(rows, label, id_col, here, cuts, name), quotas
 
 
 def _by_branches(rows: DataFrame, label: str, id_col: str, here: Column, cuts: Mapping) -> Column:
@@ -132,7 +160,7 @@ def _by_lookup(rows: DataFrame, label: str, id_col: str, here: Column, cuts: Map
     )
 
 
-def _part_ends(df, label, id_col, quotas, seed, digits) -> dict:
+def _part_ends(rows: DataFrame, quotas: Mapping, digits: int) -> dict:
     """(class, rank) -> (hash, id) of the row with that rank, for every inner end of a part."""
     wanted = sorted(
         {
@@ -144,14 +172,13 @@ def _part_ends(df, label, id_col, quotas, seed, digits) -> dict:
     wanted = [(k, r) for k, r in wanted if 0 < r < sum(quotas[k].values())]
     if not wanted:
         return {}
-    spark, k_type = df.sparkSession, df.schema[label].dataType.simpleString()
-    keyed = df.select(F.col(label).alias("k"), F.col(id_col).alias("i"), hash_key(id_col, seed).alias("h"))
+    spark, k_type = rows.sparkSession, rows.schema["k"].dataType.simpleString()
 
     # (class, bucket, rank, place in the bucket): buckets that are too large are split further
     wide, places, width = [(k, "", r, r) for k, r in wanted], {}, 0
     while wide:
         asked = F.broadcast(spark.createDataFrame(wide, f"k {k_type}, p string, r long, place long"))
-        inside = keyed.withColumn("p", F.substring("h", 1, width))
+        inside = rows.withColumn("p", F.substring("h", 1, width))
         if width:
             inside = inside.join(asked.select("k", "p").distinct(), ["k", "p"])
         width += digits
@@ -168,7 +195,7 @@ def _part_ends(df, label, id_col, quotas, seed, digits) -> dict:
         if ends:
             # one row per end, so the broadcast is bounded by classes x parts
             sought = F.broadcast(spark.createDataFrame(ends, f"k {k_type}, b string, r long, place long"))
-            bucket = keyed.withColumn("b", F.substring("h", 1, width))
+            bucket = rows.withColumn("b", F.substring("h", 1, width))
             inside = bucket.join(sought.select("k", "b").distinct(), ["k", "b"])
             ranked = inside.withColumn("place", F.row_number().over(Window.partitionBy("k", "b").orderBy("h", "i")))
             hits = ranked.join(sought, ["k", "b", "place"])
@@ -178,9 +205,9 @@ def _part_ends(df, label, id_col, quotas, seed, digits) -> dict:
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, held: float = 0.25, test: float = 0.8) -> DataFrame:
     """Add ``split``: train, val or test (75 / 5 / 20 by default) in the proportions of each class."""
-    return assign(df, label, id_col, holdout_quotas(class_sizes(df, label), held, test), "split", seed)
+    return assign(df, label, id_col, lambda sizes: holdout_quotas(sizes, held, test), "split", seed)
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold``: 0..folds-1, equal shares of each class."""
-    return assign(df, label, id_col, fold_quotas(class_sizes(df, label), folds), "fold", seed)
+    return assign(df, label, id_col, lambda sizes: fold_quotas(sizes, folds), "fold", seed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -25,13 +25,12 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from labelloom.functions.labels import int_label
 from labelloom.functions.text import WORD_PATTERN, has_text, strip
 from labelloom.operators.distribution import with_class_weights
 from labelloom.operators.evaluate import scores
-from labelloom.operators.split import class_sizes, hash_key, stratified_folds
+from labelloom.operators.split import class_sizes, fold_quotas, hash_key, place
 from labelloom.operators.tfidf import count_model, smooth_idf
 from labelloom.operators.vocabulary import feature_vocabulary, term_statistics
 from labelloom.session import cut_lineage
@@ -113,23 +112,34 @@ def term_stages(features: Features) -> list[Transformer]:
     ]
 
 
-def vector_stages(stats: DataFrame, documents: int, features: Features) -> tuple[list[Transformer], int]:
-    """terms -> unit TF-IDF vectors. The vocabulary (at most ``max_features`` rows) is collected."""
+def learn_vocabulary(stats: DataFrame, documents: int, features: Features) -> dict[str, float]:
+    """The chosen terms in order and their inverse document frequencies, at most ``max_features``."""
     vocabulary = feature_vocabulary(stats, features.max_features, features.min_df)
     rows = vocabulary.select("term", "idx", smooth_idf(F.lit(documents), "df").alias("idf")).collect()
-    rows.sort(key=lambda r: r["idx"])
     if not rows:
         raise ValueError("the corpus has no term to learn from")
-    counts = count_model([r["term"] for r in rows], "terms", "counts")
-    stages: list[Transformer] = [counts]
-    last = "counts"
-    if features.sublinear:
-        stages.append(SublinearCounts(inputCol="counts", outputCol="damped"))
-        last = "damped"
-    weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol=last, outputCol="weighted"
-    )
-    return [*stages, weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")], len(rows)
+    return {r["term"]: r["idf"] for r in sorted(rows, key=lambda r: r["idx"])}
+
+
+def count_stages(terms: Sequence[str], features: Features) -> tuple[list[Transformer], str]:
+    """terms -> counts, damped ones if the features ask for it, and the name of their column."""
+    stages: list[Transformer] = [count_model(terms, "terms", "counts")]
+    if not features.sublinear:
+        return stages, "counts"
+    return [*stages, SublinearCounts(inputCol="counts", outputCol="damped")], "damped"
+
+
+def weight_stages(weights: Sequence[float], counts: str) -> list[Transformer]:
+    """counts -> unit TF-IDF vectors."""
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense(list(weights)), inputCol=counts, outputCol="weighted")
+    return [weigh, Normalizer(p=2.0, inputCol="weighted", outputCol="features")]
+
+
+def vector_stages(stats: DataFrame, documents: int, features: Features) -> tuple[list[Transformer], int]:
+    """terms -> unit TF-IDF vectors. The vocabulary (at most ``max_features`` rows) is collected."""
+    idf = learn_vocabulary(stats, documents, features)
+    stages, counts = count_stages(list(idf), features)
+    return [*stages, *weight_stages(list(idf.values()), counts)], len(idf)
 
 
 def logistic(c: float = 1.0, iterations: int = LOGISTIC_ITERATIONS, weight: str | None = None) -> Learner:
@@ -207,35 +217,29 @@ def fit(
     features: Features = LOGISTIC_FEATURES,
     balanced: str | None = None,
 ) -> PipelineModel:
-    """Text -> prediction as one saveable pipeline model."""
+    """Text -> prediction as one saveable pipeline model.
+
+    Texts are tokenised for the vocabulary and again for the vectors; only the vectors are kept.
+    """
     head = term_stages(features)
     rows = prepare(train).select(id_col, "text", "label")
     terms = PipelineModel(stages=head).transform(rows).select(id_col, "label", "terms")
-    terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
+    documents = terms.count()
+    stages, width = vector_stages(term_statistics(terms, F.col("terms"), id_col), documents, features)
+    vectors = PipelineModel(stages=stages).transform(level(terms, balanced, id_col))
+    vectors = _evened(vectors.drop(id_col, "terms", "counts", "damped", "weighted")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        documents = terms.count()
-        stages, width = vector_stages(term_statistics(terms, F.col("terms"), id_col), documents, features)
-        vectors = PipelineModel(stages=stages).transform(level(terms, balanced, id_col))
-        vectors = _evened(vectors.drop(id_col, "terms", "counts", "damped", "weighted")).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = learner.fit(vectors, documents, width)
-        finally:
-            vectors.unpersist()
-        return PipelineModel(stages=[*head, *stages, model])
+        model = learner.fit(vectors, documents, width)
     finally:
-        terms.unpersist()
-
-
-@F.pandas_udf(StructType([StructField("idx", ArrayType(IntegerType())), StructField("weight", ArrayType(DoubleType()))]))
-def _entries(vectors: pd.DataFrame) -> pd.DataFrame:
-    return vectors[["indices", "values"]].set_axis(["idx", "weight"], axis=1)
+        vectors.unpersist()
+    return PipelineModel(stages=[*head, *stages, model])
 
 
 def feature_rows(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
     """(id, idx, weight): what the classifier of a fitted pipeline is given for each row with text."""
     features = PipelineModel(stages=model.stages[:-1]).transform(with_text(df).select(id_col, "text"))
-    entries = features.select(id_col, _entries("features").alias("_e"))
-    return entries.select(id_col, F.inline(F.arrays_zip("_e.idx", "_e.weight")))
+    vector = F.unwrap_udt("features")
+    return features.select(id_col, F.inline(F.arrays_zip(vector["indices"].alias("idx"), vector["values"].alias("weight"))))
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -252,10 +256,12 @@ def evaluate_on(model: PipelineModel, tests: Mapping[str, DataFrame]) -> DataFra
     return scores(reduce(DataFrame.unionByName, parts), "label", "prediction", "dataset")
 
 
-def _in_folds(df: DataFrame, id_col: str, features: Features, folds: int, seed: int) -> DataFrame:
-    """(id, label, fold, terms) of the rows to learn from."""
-    placed = stratified_folds(prepare(df).select(id_col, "text", "label"), "label", id_col, folds, seed)
-    return PipelineModel(stages=term_stages(features)).transform(placed).select(id_col, "label", "fold", "terms")
+def _in_folds(df: DataFrame, id_col: str, features: Features, folds: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(id, label, fold, terms) of the rows to learn from, and the rows of each fold, which the quotas tell."""
+    known = prepare(df).select(id_col, "text", "label")
+    placed, quotas = place(known, "label", id_col, lambda sizes: fold_quotas(sizes, folds), "fold", seed)
+    rows = {f: sum(q[f] for q in quotas.values()) for f in range(folds)}
+    return PipelineModel(stages=term_stages(features)).transform(placed).select(id_col, "label", "fold", "terms"), rows
 
 
 def _without(stats: DataFrame, fold: int) -> DataFrame:
@@ -267,9 +273,8 @@ def fold_vocabularies(
     df: DataFrame, id_col: str, features: Features = LOGISTIC_FEATURES, folds: int = 5, seed: int = 42
 ) -> DataFrame:
     """(fold, term, idx, tf, df, idf): what cross-validation learns before it scores each fold."""
-    terms = _in_folds(df, id_col, features, folds, seed)
-    stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]))
-    rows = {r["fold"]: r["count"] for r in terms.groupBy("fold").count().collect()}
+    terms, rows = _in_folds(df, id_col, features, folds, seed)
+    stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]).select("term", "fold", "tf", "df"))
     parts = []
     for fold in range(folds):
         documents = F.lit(sum(n for f, n in rows.items() if f != fold))
@@ -288,49 +293,43 @@ def cross_validate(
     balanced: str | None = None,
     parallelism: int = 1,
 ) -> DataFrame:
-    """(run, fold, accuracy, macro_f1, weighted_f1): every run on every fold.
+    """(run, fold, support, accuracy, macro_f1, weighted_f1): every run on every fold.
 
     The vocabulary and the document frequencies of a fold's training rows leave out that fold. They
     come from one pass over the corpus: statistics are kept per (term, fold), and a fold's own part
-    is left out of the sum. All runs share the features of a fold, all folds are scored in one job.
-    One fold is trained at a time by default, as a fold in training keeps its vectors in executor
-    storage; where several fit, a higher ``parallelism`` lets their many short jobs fill each other's gaps.
+    is left out of the sum. A second pass counts the terms of all folds' vocabularies, at most folds x
+    ``max_features``, in one table that all folds and runs read. A fold weighs the counts by its own
+    frequencies, terms outside its vocabulary by zero, so it learns from what it would have alone.
+    All folds are scored in one job. One fold is trained at a time by default; a higher ``parallelism``
+    lets their many short jobs fill each other's gaps.
     """
-    terms = _in_folds(df, id_col, features, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]))
-        rows = {r["fold"]: r["count"] for r in terms.groupBy("fold").count().collect()}
-
-        def one_fold(fold: int) -> DataFrame:
-            others = F.col("fold") != fold
-            counted = _without(stats, fold)
-            documents = sum(n for f, n in rows.items() if f != fold)
-            stages, width = vector_stages(counted, documents, features)
-            vectors = PipelineModel(stages=stages)
-            train = vectors.transform(level(terms.filter(others), balanced, id_col))
-            train = train.drop(id_col, "fold", "terms", "counts", "damped", "weighted")
-            train = _evened(train).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                held = vectors.transform(terms.filter(F.col("fold") == fold)).select("label", "fold", "features")
-                done = []
-                for run, learner in runs.items():
-                    out = learner.fit(train, documents, width).transform(held)
-                    done.append(
-                        out.select(
-                            F.struct(F.lit(run).alias("run"), "fold").alias("dataset"),
-                            "label",
-                            F.col("prediction").cast("int").alias("prediction"),
-                        )
-                    )
-                # fixed before the cached features are let go
-                return cut_lineage(reduce(DataFrame.unionByName, done))
-            finally:
-                train.unpersist()
+    terms, rows = _in_folds(df, id_col, features, folds, seed)
+    stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]).select("term", "fold", "tf", "df"))
+    documents = {fold: sum(n for f, n in rows.items() if f != fold) for fold in range(folds)}
+    idf = {fold: learn_vocabulary(_without(stats, fold), documents[fold], features) for fold in range(folds)}
+    union = sorted(set().union(*idf.values()))
+    stages, counts = count_stages(union, features)
+    counted = PipelineModel(stages=stages).transform(terms).select(id_col, "label", "fold", counts)
+    counted = _evened(counted).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def one_fold(fold: int) -> DataFrame:
+        weigh = PipelineModel(stages=weight_stages([idf[fold].get(t, 0.0) for t in union], counts))
+        train = weigh.transform(level(counted.filter(F.col("fold") != fold), balanced, id_col))
+        train = train.drop(id_col, "fold", counts, "weighted")
+        held = weigh.transform(counted.filter(F.col("fold") == fold)).select("label", "fold", "features")
+        done = []
+        for run, learner in runs.items():
+            out = learner.fit(train, documents[fold], len(union)).transform(held)
+            dataset = F.struct(F.lit(run).alias("run"), "fold").alias("dataset")
+            done.append(out.select(dataset, "label", F.col("prediction").cast("int").alias("prediction")))
+        # fixed before the cached counts are let go
+        return cut_lineage(reduce(DataFrame.unionByName, done))
 
+    try:
         with ThreadPool(min(parallelism, folds)) as pool:
             task = inheritable_thread_target(df.sparkSession)(one_fold)
             predictions = pool.map(task, range(folds))
     finally:
-        terms.unpersist()
+        counted.unpersist()
     result = scores(reduce(DataFrame.unionByName, predictions), "label", "prediction", "dataset")
-    return result.select("dataset.run", "dataset.fold", "accuracy", "macro_f1", "weighted_f1")
+    return result.select("dataset.run", "dataset.fold", "support", "accuracy", "macro_f1", "weighted_f1")

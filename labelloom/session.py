@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a table written by one job and read by another."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, wherever the shared folder is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all scratch tables that this application has written and not yet removed; how many.
+
+    Results that have not been written may still read them, so this comes after the last action.
+    """
+    paths = list(_SCRATCH)
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
+@contextmanager
+def passing_table(df: DataFrame, name: str = "table") -> Iterator[DataFrame]:
+    """``settle`` for a table that is read within the block only; it is removed at its end."""
+    path = scratch_path(df.sparkSession, name)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

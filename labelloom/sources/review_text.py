@@ -50,10 +50,10 @@ def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is not None:
                 out.append(text(held, row["review_order"]))
             held = row
-        yield pa.record_batch([pa.array(out, pa.string()), pa.array([False] * len(out))], ["value", "closing"])
+        yield pa.record_batch([pa.array(out, pa.string()), pa.array([False] * len(out), pa.bool_())], ["value", "closing"])
     if held is not None:
         closing = held["upper"] is None
-        yield pa.record_batch([pa.array([text(held, held["upper"])], pa.string()), pa.array([closing])], ["value", "closing"])
+        yield pa.record_batch([pa.array([text(held, held["upper"])], pa.string()), pa.array([closing], pa.bool_())], ["value", "closing"])
 
 
 def compose(sentences: DataFrame, key: Sequence[str] = REVIEW_KEY, order: str = "sentence_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

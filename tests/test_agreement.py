@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from labelloom.operators import agreement as G
 from labelloom.operators import distribution as D
@@ -77,3 +78,20 @@ def test_class_weights(rows):
     got = {r["label"]: r["weight"] for r in D.class_weights(df).collect()}
     assert got == pytest.approx({0: 10 / 3, 1: 10 / 9, 2: 10 / 18})
     assert D.with_class_weights(df).agg({"weight": "sum"}).first()[0] == pytest.approx(10)
+
+
+def test_class_weights_of_a_million_classes(spark):
+    df = spark.range(1_500_000).select((F.col("id") % 1_000_000).alias("label"))
+    weights = D.class_weights(df)
+    assert "collect_list" not in weights._jdf.queryExecution().toString()
+    got = weights.agg(F.count("*").alias("n"), F.sum(F.col("weight") * F.col("count")).alias("w"), F.max("weight").alias("top")).first()
+    assert (got["n"], round(got["w"]), got["top"]) == (1_000_000, 1_500_000, 1.5)
+    assert D.with_class_weights(df).agg(F.sum("weight")).first()[0] == pytest.approx(1_500_000)
+
+
+def test_unreadable_labels_are_left_out_alike(rows):
+    """One rule for the rating matrix and for kappa: every rater must have given a number."""
+    df = rows([(1, "0", "0"), (2, "1", "x"), (3, None, "1"), (4, "2", "1")], "item int, a string, b string")
+    matrix = {(r["item"], r["category"]): r["votes"] for r in G.rating_matrix(df, ["item"], ["a", "b"]).collect()}
+    assert matrix == {(1, 0): 2, (4, 2): 1, (4, 1): 1}
+    assert G.fleiss_kappa(df, {"both": ["a", "b"]}).first()["samples"] == 2

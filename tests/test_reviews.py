@@ -124,8 +124,24 @@ def test_narrow_key_must_be_unique(rows):
     reviews = rows([("T1", 1, 2), ("T2", 1, 0)], "title string, review_id long, rater int")
     got = R.spread_labels(sentences, reviews).select("title", "rater").collect()
     assert sorted(map(tuple, got)) == [("T1", 2), ("T2", 0)]
-    with pytest.raises(ValueError, match="several label rows"):
-        R.spread_labels(sentences, reviews.drop("title"), ["review_id"])
+    twice = R.spread_labels(sentences, reviews.drop("title"), ["review_id"])
+    with pytest.raises(Exception, match="several label rows"):
+        twice.collect()
+
+
+def test_uniqueness_is_asserted_without_a_job(rows, spark):
+    sentences = rows([("T1", 1, 1, "a", 0)] * 3, SENTENCE)
+    reviews = rows([("T1", 1, 2, None), ("T2", 1, 0, "x")], "title string, review_id long, rater int, `a.b` string")
+    group = "spread-labels"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        spread = R.spread_labels(sentences, reviews)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        assert [r["rater"] for r in spread.collect()] == [2] * 3
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert R.spread_labels(sentences, reviews.select("title", "review_id")).count() == 3
 
 
 def test_null_keys_match_nothing_and_rows_are_kept(rows):

@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from labelloom.catalog import inputs
 from labelloom.operators import evaluate as E
-from labelloom.session import checkpoint_dir, scratch_path
+from labelloom.session import passing_table, remove, checkpoint_dir, scratch_path
 from labelloom.sources import sinks, tables
 from labelloom.sources.label_files import read_label_file
 
@@ -132,3 +134,15 @@ def test_label_files_of_many_parts_keep_their_order(spark, tmp_path):
         (tmp_path / f"part-{number}-x.txt").write_text(f"{k}\n")
     got = read_label_file(spark, str(tmp_path)).orderBy("review_order").collect()
     assert [r["label"] for r in got] == [0, 1, 2]
+
+
+def test_scratch_tables_are_removed(spark):
+    df = spark.range(5)
+    with passing_table(df, "gone") as table:
+        (place,) = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        assert table.count() == 5 and os.path.isdir(place.removeprefix("file:"))
+    assert not os.path.exists(place.removeprefix("file:"))
+    kept = scratch_path(spark, "kept")
+    df.write.parquet(kept)
+    remove(spark, kept)
+    assert not os.path.exists(kept.removeprefix("file:"))

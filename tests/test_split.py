@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from labelloom import session
 from labelloom.operators import split as P
 
 
@@ -97,3 +98,22 @@ def test_many_classes(spark, folds):
     out = P.assign(df, "label", "doc", quotas, "part")
     assert out.columns == ["doc", "label", "part"]
     assert {r["doc"]: r["part"] for r in out.collect()} == brute_force(df, quotas)
+
+
+def test_the_input_is_evaluated_twice(spark, table):
+    """Once for the narrow table of hashes, once for the result; the narrow table is gone afterwards."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    watched = table.mapInArrow(counted, table.schema)
+    before = len(session._SCRATCH)
+    for make in (P.stratified_split, P.stratified_folds):
+        start = seen.value
+        assert make(watched, "label", "doc").count() == 3000
+        make(watched, "label", "doc").collect()
+        assert seen.value - start <= 4 * 3000
+    assert len(session._SCRATCH) == before

@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from labelloom.operators.split import stratified_folds
 from labelloom.operators.scoring import predict_linear, score_batches
 from labelloom.plans import training as M
 from labelloom.streaming.annotate import annotate_stream, write_annotated
@@ -62,6 +63,17 @@ def test_cross_validation_covers_runs_and_folds(corpus):
     assert sum(r["macro_f1"] for r in out if r["run"] == "C=5.0") / 5 > 0.8
 
 
+def test_folds_learn_what_they_would_alone(corpus):
+    """One table of counts for all folds gives the scores of a fit on each fold's own training rows."""
+    small = M.Features(max_features=40)
+    shared = {r["fold"]: r for r in M.cross_validate(corpus, "doc", {"x": M.logistic(1.0, 60)}, small).collect()}
+    placed = stratified_folds(corpus, "label", "doc")
+    for fold in (0, 3):
+        model = M.fit(placed.filter(F.col("fold") != fold).drop("fold"), "doc", M.logistic(1.0, 60), small)
+        alone = M.evaluate_on(model, {"x": placed.filter(F.col("fold") == fold)}).first()
+        assert (alone["support"], alone["macro_f1"]) == (shared[fold]["support"], pytest.approx(shared[fold]["macro_f1"]))
+
+
 def test_balanced_copies_keep_every_row(corpus):
     out = M.balance(corpus, "doc")
     assert out.select("doc").distinct().count() == 150
