@@ -188,6 +188,8 @@ def _ends() -> list[Column]:
 
 def _peel(start: DataFrame, depth: int) -> DataFrame:
     """All nodes (``NODE``) from the deepest up to the root."""
+    # one row a key: the heads of all chains below a node would be one group of equal keys
+    start = start.groupBy("key").agg(F.min("conv_id").alias("conv_id"), *[F.sum(c).alias(c) for c in NODE[2:]])
     # sorted by depth, so that each round reads only the row groups of its own
     start = start.withColumn("_d", depth_of("key"))
     start = settle(start.repartitionByRange("_d", "key").sortWithinPartitions("_d"), "ends")
