@@ -8,8 +8,10 @@ within it by their smoothed counts. Probabilities are exact in two levels, the c
 the outcome in its class, each normalised over all its scores by a batched matrix product. Classes
 are runs of the outcomes by frequency, cut so that both levels cost about the same.
 
-Counts cover all training tokens and never leave the cluster, but for a bounded head. Every task
-trains on all training text it holds, and the models are averaged by tokens.
+Counts cover all training tokens and never leave the cluster, but for a bounded head. Training text is
+dealt out to parts of about ``PART_TOKENS`` tokens by a hash of its rows, in order of the hash, and each
+part trains a model on all of its text. Parts are trained in two rounds, the second one from the average
+of the first. So the model follows from the rows alone, not from files, tasks or their order.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.blocks import Block, blocks, hash_words, id_and_text, real_id, words
+from labelloom.llm.blocks import BASE, UNBASE, Block, blocks, id_and_text, mix, powers, real_id, words
 from labelloom.session import cut_lineage, settle
 
 #: Tokens with vectors of their own, whose counts go to every task: so many, or so many times the root of the number of distinct ones.
@@ -33,13 +36,35 @@ HEAD_ROOT = 16
 SIZE = 24
 NOISE = 16
 BATCH = 8192
+#: Targets of a batch that share their noise, at most.
+LOT = 2048
 RATE = 0.1
 #: Tokens scored at once, and rows of a model averaged at once.
 SLICE = 1 << 17
 ROWS = 1024
 SEED = 11
+#: Training tokens of a part, about; rounds of parts; parts whose models are added up at once.
+PART_TOKENS = 1 << 22
+ROUNDS = 2
+FAN = 64
+_LETTERS = np.random.default_rng(SEED).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def token_hashes(types: pa.Array) -> np.ndarray:
+    """64 bits for each distinct word: a polynomial over random numbers for its bytes, scrambled with its length."""
+    wide = pa.types.is_large_binary(types.type)
+    ends = np.frombuffer(types.buffers()[1], dtype=np.int64 if wide else np.int32)[types.offset : types.offset + len(types) + 1].astype(np.int64)
+    if not len(types):
+        return np.zeros(0, dtype=np.uint64)
+    data = np.frombuffer(types.buffers()[2], dtype=np.uint8)[: ends[-1]]
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_LETTERS[data] * powers(BASE, len(data))[: len(data)], out=total[1:])
+    back = powers(UNBASE, len(data) + 1)
+    return mix((total[ends[1:]] - total[ends[:-1]]) * back[ends[:-1]] + np.diff(ends).astype(np.uint64))
+
+
 #: The token after the last word. No word is a blank, so no word has its hash.
-END = int(hash_words(pa.array([b" "]), SEED)[0])
+END = int(token_hashes(pa.array([b" "]))[0])
 LN10 = float(np.log(10))
 
 
@@ -63,7 +88,7 @@ class Head:
 def _tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each distinct token, the last one being END; token numbers of all texts, each with its end; first token of each)."""
     w = words(block)
-    types = np.r_[hash_words(w.types, SEED), np.uint64(END)]
+    types = np.r_[token_hashes(w.types), np.uint64(END)]
     ends = w.first[1:]
     return types, np.insert(w.code, ends, len(types) - 1), w.first + np.arange(len(w.first))
 
@@ -216,8 +241,8 @@ def _sure(x: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation with AdaGrad at both levels. A batch shares the noise for classes, and its targets of
-    one class share the noise within it; both are drawn anew for each batch. Only rows that a batch meets are changed."""
+    """Noise-contrastive estimation with AdaGrad at both levels. Targets of a lot share the noise for classes, and those of
+    one class in it the noise within the class; both are drawn anew. Only rows that a batch meets are changed."""
 
     def __init__(self, model: Model, noise: np.ndarray, seed: int) -> None:
         self.model, self.noise, self.rng = model, noise, np.random.default_rng(seed)
@@ -234,6 +259,26 @@ class Trainer:
         self.seen[k][rows] = seen
         self.model.arrays()[k][rows] += RATE * grad / np.sqrt(seen)
 
+    @staticmethod
+    def _against(starts: np.ndarray, hidden: np.ndarray, wrong: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Scores of the noise of each run for the targets of that run."""
+        out = np.empty((len(hidden), NOISE), dtype=np.float32)
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(hidden)])):
+            np.matmul(hidden[lo:hi], wrong[k].T, out=out[lo:hi])
+            out[lo:hi] += bias[k]
+        return out
+
+    @staticmethod
+    def _back(starts: np.ndarray, hidden: np.ndarray, wrong: np.ndarray, dy: np.ndarray, dh: np.ndarray) -> np.ndarray:
+        """Adds the noise's part to ``dh``; the gradients of the noise rows, that of the bias last."""
+        out = np.empty((len(starts), NOISE, hidden.shape[1] + 1), dtype=np.float32)
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(hidden)])):
+            d = dy[lo:hi]
+            dh[lo:hi] += d @ wrong[k]
+            np.matmul(d.T, hidden[lo:hi], out=out[k, :, :-1])
+        out[:, :, -1] = np.add.reduceat(dy, starts, axis=0)
+        return out.reshape(-1, out.shape[2])
+
     def batch(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> float:
         """One step; the mean loss of the class level before it."""
         m, n = self.model, len(target)
@@ -242,32 +287,35 @@ class Trainer:
         own = m.classes(target)
         a, b = m.context[one], m.context[two]
         hidden = a * m.place[0] + b * m.place[1]
-        # classes
-        drawn = np.minimum(np.searchsorted(self.class_steps, self.rng.random(NOISE)), len(m.group) - 1)
+        # classes; targets of a lot share their noise
+        lots = np.arange(0, n, LOT)
+        drawn = np.minimum(np.searchsorted(self.class_steps, self.rng.random((len(lots), NOISE))), len(m.group) - 1)
         real, wrong = m.group[own], m.group[drawn]
         x = np.einsum("ij,ij->i", hidden, real) + m.group_bias[own] - self.log_class[own]
-        y = hidden @ wrong.T + (m.group_bias[drawn] - self.log_class[drawn])
+        y = self._against(lots, hidden, wrong, m.group_bias[drawn] - self.log_class[drawn])
         dx, dy = _sure(x), -_sure(-y)  # 1 - P(real), -P(noise taken for real)
-        dh = dx[:, None] * real + dy @ wrong
-        g_rows = [own, drawn]
-        g_values = [np.c_[dx[:, None] * hidden, dx], np.c_[dy.T @ hidden, dy.sum(axis=0)]]
-        # outcomes within their classes
+        dh = dx[:, None] * real
+        g_wrong = self._back(lots, hidden, wrong, dy, dh)
+        g_rows = [own, drawn.ravel()]
+        g_values = [np.concatenate([dx[:, None] * hidden, dx[:, None]], axis=1), g_wrong]
+        # outcomes within their classes; a run is a lot's targets of one class, and classes of one outcome have no run
+        some = np.flatnonzero(m.edge[own + 1] - m.edge[own] > 1)
         t_rows, t_values = [], []
-        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        for lo, hi in zip(starts, np.r_[starts[1:], n]):
-            first, end = m.edge[own[lo]], m.edge[own[lo] + 1]
-            if end - first == 1:
-                continue
-            at = self.steps[first] + self.rng.random(NOISE) * (self.steps[end] - self.steps[first])
+        if len(some):
+            h, t, c = hidden[some], target[some], own[some]
+            runs = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (some[1:] // LOT != some[:-1] // LOT)])
+            first, end = m.edge[c[runs]][:, None], m.edge[c[runs] + 1][:, None]
+            at = self.steps[first] + self.rng.random((len(runs), NOISE)) * (self.steps[end] - self.steps[first])
             drawn = np.clip(np.searchsorted(self.steps, at, side="right") - 1, first, end - 1)
-            wrong, h, t = m.target[drawn], hidden[lo:hi], target[lo:hi]
-            real = m.target[t]
+            real, wrong = m.target[t], m.target[drawn]
             u = np.einsum("ij,ij->i", h, real) + m.bias[t] - self.log_noise[t]
-            v = h @ wrong.T + (m.bias[drawn] - self.log_noise[drawn])
+            v = self._against(runs, h, wrong, m.bias[drawn] - self.log_noise[drawn])
             du, dv = _sure(u), -_sure(-v)
-            dh[lo:hi] += du[:, None] * real + dv @ wrong
-            t_rows += [t, drawn]
-            t_values += [np.c_[du[:, None] * h, du], np.c_[dv.T @ h, dv.sum(axis=0)]]
+            back = du[:, None] * real
+            t_wrong = self._back(runs, h, wrong, dv, back)
+            dh[some] += back
+            t_rows = [t, drawn.ravel()]
+            t_values = [np.concatenate([du[:, None] * h, du[:, None]], axis=1), t_wrong]
         rows, values, met = _sums(np.r_[one, two], np.concatenate([dh * m.place[0], dh * m.place[1]]))
         place = np.stack([(dh * a).sum(axis=0), (dh * b).sum(axis=0)]) / n
         self._step(0, rows, values)
@@ -289,57 +337,95 @@ class Trainer:
         return np.r_[self.met, np.full(len(self.model.group) + len(self.model.place), self.tokens)].astype(np.float32)
 
 
-def train(docs: DataFrame, head: Head, size: int = SIZE) -> Model:
-    """The mean of the models that the tasks train on all of ``docs``, each row weighted by how often a task met it."""
-    start = fresh(head, size)
-    noise = noise_of(head)
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Sorted rows in batches of one part each."""
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cut = np.flatnonzero(np.diff(part, prepend=-1) != 0).tolist()
+        for a, b in zip(cut, [*cut[1:], len(part)]):
+            yield int(part[a]), batch.slice(a, b - a).select(["doc_id", "text"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Models of several parts as one: sums in order of the parts, so that they are always the same."""
+    table = table.sort_by("part")
+    x, w = (sum(np.frombuffer(v.as_buffer(), dtype=np.float32).astype(np.float64) for v in table.column(c)) for c in ("x", "w"))
+    part = pa.array([table.column("part")[0].as_py() // FAN], pa.int64())
+    return pa.table({"i": table.column("i")[:1], "part": part, "x": [x.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()]})
+
+
+def train(docs: DataFrame, head: Head, size: int = SIZE, part_tokens: int = PART_TOKENS) -> Model:
+    """The mean of the models that the parts of ``docs`` train, each row weighted by how often a part met it; two rounds.
+
+    The number of parts follows from the number of tokens, the rows of a part and their order from a
+    hash of id and text. Models are added up ``FAN`` parts at a time.
+    """
+    parts = max(1, -(-head.total // part_tokens))
+    rounds = min(ROUNDS, parts)
+    h = F.xxhash64(F.lit(SEED), "doc_id", "text")
+    rows = id_and_text(docs).withColumn("h", h).withColumn("part", F.pmod("h", F.lit(parts)))
+    model, noise = fresh(head, size), noise_of(head)
+    for number in range(rounds):
+        mine = rows.filter(F.col("part") % rounds == number)
+        width = -(-(parts - number) // rounds)
+        dealt = mine.repartitionById(width, F.floor(F.col("part") / rounds).cast("int")).sortWithinPartitions("part", "h")
+        model = _trained(dealt, model, noise, head, width * rounds)
+    return model
+
+
+def _trained(rows: DataFrame, start: Model, noise: np.ndarray, head: Head, parts: int) -> Model:
+    """One round: the average of the models that each part makes of ``start``."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        trainer = Trainer(start.copy(), noise, SEED)
-        for block in blocks(batches, lower=True):
-            types, code, first = _tokens(block)
-            target = _looked_up(head, types)[0][code]
-            one, two = _history(target, first, head.outcomes + 1)
-            # texts differ in kind; mixed batches keep the steps even
-            order = np.random.default_rng(len(code)).permutation(len(code))
-            for a in range(0, len(code), BATCH):
-                at = order[a : a + BATCH]
-                trainer.batch(one[at], two[at], target[at])
-        if trainer.tokens:
+        for part, own in groupby(_by_part(batches), key=lambda x: x[0]):
+            trainer = Trainer(start.copy(), noise, SEED + part)
+            for block in blocks((b for _, b in own), lower=True):
+                types, code, first = _tokens(block)
+                target = _looked_up(head, types)[0][code]
+                one, two = _history(target, first, head.outcomes + 1)
+                # texts differ in kind; mixed batches keep the steps even
+                order = np.random.default_rng(len(code)).permutation(len(code))
+                for a in range(0, len(code), BATCH):
+                    at = order[a : a + BATCH]
+                    trainer.batch(one[at], two[at], target[at])
             rows, weight = trainer.model.rows(), trainer.weights()
             for a in range(0, len(rows), ROWS):
                 w = weight[a : a + ROWS]
                 if w.any():
                     x = (rows[a : a + ROWS] * w[:, None]).astype(np.float32)
-                    yield pa.RecordBatch.from_pydict({"i": pa.array([a], pa.int64()), "x": [x.tobytes()], "w": [w.tobytes()]})
-
-    def added(table: pa.Table) -> pa.Table:
-        x, w = (sum(np.frombuffer(v.as_buffer(), dtype=np.float32).astype(np.float64) for v in table.column(c)) for c in ("x", "w"))
-        mean = x.reshape(len(w), -1) / np.maximum(w, 1)[:, None]
-        return pa.table({"i": table.column("i")[:1], "x": [mean.astype(np.float32).tobytes()], "w": [w.astype(np.float32).tobytes()]})
-
-    schema = "i long, x binary, w binary"
-    parts = id_and_text(docs).mapInArrow(run, schema).groupBy("i").applyInArrow(added, schema).toArrow()
-    rows = start.rows()
-    for i, x, w in zip(*(parts.column(c) for c in ("i", "x", "w"))):
-        own = rows[i.as_py() : i.as_py() + ROWS]
-        met = np.frombuffer(w.as_buffer(), dtype=np.float32) > 0
-        own[met] = np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(own.shape)[met]
-    return start.from_rows(rows)
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([a], pa.int64()), "part": pa.array([part], pa.int64()), "x": [x.tobytes()], "w": [w.tobytes()]})
+
+    schema = "i long, part long, x binary, w binary"
+    sums = rows.mapInArrow(run, schema)
+    while parts > FAN:
+        sums = sums.groupBy("i", F.floor(F.col("part") / FAN)).applyInArrow(_added, schema)
+        parts = -(-parts // FAN)
+    sums = sums.groupBy("i").applyInArrow(_added, schema).toArrow()
+    out = start.rows()
+    for i, x, w in zip(*(sums.column(c) for c in ("i", "x", "w"))):
+        own, met = out[i.as_py() : i.as_py() + ROWS], np.frombuffer(w.as_buffer(), dtype=np.float32)
+        mean = np.frombuffer(x.as_buffer(), dtype=np.float32).reshape(own.shape) / np.maximum(met, 1)[:, None]
+        own[met > 0] = mean[met > 0]
+    return start.from_rows(out)
 
 
 def _chances(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log chances of the outcomes ``at`` (from 0) among all of ``vectors``."""
     out = np.empty(len(at))
     step = max(1, (1 << 18) // len(bias))
+    wide = np.ascontiguousarray(np.concatenate([vectors, bias[:, None]], axis=1).T, dtype=np.float32)
+    hidden = np.concatenate([hidden, np.ones((len(hidden), 1), dtype=np.float32)], axis=1)
+    # no score can be larger than the product of the lengths; then exponents need no shift
+    small = np.sqrt((hidden * hidden).sum(axis=1).max(initial=0) * (wide * wide).sum(axis=0).max(initial=0)) < 80
     for a in range(0, len(at), step):
-        score = hidden[a : a + step] @ vectors.T
-        score += bias
+        score = hidden[a : a + step] @ wide
         own = score[np.arange(len(score)), at[a : a + step]].astype(np.float64)
-        top = score.max(axis=1)
-        score -= top[:, None]
+        if not small:
+            top = score.max(axis=1)
+            score -= top[:, None]
+            own -= top
         np.exp(score, out=score)
-        out[a : a + step] = own - top - np.log(score.sum(axis=1, dtype=np.float64))
+        out[a : a + step] = own - np.log(score.sum(axis=1))
     return out
 
 
@@ -365,19 +451,21 @@ class Scorer:
         return out / LN10
 
 
-def score_texts(docs: DataFrame, training: Column, outcomes: int | None = None, head_size: int | None = None, size: int = SIZE) -> DataFrame:
+def score_texts(
+    docs: DataFrame, training: Column, outcomes: int | None = None, head_size: int | None = None, size: int = SIZE, part_tokens: int = PART_TOKENS
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``training`` holds (null counts as yes). Tokens are words, A-Z in lower
     case, and one end for each text, so a null or empty text is its end alone. ``base_score`` is the
     add-one unigram score. Null and repeated ids come back as they are; without training rows every
-    token is unknown; an empty table gives an empty one; other columns are ignored. Tokens are told
-    apart by 64-bit hashes. Beyond the head, counts meet tokens in a join by token.
+    token is unknown; an empty table gives an empty one; other columns are ignored. Scores follow from
+    the rows, however they lie in files and tasks. Tokens are told apart by 64-bit hashes. Beyond the head, counts meet tokens in a join by token.
     """
     learn = docs.filter(F.coalesce(training, F.lit(True)))
     counts = settle(token_counts(learn))
     head = head_of(counts, outcomes, head_size)
-    model = train(learn, head, size)
+    model = train(learn, head, size, part_tokens)
     own = head.count[head.outcome >= 0].sum()
     rest_tokens, rest_types = int(head.total - own), head.distinct - head.outcomes
 

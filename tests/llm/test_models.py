@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,12 +85,35 @@ def test_lm_tells_rare_tokens_apart(spark):
     assert sum(better) > 700
 
 
-def test_lm_beats_unigrams(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(2)
+@pytest.mark.parametrize("part_tokens", [lm.PART_TOKENS, 100_000])
+def test_lm_beats_unigrams_in_any_layout(spark, part_tokens):
+    """The same scores from 1, 4 and 16 tasks, in one part or several, and better ones than counts alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = language.held_out(F.col("doc_id"), 7, 2)
-    scores = lm.score_texts(docs, ~held).withColumn("held", held).filter("held")
-    r = scores.agg(F.sum("score").alias("a"), F.sum("base_score").alias("b")).first()
-    assert r["a"] > r["b"]
+    found = []
+    for layout in (docs.coalesce(1), docs.repartition(4), docs.repartition(16, "doc_id")):
+        scores = lm.score_texts(layout, ~held, part_tokens=part_tokens).withColumn("held", held).collect()
+        found.append({r["doc_id"]: r["score"] for r in scores})
+        own = [r for r in scores if r["held"]]
+        assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
+    assert found[0] == pytest.approx(found[1], rel=1e-9) and found[0] == pytest.approx(found[2], rel=1e-9)
+
+
+def test_lm_models_are_added_in_steps(small, monkeypatch):
+    """Many parts, added up three at a time, give the model that one sum gives."""
+    held = language.held_out(F.col("doc_id"), 7, 2)
+    whole = {r["doc_id"]: r["score"] for r in lm.score_texts(small, ~held, part_tokens=5_000).collect()}
+    monkeypatch.setattr(lm, "FAN", 3)
+    steps = {r["doc_id"]: r["score"] for r in lm.score_texts(small, ~held, part_tokens=5_000).collect()}
+    assert steps == pytest.approx(whole, rel=1e-4)
+
+
+def test_lm_token_hashes():
+    words = [b"", b"a", b"aa", b"b", b"ab", b"ba", "\u00e9".encode(), b"x" * 5000, b"x" * 4999]
+    plain = lm.token_hashes(pa.array(words, pa.binary()))
+    assert len(set(plain.tolist())) == len(words)
+    assert (lm.token_hashes(pa.array(words[::-1], pa.large_binary()))[::-1] == plain).all()
+    assert len(lm.token_hashes(pa.array([], pa.binary()))) == 0
 
 
 def test_language_grams(small):
