@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.blocks import BASE, UNBASE, Block, blocks, id_and_text, mix, powers, real_id, words
-from labelloom.session import cut_lineage, settle
+from labelloom.llm.threads import one_thread
+from labelloom.session import settle
 
 #: Tokens with vectors of their own, whose counts go to every task: so many, or so many times the root of the number of distinct ones.
 HEAD = 1 << 16
@@ -377,6 +378,7 @@ def _trained(rows: DataFrame, start: Model, noise: np.ndarray, head: Head, parts
     """One round: the average of the models that each part makes of ``start``."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        one_thread()
         for part, own in groupby(_by_part(batches), key=lambda x: x[0]):
             trainer = Trainer(start.copy(), noise, SEED + part)
             for block in blocks((b for _, b in own), lower=True):
@@ -470,6 +472,7 @@ def score_texts(
     rest_tokens, rest_types = int(head.total - own), head.distinct - head.outcomes
 
     def run(batches: Iterator[pa.RecordBatch]):
+        one_thread()
         scorer = Scorer(model)
         row = TaskContext.get().partitionId() << 40
         for block in blocks(batches, lower=True):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.llm import language, leaks, lm, mixing, queries, tokens
+from labelloom.llm import language, leaks, lm, mixing, queries, tokens, threads
 from tests.llm import brute
 from tests.llm.conftest import pairs
 
@@ -362,3 +362,10 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     whole = Counter((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, items).collect())
     monkeypatch.setattr(leaks, "ITEM_BYTES", 10_000)
     assert Counter((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, items).collect()) == whole
+
+
+def test_one_thread_leaves_products_right():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 9, (300, 40)), rng.integers(0, 9, (40, 200))
+    assert threads.one_thread() in (True, False)
+    assert (a.astype(float) @ b.astype(float) == a @ b).all()
