@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +31,36 @@ def normalize_header(df: DataFrame, lower: bool = True) -> DataFrame:
     return df.toDF(*[n.lower() if lower else n for n in names])
 
 
-def find_column(df: DataFrame, names: Sequence[str]) -> str:
-    """The column of ``df`` for a role with several accepted names, the earlier name first; case counts."""
-    present = [n for n in names if n in set(df.columns)]
-    if not present:
-        raise ValueError(f"the table has {', '.join(df.columns)}, but needs one of: {', '.join(names)}")
-    return present[0]
+class Roles(NamedTuple):
+    """``column``: what plays each role; ``spare``: further columns that could, in order of preference."""
+
+    column: dict[str, str]
+    spare: dict[str, list[str]]
+
+
+def resolve(df: DataFrame, roles: Mapping[str, Sequence[str]]) -> Roles:
+    """Find a column for every role among its accepted names, the earlier name first; case counts.
+
+    All roles that no column can play are reported in one error.
+    """
+    ranked: dict[str, list[tuple[int, str]]] = {role: [] for role in roles}
+    wanted = [(name, role, rank) for role, names in roles.items() for rank, name in enumerate(names)]
+    for name, role, rank in wanted:
+        if name in df.columns:
+            ranked[role].append((rank, name))
+    missing = sorted(role for role, hits in ranked.items() if not hits)
+    if missing:
+        accepted = {role: list(roles[role]) for role in missing if list(roles[role]) != [role]}
+        raise ValueError(f"missing columns {missing}; existing columns {df.columns}" + (f"; accepted names {accepted}" if accepted else ""))
+    order = {role: [name for _, name in sorted(hits)] for role, hits in ranked.items()}
+    return Roles({role: names[0] for role, names in order.items()}, {role: names[1:] for role, names in order.items() if names[1:]})
 
 
 def text_and_label(df: DataFrame) -> DataFrame:
     """Only the text and the label column, under their standard names, complete rows only."""
-    text, label = find_column(df, TEXT_NAMES), find_column(df, LABEL_NAMES)
+    found = resolve(df, {"text": TEXT_NAMES, "label": LABEL_NAMES}).column
     return (
-        df.select(F.col(text).alias("text"), F.col(label).alias("label"))
+        df.select(*[F.col(column).alias(role) for role, column in found.items()])
         .na.drop(subset=["text", "label"])
         .select(F.col("text").cast("string").alias("text"), F.col("label").cast("double").cast("int").alias("label"))
     )
@@ -55,9 +73,7 @@ def drop_stale_labels(df: DataFrame, names: Sequence[str] = STALE_LABELS) -> Dat
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Raise if a column is missing; returns ``df``."""
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; existing columns {df.columns}")
+    resolve(df, {name: (name,) for name in names})
     return df
 
 

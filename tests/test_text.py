@@ -102,13 +102,14 @@ def test_schema_helpers(rows):
     df = rows([("a", 1, 2)], " Text string, LABEL int, sentiment int")
     df = S.normalize_header(df)
     assert df.columns == ["text", "label", "sentiment"]
-    assert S.find_column(df, S.LABEL_NAMES) == "sentiment"
+    found = S.resolve(df, {"text": S.TEXT_NAMES, "label": S.LABEL_NAMES})
+    assert found == ({"text": "text", "label": "sentiment"}, {"label": ["label"]})
     assert S.text_and_label(df).collect() == [("a", 2)]
     assert S.drop_stale_labels(df).columns == ["text", "sentiment"]
     with pytest.raises(ValueError, match="missing columns"):
         S.require_columns(df, ["text", "title"])
-    with pytest.raises(ValueError, match="needs one of"):
-        S.find_column(df, ["x"])
+    with pytest.raises(ValueError, match=r"missing columns \['a', 'b'\].*accepted names {'b': \['x', 'y'\]}"):
+        S.resolve(df, {"text": S.TEXT_NAMES, "b": ["x", "y"], "a": ["a"]})
     with pytest.raises(ValueError, match="no rows"):
         S.require_rows(df.filter(F.lit(False)))
 
