@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.blocks import Block, blocks, id_and_text, ids_out, with_row, without_row, words
+from labelloom.llm.blocks import NO_ID, Block, blocks, id_and_text, ids_out, with_row, without_row, words
+from labelloom.session import settle
 
 #: Share of the pairs an alignment must hold that may be left out of the seeds, the most frequent first.
 LEFT_OUT = 0.5
@@ -69,17 +70,29 @@ class Items:
         return len(self.vocabulary) + 1
 
 
+def item_classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with equal words are one class: (words, item_id, n_items), a row for each class, with the least id and the
+    number of its items; and (item_id, words) of all items. Items without words have no class; an item without id is
+    one as any other, and a class without any id has a null one. Counted in Spark, so a class of any size will do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for block in blocks(batches):
+            plain = _plain(block.ids, block.texts)
+            own = [b" ".join(plain.data[a:z].tobytes().split()).decode() for a, z in zip(plain.start[:-1], plain.start[1:])]
+            yield pa.RecordBatch.from_pydict({"item_id": ids_out(block.ids), "words": pa.array(own, pa.string())})
+
+    named = items.select(F.col("item_id").alias("doc_id"), "text")
+    every = settle(id_and_text(named).mapInArrow(run, "item_id long, words string").filter("words <> ''"))
+    classes = every.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
+    return settle(classes), every
+
+
 def _item_words(rows: list[tuple[int, str]]) -> tuple[pa.Array, list[int], list[np.ndarray]]:
-    """Distinct items with words: the least id of those with equal words."""
-    texts = [(t or "").encode() for _, t in rows]
-    w = words(_plain(np.array([i for i, _ in rows], dtype=np.int64), texts))
-    least: dict[bytes, tuple[int, np.ndarray]] = {}
-    for d, (one, _) in enumerate(rows):
-        code = w.code[w.first[d] : w.first[d + 1]]
-        if len(code):
-            known = least.get(code.tobytes())
-            least[code.tobytes()] = (one if known is None else min(one, known[0]), code)
-    return w.types, [i for i, _ in least.values()], [c for _, c in least.values()]
+    """(distinct words, ids, word numbers) of items whose words differ."""
+    ids = [i for i, _ in rows]
+    w = words(_plain(np.array(ids, dtype=np.int64), [t.encode() for _, t in rows]))
+    return w.types, ids, [w.code[a:z] for a, z in zip(w.first[:-1], w.first[1:])]
 
 
 def word_counts(docs: DataFrame, vocabulary: pa.Array) -> np.ndarray:
@@ -138,18 +151,15 @@ def _seeds(vocabulary: pa.Array, counts: np.ndarray, ids: np.ndarray, code: list
     return Items(vocabulary, ids, code, found[by], item[by], need, span)
 
 
-def item_blocks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> Iterator[Items]:
-    """All items, a bounded block at a time, with seeds by the word counts of all documents."""
-    plain = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")
-    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def item_blocks(docs: DataFrame, classes: DataFrame, min_score: float = MIN_SCORE) -> Iterator[Items]:
+    """All classes of items, a bounded block at a time, with seeds by the word counts of all documents."""
+    size = classes.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n = max(1, math.ceil(size / ITEM_BYTES))
     for k in range(n):
-        part = plain.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        rows = sorted((r["item_id"], r["text"]) for r in part.collect() if r["text"])
-        if not rows:
-            continue
-        vocabulary, ids, code = _item_words(rows)
-        if ids:
+        part = classes.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k)
+        rows = sorted((NO_ID if r["item_id"] is None else r["item_id"], r["words"]) for r in part.collect())
+        if rows:
+            vocabulary, ids, code = _item_words(rows)
             yield _seeds(vocabulary, word_counts(docs, vocabulary), np.array(ids, dtype=np.int64), code, min_score)
 
 
@@ -266,16 +276,33 @@ def find_in_block(block: Block, items: Items, min_score: float) -> list[tuple[in
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """One row per document and test item of which it holds a copy: doc_id, item_id, score (0 to 1),
-    first_word, end_word (of the document, in words without case and punctuation).
+    """One row per document and class of equal test items of which it holds a copy: doc_id, item_id (the least of the
+    class), score (0 to 1), first_word, end_word (of the document, in words without case and punctuation).
+
+    ``items``: (item_id, text). ``item_classes`` has the other items of a class; null and blank texts have none. An item
+    without id counts like any other; its class has a null id where no item in it has one. Null texts of documents hold nothing; null and
+    repeated document ids come back as they are. Empty tables give an empty one. Other columns are
+    ignored. Documents are not shuffled. Items go to the tasks in blocks of bounded size; the rows of a block are written
+    before the next one is read, so the driver holds one block, whatever the number of items.
+    """
+    return _copies(docs, item_classes(items)[0], min_score)
 
-    ``items``: (item_id, text). Items with equal words count as one, under the least id; items
-    without words or id match nothing. Null texts hold nothing; null and repeated document ids come
-    back as they are. Empty tables give an empty one. Other columns are ignored. Documents are not
-    shuffled; items go to the tasks in blocks of bounded size.
+
+def leak_table(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``find_leaks`` with ``same_as`` (null there), and a row for each further item of a class: its id as item_id, the id of
+    its class as same_as, all else null. So copies of equal items are told without a row for each pair of them. Repeated ids come once; an
+    item without id has no such row.
     """
+    classes, every = item_classes(items)
+    found = _copies(docs, classes, min_score).withColumn("same_as", F.lit(None).cast("long"))
+    more = classes.filter("n_items > 1").select("words", F.col("item_id").alias("same_as"))
+    others = every.join(more, "words").filter("item_id <> same_as").select("item_id", "same_as").distinct()
+    return found.unionByName(others, allowMissingColumns=True)
+
+
+def _copies(docs: DataFrame, classes: DataFrame, min_score: float) -> DataFrame:
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for part in item_blocks(docs, items, min_score):
+    for part in item_blocks(docs, classes, min_score):
 
         def run(batches: Iterator[pa.RecordBatch], part=part):
             for block in blocks(batches):
@@ -284,21 +311,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": ids_out(block.ids[np.array(d, dtype=np.int64)]),
-                        "item_id": pa.array(part.ids[np.array(i, dtype=np.int64)], pa.int64()),
+                        "item_id": ids_out(part.ids[np.array(i, dtype=np.int64)]),
                         "score": pa.array(s, pa.float64()),
                         "first_word": pa.array(a, pa.int64()),
                         "end_word": pa.array(b, pa.int64()),
                     }
                 )
 
-        out = out.unionByName(id_and_text(docs).mapInArrow(run, SCHEMA))
+        out = out.unionByName(settle(id_and_text(docs).mapInArrow(run, SCHEMA)))
     return out
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold a copy of no item. Nothing is shuffled."""
+    """The rows of ``docs``, all columns, that hold a copy of no item.
+
+    Items without id count like any other; null and blank items match nothing, so without items all rows stay. A
+    document without text or words stays; null and repeated ids, and repeated rows, stay or go by their texts alone. An
+    empty table gives an empty one. Other columns, whatever their names, come back as they are. Nothing is shuffled. One block of items is in
+    the driver at a time; what the blocks before it left is written to the shared folder, so items of up to ``ITEM_BYTES`` cost no copy.
+    """
     plain, schema = with_row(docs)
-    for part in item_blocks(docs, items, min_score):
+    last = None
+    for part in item_blocks(docs, item_classes(items)[0], min_score):
 
         def run(batches: Iterator[pa.RecordBatch], part=part):
             for batch in batches:
@@ -309,5 +343,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCOR
                 if clean:
                     yield batch.filter(pa.array(clean))
 
-        plain = plain.mapInArrow(run, schema)
-    return without_row(plain, docs.columns)
+        if last is not None:
+            plain = settle(last)
+        last = plain.mapInArrow(run, schema)
+    return without_row(plain if last is None else last, docs.columns)

@@ -6,8 +6,12 @@ one of them passes as many words of expectation to the other as it takes to brin
 to 0 or 1. The words expected of a source stay the same at every meeting, so the words taken miss
 the target by less than the one document that is left over, and each document keeps its own
 expectation. Meetings run in a reduction tree: leaves are small groups of one source, size class
-and hash range, each leaf passes its one open document on, and the last level sees a bounded
-number of documents for each source, whatever the size of the source.
+and hash range, each leaf passes its one open document on, then each size class, so the last level
+sees one document for each size class of a source, whatever the size of the source.
+
+Rows of one source, id and size are interchangeable. They are counted first and dealt out to lots
+of ``LOT`` rows: as many of a lot as its fractions add up to are taken, and only what is left over
+meets others, as one document. So no group of equal rows, rows without id among them, grows a leaf.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.operators.ordinal import global_ordinal
 from labelloom.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -26,8 +31,11 @@ MAX_COPIES = 2.0
 LEAF_ROWS = 32
 #: Hash bits that one level of the tree settles.
 LEVEL_BITS = 5
-ITEM = "struct<size:bigint,doc_id:bigint,p:double>"
-DONE = "struct<size:bigint,doc_id:bigint,up:int>"
+#: Equal rows that are settled as one document.
+LOT = 1024
+#: ``sure`` of ``n`` equal rows are taken, and one more with chance ``p``.
+ITEM = "struct<size:bigint,doc_id:bigint,lot:bigint,n:int,sure:int,p:double>"
+DONE = "struct<size:bigint,doc_id:bigint,n:int,up:int>"
 
 
 def n_words(text: Column) -> Column:
@@ -37,41 +45,48 @@ def n_words(text: Column) -> Column:
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = TOTAL_SHARE, cap: float = MAX_COPIES) -> DataFrame:
     """(source, source_size) with ``target``: words by weight, none above ``cap`` times its size.
 
-    Weights go to the sources by code point, null last. Raising the level of all open sources until
-    the next one is full is the same as sharing out each excess again by weight. The windows run over
-    one row for each source.
+    Weights go to the sources by code point, null last, by their places in a range sort. All open sources
+    stand at one level of words a unit of weight; those that are full at it stop, and the level rises by what they leave over
+    until no more stop. Each step is one aggregate that gives a row for each weight, so any number of sources will do.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    everywhere = Window.partitionBy()
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
+    named = global_ordinal(sources.select("source", "source_size", F.col("source").isNull().alias("_none")), ["_none", "source"], "_place")
+    rows = cut_lineage(named.select("source", "source_size", ((F.col("_place") - 1) % len(weights)).cast("int").alias("_slot")))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("_slot") + 1)
     full = F.col("source_size") * F.lit(cap)
-    fill = Window.orderBy(F.col("_full") / F.col("_w"), F.col("source").isNull(), "source")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    spent, gone = (F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("_full", "_w"))
-    goal = F.sum("source_size").over(everywhere) * F.lit(share)
-    rows = sources.withColumn("_w", weight).withColumn("_full", full)
-    rows = rows.withColumn("_level", (goal - spent) / (F.sum("_w").over(everywhere) - gone)).withColumn("_goal", goal)
-    rows = rows.withColumn("_stop", F.col("_full") <= F.col("_level") * F.col("_w"))
-    held = [F.sum(F.when(F.col("_stop"), F.col(c)).otherwise(0.0)).over(everywhere) for c in ("_full", "_w")]
-    total = F.sum("_w").over(everywhere)
-    share_left = (F.col("_goal") - held[0]) * F.col("_w") / (total - held[1])
-    return rows.withColumn("target", F.when(F.col("_stop"), F.col("_full")).otherwise(share_left)).select(
-        "source", "source_size", "target"
-    )
+
+    def at(level: float | None) -> tuple[Column, float, int]:
+        """Who stops at a level; the level that follows from that, and how many are open."""
+        stop = F.lit(False) if level is None else full <= F.lit(level) * weight
+        figures = (F.sum("source_size").alias("all"), F.sum(F.when(stop, F.col("source_size")).otherwise(0)).alias("held"), F.sum((~stop).cast("long")).alias("open"))
+        found = sorted(rows.groupBy("_slot").agg(*figures).collect())
+        heavy = sum(weights[r["_slot"]] * r["open"] for r in found)
+        left = share * sum(r["all"] for r in found) - cap * sum(r["held"] for r in found)
+        return stop, left / heavy if heavy else math.inf, sum(r["open"] for r in found)
+
+    stop, level, open_ = at(None)
+    while open_:
+        more, higher, left = at(level)
+        if left == open_:
+            break
+        stop, level, open_ = more, max(level, higher), left
+    goal = F.when(stop, full).otherwise(F.lit(level) * weight) if open_ else full
+    return rows.select("source", "source_size", goal.alias("target"))
 
 
 def _chance(a: Column, b: Column, seed: int) -> Column:
     """A number from 0 to 1 that depends on the two documents only."""
-    h = F.xxhash64(F.lit(seed), a["doc_id"], a["size"], b["doc_id"], b["size"])
+    h = F.xxhash64(F.lit(seed), a["doc_id"], a["size"], a["lot"], b["doc_id"], b["size"], b["lot"])
     return F.shiftrightunsigned(h, 11) * F.lit(2.0**-53)
 
 
 def _item(x: Column, p: Column) -> Column:
-    return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
+    same = [x[c].alias(c) for c in ("size", "doc_id", "lot", "n", "sure")]
+    return F.struct(*same, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
 
 
-def _done(x: Column, up: int) -> Column:
-    return F.array(F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), F.lit(up).alias("up")))
+def _done(x: Column, up: int | Column) -> Column:
+    up = F.lit(up) if isinstance(up, int) else up
+    return F.array(F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["n"].alias("n"), (x["sure"] + up).alias("up")))
 
 
 def _settle(items: Column, seed: int) -> Column:
@@ -104,29 +119,36 @@ def _largest_first(items: Column) -> Column:
 
 
 def round_fractions(rows: DataFrame, n_rows: int, seed: int) -> DataFrame:
-    """(source, doc_id, size, p) with 0 < p < 1 and size > 0: ``up`` is 1 with chance ``p``, else 0."""
+    """(source, doc_id, size, p) with 0 < p < 1 and size > 0: ``up`` is 1 with chance ``p``, else 0. ``p`` is the same for equal rows."""
     levels = max(0, math.ceil(math.log2(max(n_rows, 1) / LEAF_ROWS) / LEVEL_BITS)) if n_rows > LEAF_ROWS else 0
-    open_ = rows.select(
+    equal = rows.groupBy("source", "doc_id", "size").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    lots = equal.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))))
+    lots = lots.withColumn("n", F.least(F.lit(LOT), F.col("n") - F.col("lot") * LOT).cast("int"))
+    words = F.col("n") * F.col("p")
+    item = F.struct("size", "doc_id", "lot", "n", F.floor(words).cast("int").alias("sure"), (words - F.floor(words)).alias("p"))
+    placed = lots.select(
         "source",
         F.floor(F.log2("size") * 2).alias("cls"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << (LEVEL_BITS * levels))).alias("leaf"),
-        F.struct("size", "doc_id", "p").cast(ITEM).alias("item"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "lot"), F.lit(1 << (LEVEL_BITS * levels))).alias("leaf"),
+        item.cast(ITEM).alias("item"),
     )
+    open_ = placed
     decided = []
-    for level in range(levels):
+    for level in range(levels + 1):
+        # the last of these sees at most about 2**LEVEL_BITS documents of a size class
         met = open_.groupBy("source", "cls", "leaf").agg(_settle(_largest_first(F.col("item")), seed + level).alias("met"))
         met = cut_lineage(met)
         decided.append(met.select("source", F.explode("met.done").alias("d")))
         open_ = met.select("source", "cls", F.shiftright("leaf", LEVEL_BITS).alias("leaf"), F.col("met.open").alias("item"))
-    # the last level: at most 2**LEVEL_BITS documents of each size class
-    met = open_.groupBy("source").agg(_settle(_largest_first(F.col("item")), seed + levels).alias("met"))
+    met = open_.groupBy("source").agg(_settle(_largest_first(F.col("item")), seed + levels + 1).alias("met"))
     left = F.col("met.open")
-    lucky = (_chance(left, left, seed + levels + 1) < left["p"]).cast("int")
-    rest = F.array(F.struct(left["size"].alias("size"), left["doc_id"].alias("doc_id"), lucky.alias("up")))
-    last = met.select("source", F.explode(F.concat("met.done", rest)).alias("d"))
+    lucky = (_chance(left, left, seed + levels + 2) < left["p"]).cast("int")
+    last = met.select("source", F.explode(F.concat("met.done", _done(left, lucky))).alias("d"))
     for part in decided:
         last = last.unionByName(part)
-    return last.select("source", "d.doc_id", "d.size", "d.up")
+    one = F.explode(F.sequence(F.lit(1), F.col("d.n"))).alias("place")
+    each = last.select("source", "d.doc_id", "d.size", F.col("d.up").alias("taken"), one)
+    return each.select("source", "doc_id", "size", (F.col("place") <= F.col("taken")).cast("int").alias("up"))
 
 
 def mix(

@@ -35,7 +35,7 @@ def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return leaks.leak_table(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:

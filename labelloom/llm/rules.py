@@ -142,7 +142,8 @@ def quality(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest: int =
 def keep_good(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The rows of ``docs`` that pass, with all columns. The text is read once; nothing is joined.
 
-    The columns travel as one struct beside the text, so names cannot clash.
+    The columns travel as one struct beside the text, so names cannot clash. A null, empty or blank text fails.
+    Null and repeated ids and repeated rows stay or go by their texts alone; an empty table gives an empty one.
     """
     plain, schema = with_row(docs)
 

@@ -103,7 +103,12 @@ def component_ids(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one of each group stays: the least id, then the least hash of the text."""
+    """The rows of ``docs``, all columns, of which one of each group stays: the least id, then the least hash of the text.
+
+    Null, empty and blank texts share fingerprint 0, so one of them stays. A null id is larger than every other, so
+    such a row stays only where no row of its group has an id. Of equal rows one stays. An empty table gives an empty
+    one. Other columns travel as one struct, so their names cannot clash.
+    """
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         "text",

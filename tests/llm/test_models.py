@@ -227,6 +227,43 @@ def test_rounding_keeps_chances(spark):
     assert max(total.values()) < 11 and len(total) == 400
 
 
+def test_rounding_of_equal_rows(spark, monkeypatch):
+    """Rows that nothing tells apart are settled in lots; words are kept to one document, in any layout."""
+    rows = spark.range(100_000).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("a")).when(F.col("id") % 3 == 1, F.lit("b")).alias("source"),
+        F.when(F.col("id") % 1000 == 2, F.lit("one two three four")).otherwise(F.lit("one two three")).alias("text"),
+    )
+    found = mixing.mix(rows)
+    table = found.groupBy("source", "size", "copies").count().collect()
+    assert sum(r["count"] for r in table) == 100_000
+    for source in ("a", "b", None):
+        own = [r for r in table if r["source"] == source]
+        goal = found.filter(F.col("source").eqNullSafe(F.lit(source))).first()["target"]
+        assert abs(sum(r["size"] * r["copies"] * r["count"] for r in own) - goal) <= 4
+    other = mixing.mix(rows.repartition(11)).groupBy("source", "size", "copies").count().collect()
+    assert Counter(map(tuple, other)) == Counter(map(tuple, table))
+    monkeypatch.setattr(mixing, "LOT", 3)
+    few = spark.createDataFrame([("s", 1, 7, 0.4)] * 100 + [("s", None, 5, 0.4)] * 50 + [("s", 2, 1, 0.4)], "source string, doc_id long, size long, p double")
+    got = Counter((r["doc_id"], r["size"]) for r in mixing.round_fractions(few, 151, 3).collect())
+    assert got == {(1, 7): 100, (None, 5): 50, (2, 1): 1}
+    words = sum(r["size"] * r["up"] for r in mixing.round_fractions(few, 151, 3).collect())
+    assert abs(words - 0.4 * (700 + 250 + 1)) <= 7
+
+
+def test_targets_of_many_sources(spark):
+    """Sizes over nine decades, all full, and no sources."""
+    df = spark.range(2000).select(F.format_string("s%05d", "id").alias("source"), F.pow(F.lit(10.0), F.col("id") % 900 / 100).cast("long").alias("source_size"))
+    rows = mixing.targets(df).collect()
+    total = sum(r["source_size"] for r in rows)
+    assert sum(r["target"] for r in rows) == pytest.approx(1.5 * total)
+    level = {w: {r["target"] / w for r in rows if (5, 2, 1)[int(r["source"][1:]) % 3] == w and r["target"] < 2 * r["source_size"]} for w in (5, 2, 1)}
+    assert len({round(x, 3) for own in level.values() for x in own}) == 1
+    assert all(r["target"] <= 2 * r["source_size"] for r in rows)
+    assert [r["target"] for r in mixing.targets(df, share=3.0).collect()] == [2 * r["source_size"] for r in mixing.targets(df, share=3.0).collect()]
+    assert mixing.targets(df.limit(0)).collect() == []
+
+
 MODEL = queries.VOCABULARY
 
 
@@ -323,6 +360,11 @@ def test_leaks(spark, odd, nothing):
     got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(odd, own).collect()}
     assert got == {(4, 5), (None, 5)}
     assert leaks.without_leaks(odd, own).count() == odd.count() - 2
+    # an item without id is one as any other
+    more = own.union(spark.createDataFrame([(None, "FULL: " + "x y " * 700), (None, "one"), (9, "one")], own.schema))
+    got = Counter((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(odd, more).collect())
+    assert got == Counter({(4, 5): 1, (None, 5): 1, (3, 9): 2, (9, None): 1})
+    assert leaks.without_leaks(odd, more).count() == odd.count() - 5
     assert leaks.without_leaks(odd, own).columns == odd.columns
     assert leaks.find_leaks(nothing, own).collect() == [] and leaks.find_leaks(odd, own.limit(0)).collect() == []
     assert leaks.without_leaks(odd, own.limit(0)).count() == odd.count()
@@ -362,6 +404,14 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     whole = Counter((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, items).collect())
     monkeypatch.setattr(leaks, "ITEM_BYTES", 10_000)
     assert Counter((r["doc_id"], r["item_id"]) for r in leaks.find_leaks(docs, items).collect()) == whole
+    # equal items, in any number of blocks: one row for their class, and one for each other id
+    again = items.union(items.select(F.col("item_id") + 100_000, F.concat(F.lit("- "), "text", F.lit(" !")))).union(items)
+    rows = leaks.leak_table(docs, again).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in rows if r["same_as"] is None) == whole
+    ids = [r["item_id"] for r in items.collect()]
+    assert Counter((r["doc_id"], r["item_id"], r["same_as"]) for r in rows if r["same_as"] is not None) == Counter((None, i + 100_000, i) for i in ids)
+    stay = {r["doc_id"] for r in leaks.without_leaks(docs, again).collect()}
+    assert stay == {d for d, _ in pairs(docs)} - {d for d, _ in whole}
 
 
 def test_one_thread_leaves_products_right():
