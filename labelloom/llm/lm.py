@@ -229,10 +229,16 @@ def fresh(head: Head, size: int = SIZE) -> Model:
     )
 
 
+def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stable order of row numbers, the rows in it). Numbers that hold their places too need no stable sort."""
+    bits = np.int64(max(1, len(rows) - 1).bit_length())
+    key = np.sort((rows.astype(np.int64) << bits) | np.arange(len(rows)))
+    return key & ((np.int64(1) << bits) - 1), key >> bits
+
+
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, the sum of the values of each, how many it has)."""
-    by = np.argsort(rows, kind="stable")
-    rows = rows[by]
+    by, rows = _order(rows)
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     return rows[starts], np.add.reduceat(values[by], starts, axis=0), np.diff(np.r_[starts, len(rows)])
 
@@ -271,23 +277,25 @@ class Trainer:
 
     @staticmethod
     def _back(starts: np.ndarray, hidden: np.ndarray, wrong: np.ndarray, dy: np.ndarray, dh: np.ndarray) -> np.ndarray:
-        """Adds the noise's part to ``dh``; the gradients of the noise rows, that of the bias last."""
-        out = np.empty((len(starts), NOISE, hidden.shape[1] + 1), dtype=np.float32)
+        """Adds the noise's part to ``dh``; the gradients of the noise rows, that of the bias last, as ``hidden`` ends in a one."""
+        out = np.empty((len(starts), NOISE, hidden.shape[1]), dtype=np.float32)
         for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(hidden)])):
             d = dy[lo:hi]
             dh[lo:hi] += d @ wrong[k]
-            np.matmul(d.T, hidden[lo:hi], out=out[k, :, :-1])
-        out[:, :, -1] = np.add.reduceat(dy, starts, axis=0)
+            np.matmul(d.T, hidden[lo:hi], out=out[k])
         return out.reshape(-1, out.shape[2])
 
     def batch(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> float:
         """One step; the mean loss of the class level before it."""
         m, n = self.model, len(target)
-        by = np.argsort(target, kind="stable")
-        one, two, target = one[by], two[by], target[by]
+        by, target = _order(target)
+        one, two = one[by], two[by]
         own = m.classes(target)
         a, b = m.context[one], m.context[two]
-        hidden = a * m.place[0] + b * m.place[1]
+        wide = np.ones((n, a.shape[1] + 1), dtype=np.float32)
+        hidden = wide[:, :-1]
+        np.multiply(a, m.place[0], out=hidden)
+        hidden += b * m.place[1]
         # classes; targets of a lot share their noise
         lots = np.arange(0, n, LOT)
         drawn = np.minimum(np.searchsorted(self.class_steps, self.rng.random((len(lots), NOISE))), len(m.group) - 1)
@@ -296,14 +304,15 @@ class Trainer:
         y = self._against(lots, hidden, wrong, m.group_bias[drawn] - self.log_class[drawn])
         dx, dy = _sure(x), -_sure(-y)  # 1 - P(real), -P(noise taken for real)
         dh = dx[:, None] * real
-        g_wrong = self._back(lots, hidden, wrong, dy, dh)
+        g_wrong = self._back(lots, wide, wrong, dy, dh)
         g_rows = [own, drawn.ravel()]
-        g_values = [np.concatenate([dx[:, None] * hidden, dx[:, None]], axis=1), g_wrong]
+        g_values = [dx[:, None] * wide, g_wrong]
         # outcomes within their classes; a run is a lot's targets of one class, and classes of one outcome have no run
         some = np.flatnonzero(m.edge[own + 1] - m.edge[own] > 1)
         t_rows, t_values = [], []
         if len(some):
-            h, t, c = hidden[some], target[some], own[some]
+            wide, t, c = wide[some], target[some], own[some]
+            h = wide[:, :-1]
             runs = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (some[1:] // LOT != some[:-1] // LOT)])
             first, end = m.edge[c[runs]][:, None], m.edge[c[runs] + 1][:, None]
             at = self.steps[first] + self.rng.random((len(runs), NOISE)) * (self.steps[end] - self.steps[first])
@@ -313,10 +322,10 @@ class Trainer:
             v = self._against(runs, h, wrong, m.bias[drawn] - self.log_noise[drawn])
             du, dv = _sure(u), -_sure(-v)
             back = du[:, None] * real
-            t_wrong = self._back(runs, h, wrong, dv, back)
+            t_wrong = self._back(runs, wide, wrong, dv, back)
             dh[some] += back
             t_rows = [t, drawn.ravel()]
-            t_values = [np.concatenate([du[:, None] * h, du[:, None]], axis=1), t_wrong]
+            t_values = [du[:, None] * wide, t_wrong]
         rows, values, met = _sums(np.r_[one, two], np.concatenate([dh * m.place[0], dh * m.place[1]]))
         place = np.stack([(dh * a).sum(axis=0), (dh * b).sum(axis=0)]) / n
         self._step(0, rows, values)
@@ -440,7 +449,7 @@ class Scorer:
     def __call__(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         m, out = self.model, np.empty(len(target))
         for z in range(0, len(target), SLICE):
-            by = z + np.argsort(target[z : z + SLICE], kind="stable")
+            by = z + _order(target[z : z + SLICE])[0]
             hidden, goal = m.predicted(one[by], two[by]), target[by]
             own = m.classes(goal)
             chance = _chances(hidden, m.group, m.group_bias, own)
