@@ -213,6 +213,48 @@ def guarded(spark, folder):
     return S.require_rows(df, "labels").select("doc_id", "quality", "toxic")
 
 
+GUARDED = ("documents", "labels", "pages", "benchmark", "conversations")
+NEEDED = ("doc_id", "text", "lang")
+CORPORA = ("en", "hr")
+
+
+def _listed(values: str) -> str:
+    return f"'[' || string_agg(chr(39) || {values} || chr(39), ', ' ORDER BY place) || ']'"
+
+
+SQL_COLUMNS = " UNION ALL ".join(
+    f"SELECT '{t}' AS source, column_name AS name, row_number() OVER () AS place FROM (DESCRIBE {t})" for t in GUARDED
+)
+SQL_GUARDED = f"""WITH cols AS ({SQL_COLUMNS}),
+    needed AS (SELECT name, name AS place FROM (VALUES {", ".join(f"('{n}')" for n in NEEDED)}) AS v(name)),
+    missing AS (SELECT source, {_listed("needed.name")} AS names FROM needed, (SELECT DISTINCT source FROM cols) AS s
+                WHERE NOT EXISTS (SELECT 1 FROM cols WHERE cols.source = s.source AND cols.name = needed.name) GROUP BY source),
+    existing AS (SELECT source, {_listed("name")} AS names FROM cols GROUP BY source),
+    found AS (SELECT lang, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY lang)
+    SELECT existing.source, corpus,
+           CASE WHEN missing.names IS NOT NULL THEN 'missing columns ' || missing.names || '; existing columns ' || existing.names
+                WHEN coalesce(n, 0) = 0 THEN existing.source || ' ' || corpus || ' has no rows'
+                ELSE 'passes' END AS verdict
+    FROM existing CROSS JOIN (VALUES {", ".join(f"('{c}')" for c in CORPORA)}) AS v(corpus)
+    LEFT JOIN missing ON missing.source = existing.source LEFT JOIN found ON lang = corpus"""
+
+
+@query("f5_f6_guards_refuse", SQL_GUARDED)
+def refused(spark, folder):
+    """What the guards say of each table as a corpus of one language: that it passes, lacks columns, or has no rows."""
+    found = []
+    for source in GUARDED:
+        df = table(spark, folder, source)
+        for corpus in CORPORA:
+            try:
+                known = S.require_columns(df, NEEDED).filter(F.col("text").isNotNull() & (F.col("lang") == corpus))
+                S.require_rows(known, f"{source} {corpus}")
+                found.append((source, corpus, "passes"))
+            except ValueError as refusal:
+                found.append((source, corpus, str(refusal)))
+    return spark.createDataFrame(found, "source string, corpus string, verdict string")
+
+
 @query(
     "a7_row_vote_median",
     f"""WITH {SQL_SENTENCES},

@@ -35,7 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="labelloom-")
     sc.setCheckpointDir(named)
