@@ -30,23 +30,29 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
-def term_statistics(df: DataFrame, tokens: Column, doc: str, by: list[str] | None = None) -> DataFrame:
-    """(term, tf, df, first_doc, first_pos): corpus and document frequency, first occurrence.
+def _occurrences(df: DataFrame, tokens: Column, doc: str, *more: str) -> tuple[DataFrame, Column]:
+    """(doc, more, _i, term) and which rows lead: each document as its distinct terms followed by all its terms.
 
-    Each document is exploded once as its distinct terms followed by all its terms: the leading
-    ones count documents, the others occurrences. Everything combines on the map side, so only
-    one row per task and term is shuffled, never one per document and term. ``first_pos`` is the
-    rank among the distinct terms of ``first_doc``, which orders like the token position.
+    Leading rows count documents, the others occurrences, so one aggregate by term yields both.
     """
-    by = by or []
-    own = df.select(doc, *by, tokens.alias("_all")).withColumn("_own", F.array_distinct("_all"))
+    own = df.select(doc, *more, tokens.alias("_all")).withColumn("_own", F.array_distinct("_all"))
     # Sized before the explode, so that no array travels with the exploded rows. The explode takes
     # an expression, not a column: on a column Spark would infer a filter and push the whole
     # tokenising into it.
     sized = own.withColumn("_k", F.size("_own"))
-    docs = sized.select(doc, *by, "_k", F.posexplode(F.concat("_own", "_all")).alias("_i", "term"))
-    lead = F.col("_i") < F.col("_k")
-    return docs.groupBy("term", *by).agg(
+    rows = sized.select(doc, *more, "_k", F.posexplode(F.concat("_own", "_all")).alias("_i", "term"))
+    return rows, F.col("_i") < F.col("_k")
+
+
+def term_statistics(df: DataFrame, tokens: Column, doc: str, by: Sequence[str] = ()) -> DataFrame:
+    """(term, by, tf, df, first_doc, first_pos): corpus and document frequency, first occurrence.
+
+    Everything combines on the map side, so only one row per task and term is shuffled, never one
+    per document and term. ``first_pos`` is the rank among the distinct terms of ``first_doc``,
+    which orders like the token position.
+    """
+    rows, lead = _occurrences(df, tokens, doc, *by)
+    return rows.groupBy("term", *by).agg(
         F.count_if(~lead).alias("tf"),
         F.count_if(lead).alias("df"),
         F.min(F.when(lead, F.col(doc))).alias("first_doc"),
@@ -54,6 +60,26 @@ def term_statistics(df: DataFrame, tokens: Column, doc: str, by: list[str] | Non
     )
 
 
+def fold_statistics(df: DataFrame, tokens: Column, doc: str, folds: int, fold: str = "fold") -> DataFrame:
+    """(term, tf, df, tf_0, df_0, tf_1, ...): frequencies in the whole corpus and in each fold, a row a term.
+
+    What a fold learns from is the whole without its own part, a difference within the row.
+    """
+    rows, lead = _occurrences(df, tokens, doc, fold)
+    within = [F.col(fold) == f for f in range(folds)]
+    return rows.groupBy("term").agg(
+        F.count_if(~lead).alias("tf"),
+        F.count_if(lead).alias("df"),
+        *[c for f, own in enumerate(within) for c in (F.count_if(~lead & own).alias(f"tf_{f}"), F.count_if(lead & own).alias(f"df_{f}"))],
+    )
+
+
+def without_fold(stats: DataFrame, fold: int) -> DataFrame:
+    """(term, tf, df) over all folds but one, from ``fold_statistics``."""
+    rest = [(F.col(c) - F.col(f"{c}_{fold}")).alias(c) for c in ("tf", "df")]
+    return stats.select("term", *rest).filter("tf > 0")
+
+
 def _threshold(stats: DataFrame, size: int) -> tuple[int, int, int]:
     """The frequency of the ``size``-th most frequent term, how many terms are more frequent, and how
     many are as frequent. With fewer terms: (0, number of terms, 0).
@@ -79,13 +105,14 @@ def _threshold(stats: DataFrame, size: int) -> tuple[int, int, int]:
     return low, above, equal
 
 
-def most_frequent(stats: DataFrame, size: int, ties: Sequence[str]) -> DataFrame:
+def most_frequent(stats: DataFrame, size: int, ties: Sequence[str], written: bool = False) -> DataFrame:
     """The ``size`` rows of ``stats`` with the highest ``tf``, equal ones at the edge in order of ``ties``.
 
     A threshold on the frequency selects them, so no task ever sees more than its own rows; where the
-    edge cuts through equal frequencies, those are numbered by a range sort. ``stats`` is written once.
+    edge cuts through equal frequencies, those are numbered by a range sort. ``stats`` is written once,
+    unless it only reads from what is ``written`` already.
     """
-    stats = settle(stats, "terms")
+    stats = stats if written else settle(stats, "terms")
     least, above, equal = _threshold(stats, size)
     if not least or above + equal == size:
         return stats.filter(F.col("tf") >= least)
@@ -105,10 +132,11 @@ def top_vocabulary(stats: DataFrame, size: int = MAX_TOKENS) -> DataFrame:
     )
 
 
-def feature_vocabulary(stats: DataFrame, size: int, min_df: int = 1) -> DataFrame:
+def feature_vocabulary(stats: DataFrame, size: int, min_df: int = 1, written: bool = False) -> DataFrame:
     """(term, idx, tf, df): terms in ``min_df`` documents, the ``size`` most frequent, indexed
-    0.. in term order; equal frequencies at the edge are cut in term order."""
-    top = most_frequent(stats.select("term", "tf", "df").filter(F.col("df") >= min_df), size, ["term"])
+    0.. in term order; equal frequencies at the edge are cut in term order. ``written``: ``stats``
+    reads from a table or checkpoint."""
+    top = most_frequent(stats.select("term", "tf", "df").filter(F.col("df") >= min_df), size, ["term"], written)
     return top.select(
         "term",
         (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"),

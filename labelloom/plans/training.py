@@ -32,8 +32,8 @@ from labelloom.operators.distribution import with_class_weights
 from labelloom.operators.evaluate import scores
 from labelloom.operators.split import class_sizes, fold_quotas, hash_key, place
 from labelloom.operators.tfidf import count_model, smooth_idf
-from labelloom.operators.vocabulary import feature_vocabulary, term_statistics
-from labelloom.session import cut_lineage
+from labelloom.operators.vocabulary import feature_vocabulary, fold_statistics, term_statistics, without_fold
+from labelloom.session import cut_lineage, passing_table, settle
 
 
 @dataclass(frozen=True)
@@ -112,9 +112,9 @@ def term_stages(features: Features) -> list[Transformer]:
     ]
 
 
-def learn_vocabulary(stats: DataFrame, documents: int, features: Features) -> dict[str, float]:
+def learn_vocabulary(stats: DataFrame, documents: int, features: Features, written: bool = False) -> dict[str, float]:
     """The chosen terms in order and their inverse document frequencies, at most ``max_features``."""
-    vocabulary = feature_vocabulary(stats, features.max_features, features.min_df)
+    vocabulary = feature_vocabulary(stats, features.max_features, features.min_df, written)
     rows = vocabulary.select("term", "idx", smooth_idf(F.lit(documents), "df").alias("idf")).collect()
     if not rows:
         raise ValueError("the corpus has no term to learn from")
@@ -264,21 +264,16 @@ def _in_folds(df: DataFrame, id_col: str, features: Features, folds: int, seed:
     return PipelineModel(stages=term_stages(features)).transform(placed).select(id_col, "label", "fold", "terms"), rows
 
 
-def _without(stats: DataFrame, fold: int) -> DataFrame:
-    """Term statistics of all folds but one, from statistics per fold."""
-    return stats.filter(F.col("fold") != fold).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-
-
 def fold_vocabularies(
     df: DataFrame, id_col: str, features: Features = LOGISTIC_FEATURES, folds: int = 5, seed: int = 42
 ) -> DataFrame:
     """(fold, term, idx, tf, df, idf): what cross-validation learns before it scores each fold."""
     terms, rows = _in_folds(df, id_col, features, folds, seed)
-    stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]).select("term", "fold", "tf", "df"))
+    stats = settle(fold_statistics(terms, F.col("terms"), id_col, folds), "terms")
     parts = []
     for fold in range(folds):
         documents = F.lit(sum(n for f, n in rows.items() if f != fold))
-        chosen = feature_vocabulary(_without(stats, fold), features.max_features, features.min_df)
+        chosen = feature_vocabulary(without_fold(stats, fold), features.max_features, features.min_df, written=True)
         parts.append(chosen.select(F.lit(fold).alias("fold"), "term", "idx", "tf", "df", smooth_idf(documents, "df").alias("idf")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -296,17 +291,17 @@ def cross_validate(
     """(run, fold, support, accuracy, macro_f1, weighted_f1): every run on every fold.
 
     The vocabulary and the document frequencies of a fold's training rows leave out that fold. They
-    come from one pass over the corpus: statistics are kept per (term, fold), and a fold's own part
-    is left out of the sum. A second pass counts the terms of all folds' vocabularies, at most folds x
+    come from one pass over the corpus: a term's row keeps its statistics for each fold, and a fold's
+    own part is taken off the sum. A second pass counts the terms of all folds' vocabularies, at most folds x
     ``max_features``, in one table that all folds and runs read. A fold weighs the counts by its own
     frequencies, terms outside its vocabulary by zero, so it learns from what it would have alone.
     All folds are scored in one job. One fold is trained at a time by default; a higher ``parallelism``
     lets their many short jobs fill each other's gaps.
     """
     terms, rows = _in_folds(df, id_col, features, folds, seed)
-    stats = cut_lineage(term_statistics(terms, F.col("terms"), id_col, by=["fold"]).select("term", "fold", "tf", "df"))
     documents = {fold: sum(n for f, n in rows.items() if f != fold) for fold in range(folds)}
-    idf = {fold: learn_vocabulary(_without(stats, fold), documents[fold], features) for fold in range(folds)}
+    with passing_table(fold_statistics(terms, F.col("terms"), id_col, folds), "terms") as stats:
+        idf = {fold: learn_vocabulary(without_fold(stats, fold), documents[fold], features, written=True) for fold in range(folds)}
     union = sorted(set().union(*idf.values()))
     stages, counts = count_stages(union, features)
     counted = PipelineModel(stages=stages).transform(terms).select(id_col, "label", "fold", counts)

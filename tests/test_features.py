@@ -41,6 +41,17 @@ def test_term_statistics_by_group(docs):
     assert sorted(summed.collect()) == sorted(whole.collect())
 
 
+def test_fold_statistics_leave_a_fold_out(docs):
+    tokens = whitespace_tokens("text")
+    part = docs.withColumn("fold", F.col("doc") % 3)
+    stats = V.fold_statistics(part, tokens, "doc", 3).cache()
+    whole = V.term_statistics(docs, tokens, "doc").select("term", "tf", "df")
+    assert sorted(stats.select("term", "tf", "df").collect()) == sorted(whole.collect())
+    for fold in range(3):
+        rest = V.term_statistics(part.filter(F.col("fold") != fold), tokens, "doc").select("term", "tf", "df")
+        assert sorted(V.without_fold(stats, fold).collect()) == sorted(rest.collect())
+
+
 def test_encode_hand_cases(rows):
     vocab = rows([("a", 2), ("b", 3)], "token string, id int")
     df = rows([(1, "A b zz"), (2, "a a a a a b"), (3, ""), (4, None)], "doc long, text string")
