@@ -298,7 +298,7 @@ def cross_validate(
     folds: int = 5,
     seed: int = 42,
     balanced: str | None = None,
-    parallelism: int = 1,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """(run, fold, support, accuracy, macro_f1, weighted_f1): every run on every fold.
 
@@ -307,8 +307,9 @@ def cross_validate(
     own part is taken off the sum. A second pass counts the terms of all folds' vocabularies, at most folds x
     ``max_features``, in one table that all folds and runs read. A fold weighs the counts by its own
     frequencies, terms outside its vocabulary by zero, so it learns from what it would have alone.
-    All folds are scored in one job. One fold is trained at a time by default; a higher ``parallelism``
-    lets their many short jobs fill each other's gaps.
+    All folds are scored in one job. All are trained side by side, so that their many short jobs fill each
+    other's gaps; each keeps its training rows in the executors meanwhile (on disk what does not fit), fewer
+    at a time with a lower ``parallelism``.
     """
     terms, rows = _in_folds(df, id_col, features, folds, seed)
     documents = {fold: sum(n for f, n in rows.items() if f != fold) for fold in range(folds)}
@@ -333,7 +334,7 @@ def cross_validate(
         return cut_lineage(reduce(DataFrame.unionByName, done))
 
     try:
-        with ThreadPool(min(parallelism, folds)) as pool:
+        with ThreadPool(min(parallelism or folds, folds)) as pool:
             task = inheritable_thread_target(df.sparkSession)(one_fold)
             predictions = pool.map(task, range(folds))
     finally:
