@@ -43,6 +43,10 @@ RATE = 0.1
 #: Tokens scored at once, and rows of a model averaged at once.
 SLICE = 1 << 17
 ROWS = 1024
+#: Cells of a matrix product of the scoring, about.
+CELLS = 1 << 17
+#: Values of a row that are added one by one, at most.
+FEW = 8
 SEED = 11
 #: Training tokens of a part, about; rounds of parts; parts whose models are added up at once.
 PART_TOKENS = 1 << 22
@@ -192,9 +196,6 @@ class Model:
     def classes(self, outcome: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edge, outcome, side="right") - 1
 
-    def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] * self.place[0] + self.context[two] * self.place[1]
-
 
 def noise_of(head: Head) -> np.ndarray:
     """Unigram chances of the outcomes, the shared one last."""
@@ -237,10 +238,36 @@ def _order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, the sum of the values of each, how many it has)."""
+    """(distinct rows, the sum of the values of each, how many it has), those with most values first.
+
+    Rows of few values, nearly all, are added value by value for all of them at once, in ``reduceat``'s order:
+    the first one to the sum of the others.
+    """
     by, rows = _order(rows)
     starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    return rows[starts], np.add.reduceat(values[by], starts, axis=0), np.diff(np.r_[starts, len(rows)])
+    n = np.diff(np.r_[starts, len(rows)])
+    most = _order(len(rows) - n)[0]
+    starts, n = starts[most], n[most]
+    # more[k]: the rows of more than k values
+    more = np.searchsorted(-n, -np.arange(FEW + 1))
+    out = np.empty((len(starts), values.shape[1]), dtype=values.dtype)
+    long = more[FEW]
+    if long:
+        first = np.cumsum(n[:long]) - n[:long]
+        at = np.repeat(starts[:long] - first, n[:long]) + np.arange(n[:long].sum())
+        out[:long] = np.add.reduceat(values.take(by[at], axis=0), first, axis=0)
+    rest = values.take(by[starts[long : more[1]] + 1], axis=0)
+    for k in range(2, FEW):
+        rest[: more[k] - long] += values.take(by[starts[long : more[k]] + k], axis=0)
+    out[long:] = values.take(by[starts[long:]], axis=0)
+    out[long : more[1]] += rest
+    return rows[starts], out, n
+
+
+def _put(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``table[rows] = values``, each row copied in one piece."""
+    piece = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(piece)[:, 0][rows] = np.ascontiguousarray(values, dtype=table.dtype).view(piece)[:, 0]
 
 
 def _sure(x: np.ndarray) -> np.ndarray:
@@ -262,9 +289,19 @@ class Trainer:
         self.steps, self.class_steps = np.r_[0.0, noise.cumsum()], chance.cumsum()
 
     def _step(self, k: int, rows, grad: np.ndarray) -> None:
-        seen = self.seen[k][rows] + grad * grad
-        self.seen[k][rows] = seen
-        self.model.arrays()[k][rows] += RATE * grad / np.sqrt(seen)
+        table, past = self.model.arrays()[k], self.seen[k]
+        if table.ndim == 1 or isinstance(rows, slice):
+            seen = past[rows] + grad * grad
+            past[rows] = seen
+            table[rows] += RATE * grad / np.sqrt(seen)
+            return
+        seen = past.take(rows, axis=0)
+        seen += grad * grad
+        _put(past, rows, seen)
+        change = RATE * grad
+        change /= np.sqrt(seen, out=seen)
+        change += table.take(rows, axis=0)
+        _put(table, rows, change)
 
     @staticmethod
     def _against(starts: np.ndarray, hidden: np.ndarray, wrong: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -272,26 +309,32 @@ class Trainer:
         out = np.empty((len(hidden), NOISE), dtype=np.float32)
         for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(hidden)])):
             np.matmul(hidden[lo:hi], wrong[k].T, out=out[lo:hi])
-            out[lo:hi] += bias[k]
+        out += bias.repeat(np.diff(starts, append=len(hidden)), axis=0)
         return out
 
     @staticmethod
-    def _back(starts: np.ndarray, hidden: np.ndarray, wrong: np.ndarray, dy: np.ndarray, dh: np.ndarray) -> np.ndarray:
-        """Adds the noise's part to ``dh``; the gradients of the noise rows, that of the bias last, as ``hidden`` ends in a one."""
-        out = np.empty((len(starts), NOISE, hidden.shape[1]), dtype=np.float32)
-        for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(hidden)])):
+    def _back(starts: np.ndarray, hidden: np.ndarray, wrong: np.ndarray, dx: np.ndarray, dy: np.ndarray, dh: np.ndarray) -> np.ndarray:
+        """Adds the noise's part to ``dh``; the gradients of the real rows and then of the noise rows, those of the biases last, as
+        ``hidden`` ends in a one."""
+        n, width = hidden.shape
+        every = np.empty((n + len(starts) * NOISE, width), dtype=np.float32)
+        np.multiply(dx[:, None], hidden, out=every[:n])
+        out = every[n:].reshape(len(starts), NOISE, width)
+        more = np.empty_like(dh)
+        for k, (lo, hi) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), n])):
             d = dy[lo:hi]
-            dh[lo:hi] += d @ wrong[k]
+            np.matmul(d, wrong[k], out=more[lo:hi])
             np.matmul(d.T, hidden[lo:hi], out=out[k])
-        return out.reshape(-1, out.shape[2])
+        dh += more
+        return every
 
-    def batch(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> float:
-        """One step; the mean loss of the class level before it."""
+    def batch(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
+        """One step."""
         m, n = self.model, len(target)
         by, target = _order(target)
         one, two = one[by], two[by]
         own = m.classes(target)
-        a, b = m.context[one], m.context[two]
+        a, b = m.context.take(one, axis=0), m.context.take(two, axis=0)
         wide = np.ones((n, a.shape[1] + 1), dtype=np.float32)
         hidden = wide[:, :-1]
         np.multiply(a, m.place[0], out=hidden)
@@ -299,48 +342,49 @@ class Trainer:
         # classes; targets of a lot share their noise
         lots = np.arange(0, n, LOT)
         drawn = np.minimum(np.searchsorted(self.class_steps, self.rng.random((len(lots), NOISE))), len(m.group) - 1)
-        real, wrong = m.group[own], m.group[drawn]
+        real, wrong = m.group.take(own, axis=0), m.group.take(drawn, axis=0)
         x = np.einsum("ij,ij->i", hidden, real) + m.group_bias[own] - self.log_class[own]
         y = self._against(lots, hidden, wrong, m.group_bias[drawn] - self.log_class[drawn])
         dx, dy = _sure(x), -_sure(-y)  # 1 - P(real), -P(noise taken for real)
         dh = dx[:, None] * real
-        g_wrong = self._back(lots, wide, wrong, dy, dh)
-        g_rows = [own, drawn.ravel()]
-        g_values = [dx[:, None] * wide, g_wrong]
+        g_rows, g_values = np.r_[own, drawn.ravel()], self._back(lots, wide, wrong, dx, dy, dh)
         # outcomes within their classes; a run is a lot's targets of one class, and classes of one outcome have no run
         some = np.flatnonzero(m.edge[own + 1] - m.edge[own] > 1)
-        t_rows, t_values = [], []
+        t_rows, t_values = None, None
         if len(some):
-            wide, t, c = wide[some], target[some], own[some]
+            wide, t, c = wide.take(some, axis=0), target[some], own[some]
             h = wide[:, :-1]
             runs = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (some[1:] // LOT != some[:-1] // LOT)])
             first, end = m.edge[c[runs]][:, None], m.edge[c[runs] + 1][:, None]
             at = self.steps[first] + self.rng.random((len(runs), NOISE)) * (self.steps[end] - self.steps[first])
             drawn = np.clip(np.searchsorted(self.steps, at, side="right") - 1, first, end - 1)
-            real, wrong = m.target[t], m.target[drawn]
+            real, wrong = m.target.take(t, axis=0), m.target.take(drawn, axis=0)
             u = np.einsum("ij,ij->i", h, real) + m.bias[t] - self.log_noise[t]
             v = self._against(runs, h, wrong, m.bias[drawn] - self.log_noise[drawn])
             du, dv = _sure(u), -_sure(-v)
             back = du[:, None] * real
-            t_wrong = self._back(runs, wide, wrong, dv, back)
-            dh[some] += back
-            t_rows = [t, drawn.ravel()]
-            t_values = [du[:, None] * wide, t_wrong]
-        rows, values, met = _sums(np.r_[one, two], np.concatenate([dh * m.place[0], dh * m.place[1]]))
-        place = np.stack([(dh * a).sum(axis=0), (dh * b).sum(axis=0)]) / n
+            t_rows, t_values = np.r_[t, drawn.ravel()], self._back(runs, wide, wrong, du, dv, back)
+            back += dh.take(some, axis=0)
+            _put(dh, some, back)
+        both = np.empty((2 * n, dh.shape[1]), dtype=np.float32)
+        np.multiply(dh, m.place[0], out=both[:n])
+        np.multiply(dh, m.place[1], out=both[n:])
+        rows, values, met = _sums(np.r_[one, two], both)
+        a *= dh
+        b *= dh
+        place = np.stack([a.sum(axis=0), b.sum(axis=0)]) / n
         self._step(0, rows, values)
         self.met[rows] += met
-        if t_rows:
-            rows, values, met = _sums(np.concatenate(t_rows), np.concatenate(t_values))
+        if t_rows is not None:
+            rows, values, met = _sums(t_rows, t_values)
             self._step(1, rows, values[:, :-1])
             self._step(3, rows, values[:, -1])
             self.met[len(m.context) + rows] += met
         self._step(2, slice(None), place)
-        rows, values, _ = _sums(np.concatenate(g_rows), np.concatenate(g_values))
+        rows, values, _ = _sums(g_rows, g_values)
         self._step(4, rows, values[:, :-1])
         self._step(5, rows, values[:, -1])
         self.tokens += n
-        return float(np.log1p(np.exp(-np.clip(x, -30, 30))).mean() + np.log1p(np.exp(np.clip(y, -30, 30))).sum(axis=1).mean())
 
     def weights(self) -> np.ndarray:
         """For each of the model's rows how often it was met; all tokens for those that all share."""
@@ -420,44 +464,64 @@ def _trained(rows: DataFrame, start: Model, noise: np.ndarray, head: Head, parts
     return start.from_rows(out)
 
 
-def _chances(hidden: np.ndarray, vectors: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log chances of the outcomes ``at`` (from 0) among all of ``vectors``."""
+def _with(vectors: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, last[:, None]], axis=1).astype(np.float32)
+
+
+def _chances(hidden: np.ndarray, vectors: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """Log chances of the outcomes ``at`` (from 0) among all of ``vectors``, which end in their biases as ``hidden`` ends in
+    ones; ``small``: no exponent needs a shift.
+
+    Products have twice the digits of their factors: in single precision that of a row would depend on its place among the rows.
+    """
     out = np.empty(len(at))
-    step = max(1, (1 << 18) // len(bias))
-    wide = np.ascontiguousarray(np.concatenate([vectors, bias[:, None]], axis=1).T, dtype=np.float32)
-    hidden = np.concatenate([hidden, np.ones((len(hidden), 1), dtype=np.float32)], axis=1)
-    # no score can be larger than the product of the lengths; then exponents need no shift
-    small = np.sqrt((hidden * hidden).sum(axis=1).max(initial=0) * (wide * wide).sum(axis=0).max(initial=0)) < 80
+    step = max(1, CELLS // len(vectors))
+    wide = np.ascontiguousarray(vectors.T, dtype=np.float64)
+    room = np.empty((min(step, len(at)), len(vectors)))
+    exps = np.empty(room.shape, dtype=np.float32)
     for a in range(0, len(at), step):
-        score = hidden[a : a + step] @ wide
-        own = score[np.arange(len(score)), at[a : a + step]].astype(np.float64)
+        goal = at[a : a + step]
+        score, exp = room[: len(goal)], exps[: len(goal)]
+        np.matmul(hidden[a : a + step].astype(np.float64), wide, out=score)
+        own = score[np.arange(len(goal)), goal]
         if not small:
             top = score.max(axis=1)
             score -= top[:, None]
             own -= top
-        np.exp(score, out=score)
-        out[a : a + step] = own - np.log(score.sum(axis=1))
+        exp[:] = score
+        np.exp(exp, out=exp)
+        out[a : a + step] = own - np.log(np.einsum("ij->i", exp))
     return out
 
 
 class Scorer:
-    """Normalised log10 chances of outcomes."""
+    """Normalised log10 chances of outcomes. That of a token follows from the model and the two tokens before it alone, whatever
+    else is scored with it."""
 
     def __init__(self, model: Model) -> None:
-        self.model = model
+        self.model = m = model
+        one = np.ones(len(m.context), dtype=np.float32)
+        self.one, self.two = _with(m.context * m.place[0], one), _with(m.context * m.place[1], one - 1)
+        self.group, self.target = _with(m.group, m.group_bias), _with(m.target, m.bias)
+        # no score can be larger than the product of the lengths and the bias; then exponents need no shift
+        length = [float(np.sqrt((x[:, :-1] ** 2).sum(axis=1).max())) for x in (self.one, self.two, self.group, self.target)]
+        bias = max(float(np.abs(m.group_bias).max()), float(np.abs(m.bias).max()))
+        self.small = (length[0] + length[1]) * max(length[2:]) + bias < 70
 
     def __call__(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         m, out = self.model, np.empty(len(target))
         for z in range(0, len(target), SLICE):
             by = z + _order(target[z : z + SLICE])[0]
-            hidden, goal = m.predicted(one[by], two[by]), target[by]
+            goal = target[by]
+            hidden = self.one.take(one[by], axis=0)
+            hidden += self.two.take(two[by], axis=0)
             own = m.classes(goal)
-            chance = _chances(hidden, m.group, m.group_bias, own)
+            chance = _chances(hidden, self.group, own, self.small)
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             for lo, hi in zip(starts, np.r_[starts[1:], len(own)]):
                 first, end = m.edge[own[lo]], m.edge[own[lo] + 1]
                 if end - first > 1:
-                    chance[lo:hi] += _chances(hidden[lo:hi], m.target[first:end], m.bias[first:end], goal[lo:hi] - first)
+                    chance[lo:hi] += _chances(hidden[lo:hi], self.target[first:end], goal[lo:hi] - first, self.small)
             out[by] = chance
         return out / LN10
 

@@ -99,6 +99,30 @@ def test_lm_beats_unigrams_in_any_layout(spark, part_tokens):
     assert found[0] == pytest.approx(found[1], rel=1e-9) and found[0] == pytest.approx(found[2], rel=1e-9)
 
 
+def test_lm_score_is_the_tokens_own():
+    """A token has the same chance alone, and among others in any order."""
+    head = lm.Head(np.arange(400, dtype=np.uint64), np.arange(900, 500, -1), np.arange(400), 300_000, 500)
+    model, rng = lm.fresh(head), np.random.default_rng(4)
+    model.context *= 8
+    score = lm.Scorer(model)
+    one, two, target = (rng.integers(0, n, 5000) for n in (402, 402, 401))
+    want = score(one, two, target)
+    for some in (rng.permutation(5000), rng.permutation(5000)[:1234], np.arange(7), np.array([42])):
+        assert score(one[some], two[some], target[some]) == pytest.approx(want[some], rel=1e-12)
+
+
+@pytest.mark.parametrize("spread", [3, 40, 4000])
+def test_lm_sums(spread):
+    """Every row once, with the sum and number of its values, many or few."""
+    rng = np.random.default_rng(spread)
+    rows = (rng.pareto(1, 3000) * spread).astype(np.int64) % 5000
+    values = rng.normal(size=(3000, 5)).astype(np.float32)
+    found, sums, n = lm._sums(rows, values)
+    assert sorted(found.tolist()) == sorted(set(rows.tolist()))
+    for k, row in enumerate(found):
+        assert n[k] == (rows == row).sum() and sums[k] == pytest.approx(values[rows == row].sum(axis=0), rel=1e-4, abs=1e-4)
+
+
 def test_lm_models_are_added_in_steps(small, monkeypatch):
     """Many parts, added up three at a time, give the model that one sum gives."""
     held = language.held_out(F.col("doc_id"), 7, 2)
