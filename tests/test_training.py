@@ -1,5 +1,8 @@
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -123,3 +126,49 @@ def test_sentence_stream_gets_the_batch_labels(spark, tmp_path):
     query.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).select("text", "label").collect()
     assert sorted(got) == [("ok ", 0), ("x", 0)]
+
+
+def test_word_pairs_count_like_listed_terms(rows, monkeypatch):
+    """Blocks of a few words, empty rows, a row larger than a block, words of other scripts, repeated ids."""
+    from labelloom.functions.text import with_bigrams
+    from labelloom.operators import vocabulary as V
+    from labelloom.operators import wordpairs as W
+
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["ab", "ba", "Čaj", "ИЖ", "東京", "x1", "a"], k=k)) for k in (0, 1, 2, 3, 40, 7, 0, 5, 9) * 3]
+    df = rows([(i // 2, t, i % 3) for i, t in enumerate(texts)], "doc long, text string, fold int").coalesce(1)
+    monkeypatch.setattr(W, "BLOCK", 11)
+    words = PipelineModel(stages=M.term_stages(M.LOGISTIC_FEATURES)).transform(df)
+    for pairs in (True, False):
+        listed = with_bigrams("words") if pairs else F.col("words")
+        want = V.term_statistics(words, listed, "doc").select("term", "tf", "df")
+        assert sorted(W.word_statistics(words, "words", pairs).collect()) == sorted(want.collect())
+        folds = V.fold_statistics(words, listed, "doc", 4)
+        assert sorted(map(tuple, W.fold_word_statistics(words, "words", pairs, 4).select(folds.columns).collect())) == sorted(map(tuple, folds.collect()))
+
+    # blocks, in this process: the workers keep their own size
+    lists = pa.array([r["words"] for r in words.select("words").collect()], pa.list_(pa.string()))
+    cuts = list(W._blocks(lists))
+    assert len(cuts) > 5 and [a for a, _ in cuts] == [0, *[b for _, b in cuts[:-1]]] and cuts[-1][1] == len(lists)
+    summed = Counter()
+    for a, b in cuts:
+        for part in W._tallies(lists.slice(a, b - a), np.arange(a, b) % 3, True):
+            for term, fold, tf, df_ in zip(*(part[c].to_pylist() for c in ("term", "by", "tf", "df"))):
+                summed.update({(term, fold, "tf"): tf, (term, fold, "df"): df_})
+    by_fold = V.term_statistics(words, with_bigrams("words"), "doc", by=["fold"])
+    assert summed == {(r["term"], r["fold"], c): r[c] for r in by_fold.collect() for c in ("tf", "df")}
+
+    from labelloom.operators.tfidf import count_model
+
+    chosen = ["ab", "ab ba", "ba ab", "čaj", "none", "none ab", "x1 東京", "иж иж"]
+    old = count_model(chosen, "terms", "counts").transform(words.withColumn("terms", with_bigrams("words")))
+    new = M.PairCounts(vocabulary=chosen).transform(words)
+    assert [r["counts"] for r in new.collect()] == [r["counts"] for r in old.collect()]
+
+
+def test_training_lists_no_pair_of_words(corpus):
+    """A pair that occurs is never a row or a string: the fit's statistics and the model work on words."""
+    model = M.fit(corpus, "doc", M.logistic(1.0, 5))
+    assert [type(s).__name__ for s in model.stages[:2]] == ["RegexTokenizer", "PairCounts"]
+    plan = M.predict(model, corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("ArrowEvalPython") == 1
