@@ -69,6 +69,20 @@ def test_suffixes_over_many_blocks(spark):
     assert any(0 < v[1] < v[0] for v in want.values())
 
 
+def test_suffixes_that_differ_in_two_letters(spark):
+    """Strings that are equal but for the case of letters 8 bytes apart, once or in every word, are not equal."""
+    base = bytes(np.random.default_rng(5).integers(97, 123, 600, dtype=np.uint8)).decode()
+    rows = [(0, base)]
+    for k in range(290, 306):
+        rows.append((len(rows), base[:k] + base[k].upper() + base[k + 1 : k + 8] + base[k + 8].upper() + base[k + 9 :]))
+    rows += [(20, base[:300] + "blehesh " * 9 + base[300:]), (21, base[:300] + "Blehesh " * 9 + base[300:])]
+    want = brute.byte_removal(rows, 400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = rows_of(suffixes.repeat_digest(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == Counter((d, *want[d, t]) for d, t in rows)
+    assert not any(v[1] for v in want.values())
+
+
 @BOTH
 def test_simhash(name, request):
     docs = request.getfixturevalue(name)
