@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -153,3 +154,62 @@ def test_perceptron_scores_are_those_of_its_weights(corpus):
     assert at == len(flat)
     assert np.array([r["probability"].toArray() for r in rows]) == pytest.approx(out, abs=1e-6)
     assert [r["prediction"] for r in rows] == out.argmax(axis=1).tolist()
+
+
+@pytest.mark.parametrize("steps", [1, 4, 12])
+def test_fits_side_by_side_take_mllibs_steps(spark, steps):
+    """Few steps, so that the way counts and not only the end: five folds, two strengths, one class in a few rows,
+    a term in every row, a row without a term of the vocabulary."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import array_to_vector
+
+    from labelloom.plans import strengths as S
+    from labelloom.plans.perceptron import sparse
+
+    rng = random.Random(5)
+    data = [(i, i % 4, (0, 0, 0, 2, 2, 1 if i in (4, 10) else 0)[i % 6], [rng.choice([0.0, 1.0, 1.0, 3.0]) * (i != 9) for _ in range(12)]) for i in range(80)]
+    counted = spark.createDataFrame(data, "doc long, fold int, label int, n array<double>")
+    counted = counted.select("doc", "fold", "label", array_to_vector("n").alias("counts")).cache()
+    idf = np.array([[0.0 if (t + f) % 7 == 0 else 1.0 + t / 5 + f / 9 for f in range(4)] for t in range(12)])
+    documents = {f: 60 for f in range(4)}
+    runs = [S.Strength(1.0, steps, 1e-4), S.Strength(5.0, steps, 1e-4)]
+    rows = counted.select("label", "fold", sparse("counts")[0].alias("column"), sparse("counts")[1].alias("value"))
+    weights, bias = S._models(rows, idf, runs, documents)
+    for f in range(4):
+        train = PipelineModel(stages=M.weight_stages(list(idf[:, f]), "counts")).transform(counted.filter(F.col("fold") != f))
+        for k, c in enumerate((1.0, 5.0)):
+            alone = M.logistic(c, steps).fit(train, 60, 12)
+            own = alone.coefficientMatrix.toArray().T * idf[:, [f]]
+            classes = own.shape[1]
+            assert weights[:, :classes, f, k] == pytest.approx(own, abs=1e-6)
+            assert bias[:classes, f, k] - bias[:classes, f, k].mean() == pytest.approx(alone.interceptVector.toArray(), abs=1e-6)
+
+
+def _scored(rows, labels, runs):
+    rng = random.Random(8)
+    data = [(i, " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"], k=4) + [f"mark{k}"] * rng.randint(0, 1)), k) for i, k in enumerate(labels)]
+    df = rows([*data, (90, "", 0), (91, "zz zz", labels[0])], "doc long, text string, label int")
+    return sorted(map(tuple, M.cross_validate(df, "doc", runs, M.Features(max_features=12)).collect()))
+
+
+@pytest.mark.parametrize("labels", [[0, 1, 0, 1, 1] * 6 + [2], [1] * 12], ids=["largest class in one fold only", "one class"])
+def test_shared_passes_score_like_fits_alone(rows, labels):
+    runs = {"a": M.logistic(1.0, 15), "b": M.logistic(5.0, 15)}
+    alone = {name: replace(learner, strength=None) for name, learner in runs.items()}
+    shared, want = _scored(rows, labels, runs), _scored(rows, labels, alone)
+    assert [r[:3] for r in shared] == [r[:3] for r in want]
+    assert [r[3:] for r in shared] == [pytest.approx(r[3:]) for r in want]
+
+
+def test_a_pass_serves_the_fits_of_all_folds_and_strengths(corpus, monkeypatch):
+    from labelloom.plans import strengths as S
+
+    served, one_pass = [], S._pass
+
+    def counted(own, weights, bias, folds):
+        served.append(len(folds))
+        return one_pass(own, weights, bias, folds)
+
+    monkeypatch.setattr(S, "_pass", counted)
+    M.cross_validate(corpus, "doc", {"a": M.logistic(1.0, 10), "b": M.logistic(5.0, 10)}).collect()
+    assert served[0] == 10 and len(served) <= 25

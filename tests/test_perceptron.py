@@ -71,7 +71,7 @@ def test_thick_and_thin_columns_give_the_loss_of_a_dense_matrix():
     row, column = np.nonzero(held)
     label, weight = rng.integers(0, 3, n), rng.uniform(0.1, 2.0, n)
     block = Block.of(label, np.bincount(row, minlength=n), column, matrix[row, column], weight)
-    assert 0 < len(block.thick) < len(block.columns) == held.any(axis=0).sum()
+    assert 0 < len(block.entries.thick) < len(block.columns) == held.any(axis=0).sum()
     flat = rng.normal(size=sum((a + 1) * b for a, b in zip(sizes, sizes[1:])))
     layers, slope = unpacked(flat, sizes), np.zeros(len(flat))
     loss = block.add_loss(layers, unpacked(slope, sizes))
@@ -89,7 +89,7 @@ def test_thick_and_thin_columns_give_the_loss_of_a_dense_matrix():
 
 
 def _rows(points):
-    column, value = P._sparse()
+    column, value = P.sparse()
     return points.select(F.col("label").cast("long").alias("label"), column.alias("column"), value.alias("value"))
 
 
