@@ -315,7 +315,9 @@ def cross_validate(
     words, rows = _in_folds(df, id_col, features, folds, seed)
     documents = {fold: sum(n for f, n in rows.items() if f != fold) for fold in range(folds)}
     with passing_table(fold_word_statistics(words, "words", features.bigrams, folds), "terms") as stats:
-        idf = {fold: learn_vocabulary(without_fold(stats, fold), documents[fold], features, written=True) for fold in range(folds)}
+        learn = lambda fold: learn_vocabulary(without_fold(stats, fold), documents[fold], features, written=True)
+        with ThreadPool(folds) as pool:
+            idf = dict(enumerate(pool.map(inheritable_thread_target(df.sparkSession)(learn), range(folds))))
     union = sorted(set().union(*idf.values()))
     stages, counts = count_stages(union, features)
     counted = PipelineModel(stages=stages).transform(words).select(id_col, "label", "fold", counts)
